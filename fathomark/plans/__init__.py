@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("scoring",)
+_MODULES = ("scoring", "splitting")
 
 
 def load_all() -> None:
