@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("scoring", "splitting")
+_MODULES = ("scoring", "splitting", "runs")
 
 
 def load_all() -> None:

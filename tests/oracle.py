@@ -67,7 +67,10 @@ def main(argv):
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     qs, sqls = e.queries(), e.oracle_sql()
+    mods = [a[1:] for a in argv if a.startswith("@")]
+    argv = [a for a in argv if not a.startswith("@")]
     names = [n for n in qs if not argv or any(a in n for a in argv)]
+    names = [n for n in names if not mods or qs[n].__module__.split(".")[-1] in mods]
     bad = 0
     for n in names:
         t = time.time()
