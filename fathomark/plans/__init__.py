@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("scoring", "splitting", "runs")
+_MODULES = ("scoring", "splitting", "runs", "inference")
 
 
 def load_all() -> None:
