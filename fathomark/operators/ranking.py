@@ -46,6 +46,8 @@ def hash_top(
     df: DataFrame, by: Sequence[str], hash_col: str, k: int, tie: Sequence[str] = ()
 ) -> DataFrame:
     """The ``k`` rows of each group with the smallest hash: a seeded sample without replacement."""
+    if not by:
+        return df.orderBy(hash_col, *tie).limit(k)
     if k <= GROUP_LIMIT_PUSHDOWN:
         w = W.partitionBy(*by).orderBy(hash_col, *tie)
         return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
@@ -172,3 +174,27 @@ def spearman(
     return ranked.groupBy(*by).agg(
         n.alias("n"), F.when(n >= min_cells, F.corr("_rx", "_ry")).alias("rho")
     )
+
+
+def ordered_rank(
+    df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str], out: str = "rank"
+) -> DataFrame:
+    """1-based rank by ``order`` inside ``by``; ``bucket`` must grow with the order (say, the hour).
+
+    Adds ``out`` and ``group_n``. Rows of one (by, bucket) meet in a task, not all of ``by``.
+    """
+    by = list(by)
+    rows = df.withColumn("_b", bucket)
+    ordered = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_before", F.coalesce(F.sum("_c").over(ordered), F.lit(0)))
+        .withColumn("group_n", F.sum("_c").over(W.partitionBy(*by)))
+        .drop("_c")
+    )
+    inner = W.partitionBy(*by, "_b").orderBy(*order)
+    return (
+        rows.join(offsets, [*by, "_b"])
+        .withColumn(out, F.col("_before") + F.row_number().over(inner))
+        .drop("_b", "_before")
+    )
