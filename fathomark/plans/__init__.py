@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("scoring", "splitting", "runs", "inference", "geometry")
+_MODULES = ("scoring", "splitting", "runs", "inference", "geometry", "learning")
 
 
 def load_all() -> None:
