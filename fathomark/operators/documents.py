@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.small import take_bounded
+from ..sources.scratch import materialise
 
 # 20 integer digits and 16 decimals: sums and differences stay exact inside 38 digits.
 _DEC = "decimal(36,16)"
@@ -16,7 +17,11 @@ _PLACES = range(-12, 17)
 
 
 def number_tokens(df: DataFrame, column: str, keep: Sequence[str], comments: bool = True) -> DataFrame:
-    """(keep, line, pos, token): every number of a text with its place."""
+    """(keep, line, pos, token): every number of a text with its place.
+
+    Texts without a digit cannot hold a number and skip the patterns.
+    """
+    df = df.where(F.col(column).rlike("[0-9]"))
     lines = F.split(tx.strip_noise(F.col(column), comments), "\n")
     each = df.select(*keep, F.posexplode(lines).alias("line", "_text"))
     found = F.regexp_extract_all("_text", F.lit(tx.NUMBER), F.lit(0))
@@ -34,8 +39,10 @@ def trace_numbers(tokens: DataFrame, values: DataFrame, token: str = "token", va
     A number with p decimals is matched by results less than half a unit of its last
     place away. That is exactly one rounded value per result and p, so the range join
     is an equi-join on (p, rounded result), with the open interval checked after it.
-    Tokens and results meet as distinct values only.
+    Tokens and results meet as distinct values only. Tokens are written once, so the
+    texts are read once.
     """
+    tokens = materialise(tokens, "tokens")
     t = tokens.withColumn("_v", decimals(F.col(token))).withColumn("_p", F.coalesce(tx.places_of(F.col(token)), F.lit(-99)))
     distinct = t.where("_v IS NOT NULL").select("_v", "_p").distinct()
     vals = values.select(decimals(F.col(value)).alias("_c")).where("_c IS NOT NULL").distinct()

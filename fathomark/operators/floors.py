@@ -56,10 +56,15 @@ def analytic_floors(target: DataFrame, source: DataFrame, keys: Sequence[str], k
 
 
 def with_draws(df: DataFrame, reps: int, seed: int, item: str) -> DataFrame:
-    """Each row once per repetition with its own hash draw ``h``. Rows never leave their task."""
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn(
-        "h", draw_hash(seed, F.col("rep"), F.col(item))
+    """Each row once per repetition with its own hash draw ``h``. Rows never leave their task.
+
+    The hash is made inside the exploded array: as a plain column the optimizer would
+    inline it into every use, once per element of a class list.
+    """
+    draws = F.transform(
+        F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: F.struct(r.alias("rep"), draw_hash(seed, r, F.col(item)).alias("h"))
     )
+    return df.withColumn("_d", F.explode(draws)).select("*", "_d.rep", "_d.h").drop("_d")
 
 
 def uniform_prediction(classes: Sequence[str]) -> Column:

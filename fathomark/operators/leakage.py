@@ -16,8 +16,19 @@ def _rows(df: DataFrame, kind: str, subject) -> DataFrame:
     return df.select("split_id", F.lit(kind).alias("kind"), subject.cast("string").alias("subject"))
 
 
+def _group_roles(rows: DataFrame) -> DataFrame:
+    """First and last role and the items per role of each (split, corpus, group).
+
+    Both group-level checks start from this aggregate, so its shuffle is shared.
+    """
+    per_role = [F.count_if(F.col("role") == r) for r in ROLES]
+    return rows.groupBy("split_id", "corpus", "grp").agg(
+        F.min("role").alias("a"), F.max("role").alias("b"), F.array(*per_role).alias("c")
+    )
+
+
 def group_in_two_roles(rows: DataFrame) -> DataFrame:
-    g = rows.groupBy("split_id", "corpus", "grp").agg(F.min("role").alias("a"), F.max("role").alias("b"))
+    g = _group_roles(rows)
     return _rows(g.where("a < b"), "group_in_two_roles", F.concat_ws("/", "corpus", F.col("grp").cast("string")))
 
 
@@ -28,8 +39,8 @@ def item_on_both_sides(rows: DataFrame) -> DataFrame:
 
 
 def empty_role(rows: DataFrame) -> DataFrame:
-    counts = [F.count_if(F.col("role") == r) for r in ROLES]
-    missing = rows.groupBy("split_id").agg(F.array(*counts).alias("c")).select(
+    sums = F.array(*[F.sum(F.col("c")[i]) for i in range(len(ROLES))])
+    missing = _group_roles(rows).groupBy("split_id").agg(sums.alias("c")).select(
         "split_id", F.posexplode("c").alias("pos", "n")
     ).where("n = 0")
     return _rows(missing, "empty_role", F.get(F.array(*[F.lit(r) for r in ROLES]), F.col("pos")))

@@ -1,7 +1,7 @@
 """Bootstrap over groups and seeds, paired arms, item bootstrap and signed ranks.
 
 Predictions enter as packed confusions: one K*K count array per (seed, condition,
-group) and arm. A replicate is a weighted sum of those arrays, so no replicate
+group) and arm, written once to the shared folder because every step reads them. A replicate is a weighted sum of those arrays, so no replicate
 ever scans an item. Each group row makes its own draws, which spreads the work
 over the groups without a cross product of inputs.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import draw_hash, draw_index
 from ..functions.small import small_side
+from ..sources.scratch import materialise
 from .metrics import confusion_counts
 from .ranking import exact_quantiles, hash_rank, value_ranks
 
@@ -200,6 +201,7 @@ def cluster_bootstrap(
     packed: DataFrame, arm: str, k: int, by: Sequence[str] = (), reps: int = 2000, alpha: float = 0.05, method: str = "rows"
 ) -> DataFrame:
     """Mean macro-F1 with a percentile interval, resampling seeds and then groups."""
+    packed = materialise(packed, "packed")
     r = _engine(method)(packed, [arm], k, by, reps)
     stat = r.groupBy(*by).agg(
         F.percentile(f"s_{arm}", alpha / 2).alias("lo"), F.percentile(f"s_{arm}", 1 - alpha / 2).alias("hi")
@@ -220,7 +222,7 @@ def paired_bootstrap(
     method: str = "rows",
 ) -> DataFrame:
     """Mean paired difference a - b, its interval, and a two-sided p floored at 1/reps."""
-    packed = both_arms(packed, a, b, by)
+    packed = both_arms(materialise(packed, "packed"), a, b, by)
     r = _engine(method)(packed, [a, b], k, by, reps).withColumn("d", F.col(f"s_{a}") - F.col(f"s_{b}"))
     tail = F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double")))
     stat = r.groupBy(*by).agg(
@@ -252,6 +254,7 @@ def per_class_bootstrap(
     independent group draws, so draws are keyed by position.
     """
     k = len(classes)
+    packed = materialise(packed, "packed")
     groups = index_groups(packed)
     # reps x seeds rows by construction: both are parameters, not data.
     slots = F.broadcast(seed_draws(groups, reps).select("rep", "pos", "seed"))
@@ -299,10 +302,14 @@ def item_bootstrap(df: DataFrame, classes: Sequence[str], by: Sequence[str], ite
     )
     bounds = packed.select(*by, total.alias("n_items"), upper.alias("upper"))
     slots = df.select(*by, F.col(item).alias("_slot")).join(small_side(bounds), by)
-    each = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    idx = draw_index(draw_hash("item", F.col("rep"), F.col("_slot")), F.col("n_items"))
-    cell = F.size(F.filter("upper", lambda u: u <= F.col("_idx")))
-    drawn = each.withColumn("_idx", idx).select(*by, "rep", cell.alias("cell"))
+    # Draws are made inside the exploded array, so each is hashed once and not once per bound.
+    draws = F.transform(
+        F.sequence(F.lit(0), F.lit(reps - 1)),
+        lambda r: F.struct(r.alias("rep"), draw_index(draw_hash("item", r, F.col("_slot")), F.col("n_items")).alias("idx")),
+    )
+    each = slots.select(*by, "upper", F.explode(draws).alias("_d"))
+    cell = F.size(F.filter("upper", lambda u: u <= F.col("_d.idx")))
+    drawn = each.select(*by, F.col("_d.rep").alias("rep"), cell.alias("cell"))
     k = len(classes)
     counts = drawn.groupBy(*by, "rep").agg(*[F.count_if(F.col("cell") == i).alias(f"c_{i}") for i in range(k * k)])
     score = _zero_macro("c", k)

@@ -128,7 +128,7 @@ def fit_select(spark, d):
     roles = models._roles(labelled_vectors(spark, d), split_rows(spark, d), models.Cell("d0", "d1", 0))
     out = []
     for family in ("logreg", "svm_rbf"):
-        params = models.candidate_list(spark, family, 0, 3)
+        params = [{**p, "max_iter": 50} for p in models.candidate_list(spark, family, 0, 3)]
         sel = models.fit_select(roles["source_train"], roles["source_val"], family, params, LABELS)
         out += [(family, t["candidate_index"], t["params_json"], t["score"], t["score"] == sel.score) for t in sel.trials]
     return spark.createDataFrame(out, "family string, candidate_index int, params_json string, score double, is_best boolean")
@@ -142,7 +142,7 @@ def run_cells(spark, d):
 
 @query("check_conditions")
 def check_conditions(spark, d):
-    cells = [models.Cell("d0", "d1", 0, f, a, budget=2) for f in ("svm_rbf", "logreg") for a in ("none", "zscore")]
+    cells = [models.Cell("d0", "d1", 0, f, a, budget=2, max_iter=50) for f in ("svm_rbf", "logreg") for a in ("none", "zscore")]
     return models.check_conditions(spark, labelled_vectors(spark, d), split_rows(spark, d), cells, LABELS)
 
 
