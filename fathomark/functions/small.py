@@ -24,3 +24,23 @@ def small_side(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     if rows is None:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def broadcast_checked(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Broadcast a cheap-to-read frame after counting it; above the bound its join is a shuffled hash join.
+
+    The hint also keeps the planner from broadcasting a side whose size it cannot
+    foresee, such as rows about to be multiplied by an explode.
+    """
+    few = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if few else df.hint("shuffle_hash")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core before a projection that multiplies rows.
+
+    For frames that come straight from a scan: a few large files would otherwise leave
+    the multiplied work to a few tasks. With enough splits nothing is moved.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw_hash, draw_index, draw_uniform
+from ..functions.small import spread
 from .metrics import confusion_counts, macro_f1
 
 
@@ -64,7 +65,7 @@ def with_draws(df: DataFrame, reps: int, seed: int, item: str) -> DataFrame:
     draws = F.transform(
         F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: F.struct(r.alias("rep"), draw_hash(seed, r, F.col(item)).alias("h"))
     )
-    return df.withColumn("_d", F.explode(draws)).select("*", "_d.rep", "_d.h").drop("_d")
+    return spread(df).withColumn("_d", F.explode(draws)).select("*", "_d.rep", "_d.h").drop("_d")
 
 
 def uniform_prediction(classes: Sequence[str]) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw_hash, draw_index
-from ..functions.small import small_side
+from ..functions.small import broadcast_checked, small_side, spread
 from ..sources.scratch import materialise
 from .metrics import confusion_counts
 from .ranking import exact_quantiles, hash_rank, value_ranks
@@ -49,7 +49,7 @@ def index_groups(packed: DataFrame) -> DataFrame:
 
 def group_draws(groups: DataFrame, reps: int, salt: str = "boot") -> DataFrame:
     """(rep, seed, idx): as many draws with replacement as the seed has groups."""
-    each = groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    each = spread(groups).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     h = draw_hash(salt, F.col("rep"), F.col("seed"), F.col("idx"))
     return each.select("rep", "seed", draw_index(h, F.col("group_n")).alias("idx"))
 
@@ -106,12 +106,21 @@ def replicates(packed: DataFrame, arms: Sequence[str], k: int, by: Sequence[str]
     seed is drawn twice; conditions average inside a seed, then seeds average.
     """
     by = list(by)
-    groups = index_groups(packed)
-    draws = group_draws(groups, reps, salt)
-    cells = packed.join(groups.select("seed", "grp", "idx"), ["seed", "grp"])
-    sums = draws.join(cells, ["seed", "idx"]).groupBy(*by, "rep", "seed", "cond").agg(
-        *[c for a in arms for c in cell_sums(a, k)]
-    )
+    groups = materialise(index_groups(packed), "groups")
+    sums = group_draws(groups, reps, salt).join(_indexed_cells(packed, groups), ["seed", "idx"]).groupBy(
+        *by, "rep", "seed", "cond"
+    ).agg(*[c for a in arms for c in cell_sums(a, k)])
+    return _over_seeds(sums, groups, arms, k, by, reps)
+
+
+def _indexed_cells(packed: DataFrame, groups: DataFrame) -> DataFrame:
+    """Packed cells under their group index. Small ones go to the draws; otherwise both sides
+    shuffle on (seed, idx), which is uniform whatever the groups hold."""
+    return broadcast_checked(packed.join(groups.select("seed", "grp", "idx"), ["seed", "grp"]).drop("grp"))
+
+
+def _over_seeds(sums: DataFrame, groups: DataFrame, arms: Sequence[str], k: int, by: Sequence[str], reps: int) -> DataFrame:
+    """Cell sums per (replicate, seed, condition) scored and averaged over the drawn seeds."""
     per = _per_seed(sums, [*by, "rep", "seed", "cond"], arms, k)
     drawn = seed_draws(groups, reps).groupBy("rep", "seed").agg(
         F.count(F.lit(1)).alias("m"), F.max("n_seeds").alias("n_seeds")
@@ -132,10 +141,10 @@ def block_replicates(
     up in Spark. Same draws, same numbers, about B times fewer rows after the join.
     """
     by = list(by)
-    groups = index_groups(packed)
+    groups = materialise(index_groups(packed), "groups")
     # A group is drawn about ``reps`` times in all, so its list is bounded by the parameter.
     lists = group_draws(groups, reps, salt).groupBy("seed", "idx").agg(F.collect_list("rep").alias("drawn"))
-    cells = packed.join(groups.select("seed", "grp", "idx"), ["seed", "grp"])
+    cells = _indexed_cells(packed, groups)
     wide = F.concat(*[F.col(a) for a in arms])
     rows = lists.join(cells, ["seed", "idx"]).select(
         *by, "seed", "cond", F.pmod("idx", F.lit(blocks)).alias("block"), "drawn", wide.alias("cells")
@@ -165,14 +174,7 @@ def block_replicates(
     sums = part.groupBy(*by, "rep", "seed", "cond").agg(
         *[F.sum(F.col("cells")[i]).alias(n) for i, n in enumerate(names)]
     )
-    per = _per_seed(sums, [*by, "rep", "seed", "cond"], arms, k)
-    drawn = seed_draws(groups, reps).groupBy("rep", "seed").agg(
-        F.count(F.lit(1)).alias("m"), F.max("n_seeds").alias("n_seeds")
-    )
-    w = F.col("m") / F.col("n_seeds")
-    return per.join(drawn, ["rep", "seed"]).groupBy(*by, "rep").agg(
-        *[F.sum(w * F.col(f"s_{a}")).alias(f"s_{a}") for a in arms]
-    )
+    return _over_seeds(sums, groups, arms, k, by, reps)
 
 
 def observed(packed: DataFrame, arms: Sequence[str], k: int, by: Sequence[str]) -> DataFrame:
@@ -213,8 +215,10 @@ def cluster_bootstrap(
 def both_arms(packed: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
     """Only the seeds in which both arms have predictions."""
     some = lambda arm: F.max(F.exists(arm, lambda x: x > 0).cast("int")) == 1
-    ok = packed.groupBy(*by, "seed").agg((some(a) & some(b)).alias("_ok")).where("_ok").drop("_ok")
-    return packed.join(ok, [*by, "seed"], "left_semi")
+    one_sided = packed.groupBy(*by, "seed").agg((some(a) & some(b)).alias("_ok")).where("NOT _ok").drop("_ok")
+    if one_sided.isEmpty():
+        return packed
+    return packed.join(one_sided, [*by, "seed"], "left_anti")
 
 
 def paired_bootstrap(
@@ -255,14 +259,13 @@ def per_class_bootstrap(
     """
     k = len(classes)
     packed = materialise(packed, "packed")
-    groups = index_groups(packed)
+    groups = materialise(index_groups(packed), "groups")
     # reps x seeds rows by construction: both are parameters, not data.
     slots = F.broadcast(seed_draws(groups, reps).select("rep", "pos", "seed"))
-    each = groups.join(slots, "seed")
+    each = spread(groups).join(slots, "seed")
     h = draw_hash(salt, F.col("rep"), F.col("pos"), F.col("idx"))
     draws = each.select("rep", "seed", draw_index(h, F.col("group_n")).alias("idx"))
-    cells = packed.join(groups.select("seed", "grp", "idx"), ["seed", "grp"])
-    sums = draws.join(cells, ["seed", "idx"]).groupBy("rep").agg(*cell_sums(arm, k))
+    sums = draws.join(_indexed_cells(packed, groups), ["seed", "idx"]).groupBy("rep").agg(*cell_sums(arm, k))
 
     def long(df: DataFrame) -> DataFrame:
         rows = []
@@ -301,7 +304,7 @@ def item_bootstrap(df: DataFrame, classes: Sequence[str], by: Sequence[str], ite
         lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)),
     )
     bounds = packed.select(*by, total.alias("n_items"), upper.alias("upper"))
-    slots = df.select(*by, F.col(item).alias("_slot")).join(small_side(bounds), by)
+    slots = spread(df.select(*by, F.col(item).alias("_slot"))).join(small_side(bounds), by)
     # Draws are made inside the exploded array, so each is hashed once and not once per bound.
     draws = F.transform(
         F.sequence(F.lit(0), F.lit(reps - 1)),

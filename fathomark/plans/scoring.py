@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.small import small_side
 from ..operators import floors, metrics, priors
 from .registry import query, r9, sql_r9
 from .views import (
@@ -194,7 +195,7 @@ def floors_uniform_draws(spark, d):
 def floors_prior_draws(spark, d):
     _, source = _sides(spark, d)
     cum = source.select("domain", floors.cumulative(F.col("p")).alias("cum"))
-    p = predictions(spark, d).join(cum, "domain")
+    p = predictions(spark, d).join(small_side(cum), "domain")
     return _rounded(floors.empirical_floor(p, CLASSES, ["domain"], floors.prior_prediction(CLASSES, "cum"), "item_id", REPS))
 
 
