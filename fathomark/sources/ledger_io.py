@@ -37,9 +37,9 @@ def read_ledger(spark: SparkSession, path, schema=None) -> DataFrame:
 
 
 def bad_lines(ledger: DataFrame) -> DataFrame:
-    """File and text of every line that is not a ledger row."""
-    # Spark refuses a scan of the corrupt column alone, so the file name rides along.
-    return ledger.where(F.col("_corrupt_record").isNotNull()).select("source_file", "_corrupt_record")
+    """File, readable run id and text of every line that is not a ledger row."""
+    # Spark refuses a scan of the corrupt column alone, so a data column is selected too.
+    return ledger.where(F.col("_corrupt_record").isNotNull()).select("source_file", "run_id", "_corrupt_record")
 
 
 def append_ledger(df: DataFrame, path: str, validate: bool = True, fmt: str = "json") -> None:
