@@ -32,10 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r9(col: Column | str) -> Column:
-    """Nine digits, negative zero folded: float sums depend on their order below that."""
+    """Nine digits, negative zero folded: float sums depend on their order below that.
+
+    Scaled and rounded to even, which is the same double arithmetic in every engine;
+    ``round`` is not, because engines differ in how they treat a decimal tie.
+    """
     c = F.col(col) if isinstance(col, str) else col
-    return F.round(c.cast("double"), 9) + F.lit(0.0)
+    return F.rint(c.cast("double") * F.lit(1e9)) / F.lit(1e9) + F.lit(0.0)
 
 
 def sql_r9(expr: str) -> str:
-    return f"(round(CAST({expr} AS DOUBLE), 9) + CAST(0 AS DOUBLE))"
+    return f"(round_even(CAST({expr} AS DOUBLE) * CAST(1e9 AS DOUBLE), 0) / CAST(1e9 AS DOUBLE) + CAST(0 AS DOUBLE))"
