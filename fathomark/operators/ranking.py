@@ -70,7 +70,11 @@ def value_ranks(
     edges = rows.groupBy(*by).agg(
         F.percentile_approx(F.col(value).cast("double"), cuts, F.lit(1000)).alias("_edges"),
     )
-    keyed = counted.join(edges, by) if by else counted.join(edges)
+    if by:
+        keyed = counted.join(edges, by)
+    else:
+        # One group: its edges are one short array, taken as a literal.
+        keyed = counted.withColumn("_edges", F.array(*[F.lit(e) for e in edges.first()["_edges"] or []]).cast("array<double>"))
     keyed = keyed.withColumn(
         "_b", F.size(F.filter("_edges", lambda e: e < F.col(value).cast("double")))
     ).drop("_edges")

@@ -13,8 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw_hash
+from ..functions.small import small_side
+from ..sources.scratch import materialise
 from .ranking import hash_rank
 
+MAX_BROADCAST_GROUPS = 500_000
+
 ROLES = ("source_train", "source_val", "target_adapt", "target_test")
 
 
@@ -97,8 +101,16 @@ def in_domain_assignments(
 
 
 def assign_roles(items: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Items with a label, once per (seed, role) of their group."""
-    return items.where("label IS NOT NULL").join(assignments, ["corpus", "grp"])
+    """Items with a label, once per (seed, role) of their group.
+
+    The assignment table holds groups, not items. It is written once and counted: small
+    enough, it is broadcast and the items are not shuffled; otherwise both sides shuffle
+    and adaptive execution splits a group that holds too many items.
+    """
+    table = materialise(assignments, "assignments")
+    if table.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS:
+        table = F.broadcast(table)
+    return items.where("label IS NOT NULL").join(table, ["corpus", "grp"])
 
 
 def pair_rows(rows: DataFrame, corpora: Sequence[str]) -> DataFrame:
@@ -145,7 +157,7 @@ def stratified_cap(
     h = draw_hash(*parts, F.col(item))
     ranked = hash_rank(rows.withColumn("_h", h), [*by, label], "_h", [item], "_rank")
     return (
-        ranked.join(quotas, [*by, label])
+        ranked.join(small_side(quotas), [*by, label])
         .where(F.col("_rank") <= F.col("quota"))
         .drop("_h", "_rank", "group_n", "quota")
     )
