@@ -95,3 +95,8 @@ def digest_rows(df, by: Sequence[str], entry: Column, out: str = "digest"):
     """One digest per group; ``by`` empty means one for the whole frame."""
     agg = df.groupBy(*by).agg(*set_digest(entry))
     return agg.select(*by, F.col("_n").alias("n_rows"), set_digest_value().alias(out))
+
+
+def utc_stamp() -> Column:
+    """Current time as ISO-8601 UTC text."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

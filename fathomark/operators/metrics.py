@@ -14,11 +14,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def class_frame(keys_df: DataFrame, classes: Sequence[str], column: str) -> DataFrame:
-    """Each key row once per class. The class list is a literal array, not a join."""
-    return keys_df.withColumn(column, F.explode(F.array(*[F.lit(c) for c in classes])))
-
-
 def confusion_counts(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Observed (true, predicted) counts; additive over any grouping."""
     return df.groupBy(*by, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
@@ -30,11 +25,13 @@ def confusion_by_group(df: DataFrame, by: Sequence[str], grp: str) -> DataFrame:
 
 
 def confusion(df: DataFrame, classes: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Full K x K frame per key, zeros included."""
-    counts = confusion_counts(df, by)
-    frame = class_frame(class_frame(counts.select(*by).distinct(), classes, "y_true"), classes, "y_pred")
-    return frame.join(counts, [*by, "y_true", "y_pred"], "left").select(
-        *by, "y_true", "y_pred", F.coalesce("n", F.lit(0)).alias("n")
+    """Full K x K frame per key, zeros included. The counts carry their own frame, so the input is read once."""
+    k = len(classes)
+    names = F.array(*[F.lit(c) for c in classes])
+    packed = pack_confusion(confusion_counts(df, by), classes, by)
+    return packed.select(*by, F.posexplode("cells").alias("pos", "n")).select(
+        *by, F.get(names, F.floor(F.col("pos") / k).cast("int")).alias("y_true"),
+        F.get(names, F.col("pos") % k).alias("y_pred"), "n",
     )
 
 
@@ -67,11 +64,10 @@ def class_margins(counts: DataFrame, classes: Sequence[str], by: Sequence[str])
         F.array(*[F.lit(c) for c in classes]),
         lambda c: F.struct(c.alias("class"), zero.alias("tp"), zero.alias("support"), zero.alias("predicted")),
     )
-    seen = counts.select(*by, F.explode(sides).alias("m"))
-    # The class frame rides along as zero rows, so absent classes survive without a join.
-    frame = counts.select(*by).distinct().select(*by, F.explode(blank).alias("m"))
+    # Every count row also carries zero rows for all classes: absent classes survive
+    # without a second read of the input to find the keys.
     return (
-        seen.unionByName(frame)
+        counts.select(*by, F.explode(F.concat(sides, blank)).alias("m"))
         .groupBy(*by, F.col("m.class").alias("class"))
         .agg(
             F.sum("m.tp").alias("tp"), F.sum("m.support").alias("support"),

@@ -6,11 +6,8 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .metrics import class_frame
-
 
 def class_counts(df: DataFrame, by: Sequence[str], label: str = "label") -> DataFrame:
     return df.where(F.col(label).isNotNull()).groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
@@ -18,19 +15,24 @@ def class_counts(df: DataFrame, by: Sequence[str], label: str = "label") -> Data
 
 def priors(df: DataFrame, classes: Sequence[str], by: Sequence[str], label: str = "label") -> DataFrame:
     """P(class) over a fixed class list: an absent class is 0, a key without labels is null."""
-    counts = class_counts(df.where(F.col(label).isin(list(classes))), by, label)
-    frame = class_frame(df.select(*by).distinct(), classes, label)
-    total = F.sum("n").over(W.partitionBy(*by))
-    return (
-        frame.join(counts, [*by, label], "left")
-        .withColumn("n", F.coalesce("n", F.lit(0)))
-        .withColumn("prior", F.try_divide(F.col("n").cast("double"), total.cast("double")))
-    )
+    vec = prior_vector(df, classes, by, label)
+    names = F.array(*[F.lit(c) for c in classes])
+    each = vec.select(*by, F.posexplode(F.arrays_zip("counts", "p")).alias("pos", "z"))
+    return each.select(*by, F.get(names, "pos").alias(label), F.col("z.counts").alias("n"), F.col("z.p").alias("prior"))
+
 
+def prior_vector(
+    df: DataFrame, classes: Sequence[str], by: Sequence[str], label: str = "label", weight: str | None = None
+) -> DataFrame:
+    """Prior of each key as an array in class order: K counters per key, one shuffle.
 
-def prior_vector(df: DataFrame, classes: Sequence[str], by: Sequence[str], label: str = "label") -> DataFrame:
-    """Prior of each key as an array in class order: K counters per key, one shuffle."""
-    counts = [F.count_if(F.col(label) == c) for c in classes]
+    With ``weight`` the rows are counts already (say, confusion counts).
+    """
+    hit = lambda c: F.col(label) == c
+    if weight is None:
+        counts = [F.count_if(hit(c)) for c in classes]
+    else:
+        counts = [F.coalesce(F.sum(F.when(hit(c), F.col(weight))), F.lit(0)).cast("long") for c in classes]
     agg = df.groupBy(*by).agg(F.array(*counts).alias("counts"))
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
     return agg.withColumn("total", total).withColumn(

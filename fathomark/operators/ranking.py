@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
+
 # Spark pushes row_number() <= k below the shuffle only while k stays under
 # spark.sql.optimizer.windowGroupLimitThreshold (default 1000).
 GROUP_LIMIT_PUSHDOWN = 999
@@ -60,14 +62,16 @@ def value_ranks(
 ) -> DataFrame:
     """Distinct values per group with ``n`` (multiplicity), ``before`` (rows below), ``total``.
 
-    Values are counted first, so ties collapse map side. Approximate quantiles of
-    each group only place the bucket edges; the ranks themselves are exact.
+    Values are counted first, so ties collapse map side, and the counts are written once
+    because three steps read them. Approximate quantiles of the distinct values only
+    place the bucket edges; the ranks themselves are exact.
     """
     by = list(by)
-    rows = df.where(F.col(value).isNotNull())
-    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    counted = materialise(
+        df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), "values"
+    )
     cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = rows.groupBy(*by).agg(
+    edges = counted.groupBy(*by).agg(
         F.percentile_approx(F.col(value).cast("double"), cuts, F.lit(1000)).alias("_edges"),
     )
     if by:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("scoring", "splitting", "runs", "inference", "geometry", "learning", "corpora")
+_MODULES = ("scoring", "splitting", "runs", "inference", "geometry", "learning", "corpora", "storage")
 
 
 def load_all() -> None:

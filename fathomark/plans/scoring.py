@@ -123,8 +123,13 @@ both_sides AS (SELECT t.domain, t.class, t.p, s.p AS q, s.n AS sn
 top AS (SELECT domain, arg_max(p, (sn, class)) AS pm FROM both_sides GROUP BY domain)"""
 
 
-def _sides(spark, d):
-    vec = priors.prior_vector(predictions(spark, d), CLASSES, ["domain"], "y_true")
+def _small_counts(spark, d):
+    """Confusion counts of the whole table as a local relation: it is read once, K*K rows per domain stay."""
+    return small_side(event_counts(spark, d))
+
+
+def _sides(counts):
+    vec = priors.prior_vector(counts, CLASSES, ["domain"], "y_true", "n")
     return vec, vec.withColumn("domain", 1 - F.col("domain"))
 
 
@@ -134,7 +139,7 @@ SELECT b.domain, {sql_r9(f"avg(2 * p * (1.0::DOUBLE / {K}) / (p + 1.0::DOUBLE /
 {sql_r9("avg(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END)")} AS prior_matched_macro_f1
 FROM both_sides b JOIN top t ON t.domain = b.domain GROUP BY b.domain""")
 def floors_analytic(spark, d):
-    target, source = _sides(spark, d)
+    target, source = _sides(_small_counts(spark, d))
     out = floors.analytic_floors(target, source, ["domain"], K)
     return out.select("domain", *[r9(c).alias(c) for c in ("chance_macro_f1", "majority_macro_f1", "prior_matched_macro_f1")])
 
@@ -155,8 +160,9 @@ FROM scored s JOIN fl ON fl.domain = s.domain GROUP BY s.domain"""
 @query("macro_f1_with_floors", FLAGSHIP_SQL)
 def macro_f1_with_floors(spark, d):
     """Macro-F1 per domain beside its chance, majority and prior-matched floors."""
-    scores = metrics.macro_f1(event_counts(spark, d), CLASSES, ["domain"])
-    target, source = _sides(spark, d)
+    counts = _small_counts(spark, d)
+    scores = metrics.macro_f1(counts, CLASSES, ["domain"])
+    target, source = _sides(counts)
     out = scores.join(floors.analytic_floors(target, source, ["domain"], K), "domain")
     return out.select("domain", *[r9(c).alias(c) for c in out.columns if c != "domain"])
 
@@ -193,7 +199,7 @@ def floors_uniform_draws(spark, d):
     f"({sql_list(CLASSES)})[least({K - 1}, (SELECT count(*) FROM cum c WHERE c.domain = d.domain AND c.cq <= {_U} / 4294967296.0::DOUBLE)) + 1]",
     ", cum AS (SELECT domain, class, sum(q) OVER (PARTITION BY domain ORDER BY class) AS cq FROM both_sides)"))
 def floors_prior_draws(spark, d):
-    _, source = _sides(spark, d)
+    _, source = _sides(_small_counts(spark, d))
     cum = source.select("domain", floors.cumulative(F.col("p")).alias("cum"))
     p = predictions(spark, d).join(small_side(cum), "domain")
     return _rounded(floors.empirical_floor(p, CLASSES, ["domain"], floors.prior_prediction(CLASSES, "cum"), "item_id", REPS))
@@ -202,7 +208,7 @@ def floors_prior_draws(spark, d):
 @query("floors_multinomial")
 def floors_multinomial(spark, d):
     """1,000 draws per domain from the class counts; cost does not grow with items."""
-    target, source = _sides(spark, d)
+    target, source = _sides(_small_counts(spark, d))
     both = target.select("domain", "counts").join(source.select("domain", F.col("p").alias("q")), "domain")
     return _rounded(floors.multinomial_floor(both, ["domain"], 1000, q="q"))
 
