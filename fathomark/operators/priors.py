@@ -8,6 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.small import take_bounded
+
+MAX_CORPORA = 1_000
+
 
 def class_counts(df: DataFrame, by: Sequence[str], label: str = "label") -> DataFrame:
     return df.where(F.col(label).isNotNull()).groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
@@ -93,10 +97,14 @@ def ordered_pairs(df: DataFrame, key: str, same: bool = False) -> DataFrame:
     """All ordered pairs of a corpus-level frame (one row per corpus), as s_* and t_* columns.
 
     The corpus list is folded into one array value and exploded, so the pairing is
-    a projection over K rows rather than a join of two inputs.
+    a projection over K rows rather than a join of two inputs. More rows than a list
+    of corpora can have are refused: they would mean items were passed in.
     """
     cols = df.columns
-    packed = df.agg(F.sort_array(F.collect_list(F.struct(key, *[c for c in cols if c != key]))).alias("all"))
+    rows = take_bounded(df, MAX_CORPORA)
+    if rows is None:
+        raise ValueError(f"ordered_pairs expects one row per corpus, got more than {MAX_CORPORA}")
+    packed = df.sparkSession.createDataFrame(rows, df.schema).agg(F.sort_array(F.collect_list(F.struct(key, *[c for c in cols if c != key]))).alias("all"))
     left = packed.select(F.explode("all").alias("s"), "all")
     both = left.select("s", F.explode("all").alias("t"))
     if not same:

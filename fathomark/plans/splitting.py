@@ -223,7 +223,7 @@ cov AS (SELECT p.corpus, seed, count(DISTINCT label) AS nl FROM parts p JOIN cel
 pick AS (SELECT corpus, arg_min(seed, (-nl, seed)) AS seed FROM cov GROUP BY corpus)
 SELECT p.corpus, p.seed, p.grp, CASE WHEN f THEN 'train' ELSE 'test' END AS role FROM parts p JOIN pick k ON k.corpus = p.corpus AND k.seed = p.seed""")
 def coverage_split(spark, d):
-    return splits.coverage_split(split_items(spark, d), 0.9)
+    return splits.coverage_split(split_items(spark, d), 0.9).withColumn("seed", F.col("seed").cast("long"))
 
 
 @query("group_key", """SELECT conv_id, turn, CASE WHEN role = 'user' AND conv_id % 3 <> 0 THEN CAST(conv_id AS VARCHAR) ELSE role END AS grp FROM conversations""")
