@@ -277,7 +277,7 @@ coarse AS (SELECT classifier, quantile_cont(wall_seconds, 0.5) AS m FROM ledger
 r(classifier, ratio) AS (VALUES ('mlp', 1.5::DOUBLE), ('logreg', 0.5::DOUBLE)),
 runs AS (SELECT classifier, layer_index, count(*) AS runs FROM ledger GROUP BY ALL)
 SELECT runs.classifier, runs.layer_index, runs, {sql_r9('coalesce(fine.m, coarse.m)')} AS median_seconds, fine.m IS NULL AS used_fallback,
-{sql_r9('runs * coalesce(fine.m, coarse.m) * coalesce(ratio, 1.0) / 3600')} AS hours FROM runs
+{sql_r9('runs * (coalesce(fine.m, coarse.m) * coalesce(ratio, 1.0::DOUBLE)) / 3600::DOUBLE')} AS hours FROM runs
 LEFT JOIN fine ON fine.classifier = runs.classifier AND fine.layer_index = runs.layer_index
 LEFT JOIN coarse ON coarse.classifier = runs.classifier LEFT JOIN r ON r.classifier = runs.classifier""")
 def project_cost(spark, d):
