@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 # White space of the word rules: \x20 and \x09-\x0D.
-SQL_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+SQL_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 
 @query(
@@ -40,7 +40,7 @@ SQL_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-
     gone AS (SELECT doc_id, list(p) AS ps FROM hit GROUP BY doc_id),
     kept AS (
       SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
-             CASE WHEN ps IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), z -> NOT list_contains(ps, z[2])), z -> z[1]) END AS k
+             CASE WHEN ps IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: NOT list_contains(ps, z[2])), lambda z: z[1]) END AS k
       FROM d LEFT JOIN gone USING (doc_id))
     SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
     """,

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomark.llm.words import Flat, chunks, split_words, window_hashes, window_starts
+from fathomark.sources.scratch import materialise
 
 LENGTH = 13
 SEED = 5
@@ -200,36 +201,47 @@ def _run_rows(length: int, seed: int):
     return run
 
 
-SPAN_SCHEMA = "doc_id long, version long, start long, stop long"
+SPAN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+
+
+class _Shard:
+    """The runs of one home, streamed in document order; what was new is stored when the document ends."""
+
+    def __init__(self, home: int, length: int) -> None:
+        self.home, self.length = home, length
+        self.automaton, self.known = SuffixAutomaton(), {}
+        self.document, self.pending = None, []
+
+    def settle(self, document: int, text: str) -> Iterator[tuple[int, int]]:
+        """Word ranges of ``text`` whose windows are stored already."""
+        if document != self.document:
+            for words in self.pending:
+                self.automaton.add(words)
+            self.document, self.pending = document, []
+        number = self.known.setdefault
+        words = [number(w, len(self.known)) for w in text.split(" ")]
+        seen = np.array(self.automaton.matching_statistics(words)[self.length - 1 :]) >= self.length
+        edge = [0, *(np.flatnonzero(seen[1:] != seen[:-1]) + 1).tolist(), len(seen)]
+        for i, j in zip(edge, edge[1:]):
+            if seen[i]:
+                yield i, j + self.length - 1
+            else:
+                self.pending.append(words[i : j + self.length - 1])
 
 
 def _settle(length: int):
-    """One shard: stream its runs in document order, then store what was new."""
-    import pandas as pd
-
-    def run(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["doc_id", "version", "start"], kind="stable")
-        automaton, pending, current, out = SuffixAutomaton(), [], None, []
-        known: dict[str, int] = {}
-        for doc, version, start, text in zip(shard["doc_id"], shard["version"], shard["start"], shard["words"]):
-            if doc != current:
-                for words in pending:
-                    automaton.add(words)
-                pending, current = [], doc
-            words = [known.setdefault(w, len(known)) for w in text.split(" ")]
-            # One entry per window, whether its word sequence is stored already.
-            seen = [size >= length for size in automaton.matching_statistics(words)[length - 1 :]]
-            i = 0
-            while i < len(seen):
-                j = i
-                while j < len(seen) and seen[j] == seen[i]:
-                    j += 1
-                if seen[i]:
-                    out.append((doc, version, start + i, start + j + length - 1))
-                else:
-                    pending.append(words[i : j + length - 1])
-                i = j
-        return pd.DataFrame(out, columns=["doc_id", "version", "start", "stop"])
+    """Rows sorted by home, document, version and start -> spans to remove."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for batch in batches:
+            out: list[tuple] = []
+            for home, doc, version, start, text in zip(*(batch.column(c).to_pylist() for c in ("home", "doc_id", "version", "start", "words"))):
+                if shard is None or shard.home != home:
+                    shard = _Shard(home, length)
+                out += [(doc, version, start + i, start + j) for i, j in shard.settle(doc, text)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=SPAN_SCHEMA)
 
     return run
 
@@ -286,8 +298,8 @@ def _cut(as_digest: bool):
     return run
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Word spans (doc_id, version, start, stop) to remove; ``docs`` has doc_id and text, no null ids."""
+def candidate_runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Runs of words that may be repeated, with the home they are settled at; ``docs`` has no null ids."""
     anchors = docs.mapInArrow(_anchor_rows(length, seed), "anchor long, doc_id long")
     repeated = (
         anchors.groupBy("anchor").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
@@ -297,8 +309,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard
     load = repeated.groupBy("home").agg((F.sum("n") * length).alias("load"))
     homes = repeated.join(load.filter(F.col("load") > shard_words), "home", "left").select("anchor", "home", F.col("load").isNotNull().alias("hot"))
     marks = anchors.join(homes, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "home", "hot")).alias("marks"))
-    runs = docs.join(marks, "doc_id").mapInArrow(_run_rows(length, seed), "home long, hot boolean, doc_id long, version long, start long, words string")
-    return runs
+    return docs.join(marks, "doc_id").mapInArrow(_run_rows(length, seed), "home long, hot boolean, doc_id long, version long, start long, words string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_words: int = SHARD_WORDS, as_digest: bool = False) -> DataFrame:
@@ -309,12 +320,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shar
     take no part and lose nothing. Rows that share an id do not remove each other's words. Other columns of
     ``docs`` are ignored.
     """
-    from fathomark.sources.scratch import materialise
-
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.filter("doc_id is not null")
-    runs = materialise(removed_spans(known, length, seed, shard_words), "repeat-runs")
-    cold = runs.filter("not hot").select("home", "doc_id", "version", "start", "words").groupBy("home").applyInPandas(_settle(length), SPAN_SCHEMA)
+    runs = materialise(candidate_runs(known, length, seed, shard_words), "repeat-runs")
+    cold = runs.filter("not hot").select("home", "doc_id", "version", "start", "words").repartition("home").sortWithinPartitions("home", "doc_id", "version", "start")
+    cold = cold.mapInArrow(_settle(length), "doc_id long, version long, start long, stop long")
     windows = runs.filter("hot").select("doc_id", "version", "start", "words").mapInArrow(_hot_windows(length), "window long, doc_id long, version long, start long")
     first = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("window", "first")
     hot = windows.join(first, "window").filter("doc_id > first").select("doc_id", "version", "start", (F.col("start") + length).alias("stop"))
