@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomark.llm import substrings
+from fathomark.llm import bpe, decontaminate, near_dup, substrings, token_store, toxicity
 from fathomark.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 # White space of the word rules: \x20 and \x09-\x0D.
 SQL_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
@@ -48,3 +54,78 @@ SQL_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, sf_dir, "documents"), as_digest=True)
     return out.withColumnRenamed("kept", "kept_sha256")
+
+
+SQL_SHINGLES = f"""
+    words AS (SELECT doc_id, {SQL_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+    sets AS (
+      SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words)
+"""
+
+
+@query(
+    "op1_minhash_near_dedup",
+    f"""
+    WITH RECURSIVE {SQL_SHINGLES},
+    classes AS (SELECT min(doc_id) AS rep, list_sort(s) AS k, any_value(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+    member AS (SELECT doc_id, rep FROM sets JOIN classes ON list_sort(sets.s) = classes.k),
+    grams AS (SELECT rep, unnest(s) AS g FROM classes),
+    often AS (SELECT a.rep AS u, b.rep AS v, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep),
+    links AS (
+      SELECT u, v FROM often JOIN classes x ON x.rep = u JOIN classes y ON y.rep = v
+      WHERE 100 * c >= 75 * (len(x.s) + len(y.s) - c)),
+    both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+    reach(n, m) AS (SELECT rep, rep FROM classes UNION SELECT reach.n, both_ways.v FROM reach JOIN both_ways ON reach.m = both_ways.u),
+    least AS (SELECT n AS rep, min(m) AS c FROM reach GROUP BY n)
+    SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+    FROM sets d LEFT JOIN member USING (doc_id) LEFT JOIN least USING (rep)
+    """,
+)
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+SQL_TOKENS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+SQL_HITS = f"""
+    bw AS (SELECT item_id, {SQL_TOKENS} AS w FROM benchmark),
+    dw AS (SELECT doc_id, {SQL_TOKENS} AS w FROM docs),
+    bwin AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win
+      FROM (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM bw WHERE len(w) > 0)),
+    lens AS (SELECT DISTINCT n FROM bwin),
+    dwin AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, lens WHERE len(w) >= n)),
+    hit AS (SELECT doc_id, item_id, i, dwin.n FROM dwin JOIN bwin ON dwin.win = bwin.win AND dwin.n = bwin.n),
+    places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+"""
+
+
+@query(
+    "op5_decontaminate",
+    f"""
+    WITH docs AS (SELECT * FROM documents), {SQL_HITS}
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM dw LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+)
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("version")
+
+
+@query("op7_bpe")
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), decoded=True, digests=True)
+    return out.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
+
+
+@query("op8_token_store")
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_and_read(table(spark, sf_dir, "documents"), vocabulary_path(), end_id=1)
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))

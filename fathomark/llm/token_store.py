@@ -42,7 +42,7 @@ _U = np.uint64
 
 
 def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
-    return mix(np.asarray(keys, np.int64).view(np.uint64) + _U(0x9E3779B97F4A7C15) * _U(seed + 1))
+    return mix(np.asarray(keys, np.int64).view(np.uint64) + _U(0x9E3779B97F4A7C15 * (seed + 1) % (1 << 64)))
 
 
 def _slot(h: np.ndarray, pilot, n: int) -> np.ndarray:
