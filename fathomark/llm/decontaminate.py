@@ -3,13 +3,16 @@
 Words are runs of characters outside ``[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]``, A-Z lower-cased. A benchmark
 item contributes its windows of ``length`` consecutive words; an item with fewer words is one window.
 
-Every document window is hashed where it is read, without a shuffle, and looked up in a broadcast hash set of
-the benchmark's window hashes. Hits are verified against the words themselves. Only verified hits are
-shuffled. The scan folds case by ``lower``, which merges all that the exact rule merges and perhaps more; the
-verification uses the exact rule.
-
-The set is broadcast after a count: up to ``broadcast_windows`` windows (16 bytes each, and the texts of the
-windows for the verification of the few hits). Beyond, the same joins shuffle; the rows are the same.
+1. Each benchmark window names its longest pair of neighbouring words. The hashes of these pairs are a constant
+   set in the scan: a document without any of them holds no window. One pass over all texts counts the words and
+   keeps the texts that may hit.
+2. Every window of those texts is hashed where it is read and looked up in a broadcast hash set of the benchmark
+   windows; hits are verified against the words themselves. Only verified hits are shuffled.
+
+The scan folds case by ``lower``, which merges all that the exact rule merges and perhaps more and leaves the word
+boundaries; the verification uses the exact rule. The set is broadcast after a count: up to
+``broadcast_windows`` windows (about 200 bytes each with its words). Beyond, the pairs are not used and the same
+join shuffles; the rows are the same.
 """
 
 from __future__ import annotations
@@ -17,8 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomark.sources.scratch import materialise
+
 LENGTH = 13
-BROADCAST_WINDOWS = 1_000_000
+BROADCAST_WINDOWS = 200_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -27,14 +32,22 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
 
 
-def _windows(words: Column, lengths: list[int]) -> Column:
-    """All windows of the given lengths as an array of (pos, len, hash); positions count from 1."""
-    parts = []
-    for n in lengths:
+def _windows(text: Column, lengths: list[int]) -> Column:
+    """All windows of the given lengths as an array of (pos, len, hash); positions count from 1.
+
+    The words are an element of a one-element array, so that the lambda over positions refers to a value and not
+    to the expression that splits the text.
+    """
+    return F.transform(F.array(_words(text)), lambda words: _windows_of(words, lengths))[0]
+
+
+def _windows_of(words: Column, lengths: list[int]) -> Column:
+    def of(n: int) -> Column:
         last = F.size(words) - (n - 1)
-        entry = lambda i, n=n: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.slice(words, i, n)).alias("hash"))
-        some = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), entry)
-        parts.append(F.when(last >= 1, some).otherwise(F.array().cast("array<struct<pos:int,len:int,hash:bigint>>")))
+        some = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.slice(words, i, n)).alias("hash")))
+        return F.when(last >= 1, some).otherwise(F.array().cast("array<struct<pos:int,len:int,hash:bigint>>"))
+
+    parts = [of(n) for n in lengths]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
@@ -51,19 +64,38 @@ def benchmark_windows(items: DataFrame, length: int = LENGTH) -> DataFrame:
     return rows.groupBy("hash", "len", "window").agg(F.collect_set("item_id").alias("item_ids"))
 
 
-def hits(docs: DataFrame, items: DataFrame, length: int = LENGTH, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Verified hits: doc_id, version (a hash of the text), pos, len, item_ids."""
-    windows = benchmark_windows(items, length)
-    lengths = sorted(r["len"] for r in windows.select("len").distinct().collect())  # at most `length` values
-    if not lengths:
-        lengths = [length]
+def _pairs(words: Column) -> Column:
+    """A hash of each pair of neighbouring words."""
+    return F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+
+
+def scan(docs: DataFrame, items: DataFrame, length: int = LENGTH, broadcast_windows: int = BROADCAST_WINDOWS) -> tuple[DataFrame, DataFrame]:
+    """(every row's doc_id, version and n_words; the verified hits: doc_id, version, pos, len, item_ids).
+
+    ``version`` is a hash of the text.
+    """
+    windows = materialise(benchmark_windows(items, length), "benchmark-windows")
+    lengths = sorted(r["len"] for r in windows.select("len").distinct().collect()) or [length]  # at most `length` values
     few = windows.limit(broadcast_windows + 1).count() <= broadcast_windows
-    send = F.broadcast if few else (lambda df: df)
-    folded = docs.select("doc_id", "text", _words(F.lower("text")).alias("folded"))
-    scanned = folded.select("doc_id", "text", _windows(F.col("folded"), lengths).alias("windows"))
-    found = scanned.select("doc_id", "text", F.inline("windows")).join(send(windows.select("hash").distinct()), "hash")
-    found = found.select("doc_id", F.xxhash64("text").alias("version"), "pos", "len", "hash", _text(_words(F.col("text")), F.col("pos"), F.col("len")).alias("window"))
-    return found.join(send(windows), ["hash", "len", "window"]).select("doc_id", "version", "pos", "len", "item_ids")
+    may_hit = lambda words: F.lit(True)
+    if few and lengths[0] > 1:
+        folded = F.split(F.lower("window"), " ")
+        longest = F.array_max(F.zip_with(folded, F.slice(folded, 2, F.size(folded) - 1), lambda a, b: F.struct((F.length(a) + F.length(b)).alias("n"), F.xxhash64(a, b).alias("pair"))))["pair"]
+        marks = [str(r["pair"]) for r in windows.select(longest.alias("pair")).distinct().collect()]  # bounded by the count above
+        known_pairs = F.split(F.lit(",".join(marks)), ",").cast("array<bigint>")
+        may_hit = lambda words: F.arrays_overlap(_pairs(words), known_pairs)
+    look = F.transform(F.array(_words(F.lower("text"))), lambda words: F.struct(F.size(words).cast("long").alias("n_words"), F.coalesce(may_hit(words), F.lit(False)).alias("may_hit")))[0]
+    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), "text", look.alias("look"))
+    rows = rows.select("doc_id", "version", F.col("look")["n_words"].alias("n_words"), F.when(F.col("look")["may_hit"], F.col("text")).alias("text"))
+    rows = materialise(rows, "benchmark-scan")
+
+    known = windows.withColumnsRenamed({"hash": "known_hash", "len": "known_len"})
+    known = F.broadcast(known) if few else known
+    places = rows.filter("text is not null").select("doc_id", "version", "text", _windows(F.lower("text"), lengths).alias("windows")).select("doc_id", "version", "text", F.inline("windows"))
+    exact = _text(_words(F.col("text")), F.col("pos"), F.col("len"))
+    # Two inequalities, so that the words are compared after the hashes met and are not a join key themselves.
+    same = (F.col("hash") == F.col("known_hash")) & (exact >= F.col("window")) & (exact <= F.col("window"))
+    return rows.select("doc_id", "version", "n_words"), places.join(known, same).select("doc_id", "version", "pos", "len", "item_ids")
 
 
 def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, percent: int = 5, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -74,8 +106,7 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, perce
     rows with the same id are told apart by their text. An item with a null id marks words but is not counted
     or listed. Other columns are ignored. An empty benchmark hits nothing.
     """
-    docs = docs.select("doc_id", "text")
-    found = hits(docs, items.select("item_id", "text"), length, broadcast_windows)
+    all_docs, found = scan(docs.select("doc_id", "text"), items.select("item_id", "text"), length, broadcast_windows)
     spans = F.array_sort(F.collect_set(F.struct("pos", "len")))
     doc = found.groupBy("doc_id", "version").agg(spans.alias("spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("ids"))
     start = F.struct(F.lit(1).alias("next"), F.lit(0).cast("long").alias("n"))
@@ -89,7 +120,6 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, perce
         F.col("doc_id").alias("hit_id"), F.col("version").alias("hit_version"), F.aggregate("spans", start, cover)["n"].alias("n_hit"), F.size("ids").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.transform("ids", lambda i: i.cast("string"))), ","), 256).alias("items_sha256"),
     )
-    all_docs = docs.select("doc_id", F.xxhash64("text").alias("version"), F.size(_words(F.col("text"))).cast("long").alias("n_words"))
     out = all_docs.join(doc, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("version") == F.col("hit_version")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
@@ -109,7 +139,7 @@ def cut_spans(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFr
 
     In a text that loses words the words that stay, with their case, are joined by one space.
     """
-    spans = hits(docs.select("doc_id", "text"), items.select("item_id", "text"), length).groupBy("doc_id", "version").agg(F.collect_set(F.struct("pos", "len")).alias("hit_spans"))
+    spans = scan(docs.select("doc_id", "text"), items.select("item_id", "text"), length)[1].groupBy("doc_id", "version").agg(F.collect_set(F.struct("pos", "len")).alias("hit_spans"))
     spans = spans.withColumnsRenamed({"doc_id": "hit_id", "version": "hit_version"})
     out = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("hit_id")) & (F.xxhash64(docs["text"]) == F.col("hit_version")), "left")
     gone = F.flatten(F.transform("hit_spans", lambda s: F.sequence(s["pos"], s["pos"] + s["len"] - 1)))
