@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomark.llm import bpe, decontaminate, near_dup, substrings, token_store, toxicity
+from fathomark.llm import bpe, decontaminate, html_text, near_dup, quality, substrings, token_store, tool_calls, topk, toxicity
 from fathomark.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,62 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op4_html_text")
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op6_topk",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+    SELECT query_id, rank::INT AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+    """,
+)
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query(
+    "op10_tool_calls",
+    """
+    WITH t AS (
+      SELECT conv_id, turn, (min({'r': coalesce(role, ''), 't': coalesce(text, '')})).r AS role, (min({'r': coalesce(role, ''), 't': coalesce(text, '')})).t AS text
+      FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+    asked AS (SELECT conv_id, turn, text, string_split(text, chr(10)) AS ls FROM t WHERE role <> 'assistant'),
+    calls AS (
+      SELECT conv_id, turn, k - 1 AS place, 'call-' || conv_id || '-' || turn || '-' || k AS call_id,
+             to_json({'text': ls[k], 'turn': turn})::VARCHAR AS arguments, 'note' AS name
+      FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS k FROM asked)
+      UNION ALL
+      SELECT conv_id, turn, len(ls), 'call-' || conv_id || '-' || turn || '-0', to_json({'lines': len(ls), 'text': text, 'turn': turn})::VARCHAR, 'answer' FROM asked),
+    answers AS (SELECT conv_id, turn, 'call-' || conv_id || '-' || (turn - 1) || '-0' AS call_id, text FROM t WHERE role = 'assistant'),
+    both_sides AS (
+      SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.turn, a.turn) AS turn, coalesce(c.place, 0)::INT AS place, coalesce(c.call_id, a.call_id) AS call_id,
+             CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN a.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status, c.call_id IS NOT NULL AS in_order,
+             c.arguments, c.name, a.text AS result
+      FROM calls c FULL OUTER JOIN answers a ON c.conv_id = a.conv_id AND c.call_id = a.call_id)
+    SELECT conv_id, turn, place, call_id, status, in_order, 0::BIGINT AS n_faults,
+           sha256('{"arguments":' || coalesce(arguments, 'null') || ',"id":' || to_json(call_id)::VARCHAR || ',"name":' || coalesce('"' || name || '"', 'null')
+             || ',"result":' || coalesce(to_json(result)::VARCHAR, 'null') || ',"status":"' || status || '","valid":true}') AS json_sha256
+    FROM both_sides
+    """,
+)
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages, results = tool_calls.calls_of_turns(table(spark, sf_dir, "conversations"))
+    out = tool_calls.link(messages, results, tool_calls.SCHEMAS)
+    return out.select("conv_id", "turn", "place", "call_id", "status", "in_order", F.size("faults").cast("long").alias("n_faults"), F.sha2(F.col("json"), 256).alias("json_sha256"))
