@@ -279,3 +279,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 75, has
     out = rows.select("doc_id", "n_shingles").join(member, "doc_id", "left")
     component = F.coalesce("component_id", "class_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """``docs``, all columns, without the documents that are not the smallest id of their component.
+
+    Rows with a null id and texts without words stay; repeated rows of a kept id all stay.
+    """
+    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("__gone_id"), "left_anti")

@@ -312,6 +312,17 @@ def candidate_runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shar
     return docs.join(marks, "doc_id").mapInArrow(_run_rows(length, seed), "home long, hot boolean, doc_id long, version long, start long, words string")
 
 
+def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id and spans (version, start, stop in words) of every document that loses words; no null ids."""
+    runs = materialise(candidate_runs(docs, length, seed, shard_words), "repeat-runs")
+    cold = runs.filter("not hot").select("home", "doc_id", "version", "start", "words").repartition("home").sortWithinPartitions("home", "doc_id", "version", "start")
+    cold = cold.mapInArrow(_settle(length), "doc_id long, version long, start long, stop long")
+    windows = runs.filter("hot").select("doc_id", "version", "start", "words").mapInArrow(_hot_windows(length), "window long, doc_id long, version long, start long")
+    first = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("window", "first")
+    hot = windows.join(first, "window").filter("doc_id > first").select("doc_id", "version", "start", (F.col("start") + length).alias("stop"))
+    return cold.unionByName(hot).groupBy("doc_id").agg(F.collect_list(F.struct("version", "start", "stop")).alias("spans"))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_words: int = SHARD_WORDS, as_digest: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the text without repeated spans).
 
@@ -322,14 +333,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shar
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.filter("doc_id is not null")
-    runs = materialise(candidate_runs(known, length, seed, shard_words), "repeat-runs")
-    cold = runs.filter("not hot").select("home", "doc_id", "version", "start", "words").repartition("home").sortWithinPartitions("home", "doc_id", "version", "start")
-    cold = cold.mapInArrow(_settle(length), "doc_id long, version long, start long, stop long")
-    windows = runs.filter("hot").select("doc_id", "version", "start", "words").mapInArrow(_hot_windows(length), "window long, doc_id long, version long, start long")
-    first = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("window", "first")
-    hot = windows.join(first, "window").filter("doc_id > first").select("doc_id", "version", "start", (F.col("start") + length).alias("stop"))
-    spans = cold.unionByName(hot).groupBy("doc_id").agg(F.collect_list(F.struct("version", "start", "stop")).alias("spans"))
+    spans = repeated_spans(known, length, seed, shard_words)
     cut = "doc_id long, n_words long, n_removed long, kept string"
     out = known.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut(as_digest), cut)
     empty = F.array().cast("array<struct<version:long,start:long,stop:long>>")
     return out.unionByName(docs.filter("doc_id is null").select("doc_id", "text", empty.alias("spans")).mapInArrow(_cut(as_digest), cut))
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``docs``, all columns, with repeated spans cut out of ``text`` (rules of ``remove_repeats``; a null stays null)."""
+    spans = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null"), length, seed, shard_words)
+    spans = spans.select(F.col("doc_id").alias("__cut_id"), F.col("spans").alias("__cut_spans"))
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = _cut(False)
+        for batch in batches:
+            few = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text"), batch.column("__cut_spans")], names=["doc_id", "text", "spans"])
+            for done in cutter(iter([few])):
+                kept = done.column("kept")
+                null = batch.column("text").is_null()
+                text = pa.array([None if n else v for n, v in zip(null.to_pylist(), kept.to_pylist())], batch.column("text").type)
+                yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in names], names=names)
+
+    joined = docs.join(spans, docs["doc_id"] == F.col("__cut_id"), "left").select(*[docs[c] for c in names], "__cut_spans")
+    return joined.mapInArrow(run, docs.schema)
