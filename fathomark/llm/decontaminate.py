@@ -82,7 +82,7 @@ def scan(docs: DataFrame, items: DataFrame, length: int = LENGTH, broadcast_wind
         folded = F.split(F.lower("window"), " ")
         longest = F.array_max(F.zip_with(folded, F.slice(folded, 2, F.size(folded) - 1), lambda a, b: F.struct((F.length(a) + F.length(b)).alias("n"), F.xxhash64(a, b).alias("pair"))))["pair"]
         marks = [str(r["pair"]) for r in windows.select(longest.alias("pair")).distinct().collect()]  # bounded by the count above
-        known_pairs = F.split(F.lit(",".join(marks)), ",").cast("array<bigint>")
+        known_pairs = (F.split(F.lit(",".join(marks)), ",") if marks else F.array()).cast("array<bigint>")
         may_hit = lambda words: F.arrays_overlap(_pairs(words), known_pairs)
     look = F.transform(F.array(_words(F.lower("text"))), lambda words: F.struct(F.size(words).cast("long").alias("n_words"), F.coalesce(may_hit(words), F.lit(False)).alias("may_hit")))[0]
     rows = docs.select("doc_id", F.xxhash64("text").alias("version"), "text", look.alias("look"))

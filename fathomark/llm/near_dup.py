@@ -36,7 +36,7 @@ HASHES = 72
 ORDERS = 24
 LEAST_DEPTH = 3
 KEY_DEPTH = 8
-REACH = 4
+REACH = 12
 SLACK = 4.0
 _RNG = np.random.default_rng(20240601)
 _MULTIPLY = _RNG.integers(1, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
