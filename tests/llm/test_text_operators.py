@@ -75,7 +75,7 @@ def test_contamination_of_nothing(spark, docs, none, benchmark):
 
 
 PATH = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
-ODD = st.text(alphabet=st.sampled_from(list("aAbT 'sre19.,!?\n\t\x0b\x1c\x1f\x85\xa0 ßÉéΣσςİ́̊Å中한ﬁ²🙂‍\x00") + ["<|endoftext|>", "<|START", "don't", "aaaa"]), max_size=40)
+ODD = st.lists(st.sampled_from(list("aAbT 'sre19.,!?\n\t\x0b\x1c\x1f\x85\xa0 ßÉéΣσςİ́̊Å中한ﬁ²🙂‍\x00") + ["<|endoftext|>", "<|START", "don't", "aaaa"]), max_size=40).map("".join)
 
 
 @pytest.fixture(scope="module")
@@ -144,7 +144,7 @@ def test_html_text():
     <article><header><h1>Head &amp; line</h1></header><p>One  <b>two</b>&nbsp;three<br>four<p>a &lt; b<div class="ad-slot">Buy</div><script>var x="<p>no</p>";</script><!-- <p>hidden</p> -->
     <p>End.</p><section id="comments"><p>nice</p></section></article><footer>&copy; us</footer></body></html>"""
     assert html_text.main_text(page) == "Head & line\nOne two three four\na < b\nEnd."
-    assert [html_text.main_text(x) for x in (None, "", "<p></p>", "plain", "a<b", "<div", "<p>x")] == ["", "", "", "plain", "a<b" if False else html_text.main_text("a<b"), "", "x"]
+    assert [html_text.main_text(x) for x in (None, "", "<p></p>", "plain", "a<b", "<div", "<p>x")] == ["", "", "", "plain", "a", "", "x"]
     body = "".join(f"<p>Sentence {k} of the story goes on for a while.</p>" for k in range(5))
     menu = "<ul>" + "".join(f"<li><a href='/{k}'>Section {k}</a></li>" for k in range(6)) + "</ul>"
     out = html_text.main_text(f"<body>{menu}<div class=content>{body}</div><div class='sidebar'><p>Other things to read here.</p></div>{menu}</body>")
