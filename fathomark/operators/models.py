@@ -105,16 +105,21 @@ def fit_logreg(train: DataFrame, classes, params, label, n) -> Fitted:
 
 def fit_svm_linear(train: DataFrame, classes, params, label, n) -> Fitted:
     svc = LinearSVC(featuresCol="_x", labelCol="_y", regParam=1.0 / (params["C"] * n), standardization=False,
-                    maxIter=params.get("max_iter", 100))
+                    maxIter=params.get("max_iter", MAX_ITER))
     model = OneVsRest(classifier=svc, featuresCol="_x", labelCol="_y", parallelism=4).fit(_indexed(train, classes, label))
-    return Fitted(_ml_predict(model, classes, None))
+    used = max((m.summary().totalIterations for m in model.models), default=0)
+    if used >= svc.getMaxIter():
+        raise NotConverged(f"linear SVM stopped at {used} iterations")
+    return Fitted(_ml_predict(model, classes, None), int(used))
 
 
 def fit_mlp(train: DataFrame, classes, params, label, n) -> Fitted:
     d = len(train.select("v").first()["v"])
     mlp = MultilayerPerceptronClassifier(
         featuresCol="_x", labelCol="_y", layers=[d, int(params.get("hidden", HIDDEN[0])), len(classes)],
-        maxIter=params.get("max_iter", 100), seed=int(params.get("seed", 0)), stepSize=params["lr"],
+        maxIter=params.get("max_iter", 100), seed=int(params.get("seed", 0)),
+        # The default solver ignores the step size, the one dimension of this search.
+        solver="gd", stepSize=params["lr"],
     )
     return Fitted(_ml_predict(mlp.fit(_indexed(train, classes, label)), classes, "probability"))
 
@@ -205,11 +210,14 @@ def build(family: str, train: DataFrame, classes: Sequence[str], params: Mapping
 # ---- selection -------------------------------------------------------------
 @dataclass
 class Selection:
+    """The winning candidate, its position in the list, and the record of every trial."""
+
     family: str
     params: dict
     score: float
     trials: list[dict]
     fitted: Fitted
+    index: int
 
 
 def score_of(predicted: DataFrame, classes: Sequence[str], label: str) -> dict:
@@ -224,31 +232,32 @@ def fit_select(
 ) -> Selection:
     """Fit every candidate on train, score on val only, keep the first best.
 
-    A candidate that fails is recorded and cannot win; it is not replaced by another.
+    The budget is the list: nothing is drawn in place of a candidate without a score.
     """
     # Counted once; every candidate then reuses the same persisted rows.
     train, val = train.persist(), val.persist()
-    cache: dict = {}
-    trials, best = [], None
+    heads: dict[int, Fitted] = {}
+    trials = []
     try:
+        shared: dict = {}
         n = train.count()
         for i, p in enumerate(params):
-            rec = {"candidate_index": i, "params_json": json.dumps(dict(p), sort_keys=True), "score": None, "error": None, "n_iter": None}
+            score = why = None
             try:
-                fitted = build(family, train, classes, p, label, n, cache)
-                rec["score"] = float(score_of(fitted.predict(val), classes, label)["macro_f1"])
-                rec["n_iter"] = fitted.n_iter
-            except Exception as exc:  # noqa: BLE001 - a failed trial is data
-                rec["error"] = str(exc)[:200]
-            trials.append(rec)
-            if rec["score"] is not None and (best is None or rec["score"] > best[0]):
-                best = (rec["score"], dict(p), fitted)
+                heads[i] = build(family, train, classes, p, label, n, shared)
+                score = float(score_of(heads[i].predict(val), classes, label)["macro_f1"])
+            except Exception as exc:  # noqa: BLE001 - kept in the trial's record
+                heads.pop(i, None)
+                why = str(exc)
+            used = heads[i].n_iter if i in heads else None
+            trials.append({"candidate_index": i, "params_json": json.dumps(dict(p), sort_keys=True), "score": score, "error": why, "n_iter": used})
     finally:
         train.unpersist()
         val.unpersist()
-    if best is None:
-        raise RuntimeError(f"{family}: all {len(trials)} trials failed: {trials[0]['error']}")
-    return Selection(family, best[1], best[0], trials, best[2])
+    if not heads:
+        raise RuntimeError(f"no candidate of {family} has a score; the first says: {trials[0]['error'] if trials else 'empty list'}")
+    winner = max(heads, key=lambda i: (trials[i]["score"], -i))
+    return Selection(family, dict(params[winner]), trials[winner]["score"], trials, heads[winner], winner)
 
 
 # ---- cells -----------------------------------------------------------------

@@ -39,31 +39,34 @@ def pack_arms(df: DataFrame, classes: Sequence[str], by: Sequence[str], arm: str
     return df.groupBy(*by, "seed", "cond", "grp").agg(*cells)
 
 
-def index_groups(packed: DataFrame) -> DataFrame:
-    """(seed, grp, idx, group_n): a dense 0-based index of the groups of each seed."""
-    g = packed.select("seed", "grp").distinct()
+def index_groups(packed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, seed, grp, idx, group_n): a dense 0-based index of the groups of each seed of each key."""
+    g = packed.select(*by, "seed", "grp").distinct()
     h = draw_hash(F.col("seed"), F.col("grp"))
-    ranked = hash_rank(g.withColumn("_h", h), ["seed"], "_h", ["grp"], "_r")
-    return ranked.select("seed", "grp", (F.col("_r") - 1).alias("idx"), "group_n")
+    ranked = hash_rank(g.withColumn("_h", h), [*by, "seed"], "_h", ["grp"], "_r")
+    return ranked.select(*by, "seed", "grp", (F.col("_r") - 1).alias("idx"), "group_n")
 
 
-def group_draws(groups: DataFrame, reps: int, salt: str = "boot") -> DataFrame:
-    """(rep, seed, idx): as many draws with replacement as the seed has groups."""
+def group_draws(groups: DataFrame, reps: int, salt: str = "boot", by: Sequence[str] = ()) -> DataFrame:
+    """(by, rep, seed, idx): as many draws with replacement as the key's seed has groups.
+
+    The draws of a seed do not depend on the key, so keys with the same groups draw the same ones.
+    """
     each = spread(groups).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     h = draw_hash(salt, F.col("rep"), F.col("seed"), F.col("idx"))
-    return each.select("rep", "seed", draw_index(h, F.col("group_n")).alias("idx"))
+    return each.select(*by, "rep", "seed", draw_index(h, F.col("group_n")).alias("idx"))
 
 
-def seed_draws(groups: DataFrame, reps: int, salt: str = "seed") -> DataFrame:
-    """(rep, pos, seed, n_seeds): seeds drawn with replacement. Rows: reps x seeds."""
-    seeds = groups.select("seed").distinct().agg(F.array_sort(F.collect_list("seed")).alias("seeds"))
+def seed_draws(groups: DataFrame, reps: int, salt: str = "seed", by: Sequence[str] = ()) -> DataFrame:
+    """(by, rep, pos, seed, n_seeds): the seeds of each key drawn with replacement. Rows: reps x seeds."""
+    seeds = groups.select(*by, "seed").distinct().groupBy(*by).agg(F.array_sort(F.collect_list("seed")).alias("seeds"))
     n = F.size("seeds")
     each = seeds.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn(
         "pos", F.explode(F.sequence(F.lit(0), n - 1))
     )
     h = draw_hash(salt, F.col("rep"), F.col("pos"))
     pick = F.get("seeds", draw_index(h, n).cast("int"))
-    return each.select("rep", "pos", pick.alias("seed"), n.alias("n_seeds"))
+    return each.select(*by, "rep", "pos", pick.alias("seed"), n.alias("n_seeds"))
 
 
 # ---- scores of packed cells ------------------------------------------------
@@ -102,31 +105,32 @@ def _per_seed(sums: DataFrame, keys: Sequence[str], arms: Sequence[str], k: int)
 def replicates(packed: DataFrame, arms: Sequence[str], k: int, by: Sequence[str], reps: int, salt: str = "boot") -> DataFrame:
     """(by, rep, s_arm...): each arm's score on the same resampled seeds and groups.
 
-    One group draw per (replicate, seed) is shared by all arms and reused when the
-    seed is drawn twice; conditions average inside a seed, then seeds average.
+    One group draw per (key, replicate, seed) is shared by all arms and reused when the
+    seed is drawn twice; conditions average inside a seed, then seeds average. Every key
+    resamples its own seeds and groups, whatever other keys hold.
     """
     by = list(by)
-    groups = materialise(index_groups(packed), "groups")
-    sums = group_draws(groups, reps, salt).join(_indexed_cells(packed, groups), ["seed", "idx"]).groupBy(
+    groups = materialise(index_groups(packed, by), "groups")
+    sums = group_draws(groups, reps, salt, by).join(_indexed_cells(packed, groups, by), [*by, "seed", "idx"]).groupBy(
         *by, "rep", "seed", "cond"
     ).agg(*[c for a in arms for c in cell_sums(a, k)])
     return _over_seeds(sums, groups, arms, k, by, reps)
 
 
-def _indexed_cells(packed: DataFrame, groups: DataFrame) -> DataFrame:
+def _indexed_cells(packed: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
     """Packed cells under their group index. Small ones go to the draws; otherwise both sides
-    shuffle on (seed, idx), which is uniform whatever the groups hold."""
-    return broadcast_checked(packed.join(groups.select("seed", "grp", "idx"), ["seed", "grp"]).drop("grp"))
+    shuffle on (key, seed, idx), which is uniform whatever the groups hold."""
+    return broadcast_checked(packed.join(groups.select(*by, "seed", "grp", "idx"), [*by, "seed", "grp"]).drop("grp"))
 
 
 def _over_seeds(sums: DataFrame, groups: DataFrame, arms: Sequence[str], k: int, by: Sequence[str], reps: int) -> DataFrame:
     """Cell sums per (replicate, seed, condition) scored and averaged over the drawn seeds."""
     per = _per_seed(sums, [*by, "rep", "seed", "cond"], arms, k)
-    drawn = seed_draws(groups, reps).groupBy("rep", "seed").agg(
+    drawn = seed_draws(groups, reps, by=by).groupBy(*by, "rep", "seed").agg(
         F.count(F.lit(1)).alias("m"), F.max("n_seeds").alias("n_seeds")
     )
     w = F.col("m") / F.col("n_seeds")
-    return per.join(drawn, ["rep", "seed"]).groupBy(*by, "rep").agg(
+    return per.join(drawn, [*by, "rep", "seed"]).groupBy(*by, "rep").agg(
         *[F.sum(w * F.col(f"s_{a}")).alias(f"s_{a}") for a in arms]
     )
 
@@ -141,12 +145,12 @@ def block_replicates(
     up in Spark. Same draws, same numbers, about B times fewer rows after the join.
     """
     by = list(by)
-    groups = materialise(index_groups(packed), "groups")
+    groups = materialise(index_groups(packed, by), "groups")
     # A group is drawn about ``reps`` times in all, so its list is bounded by the parameter.
-    lists = group_draws(groups, reps, salt).groupBy("seed", "idx").agg(F.collect_list("rep").alias("drawn"))
-    cells = _indexed_cells(packed, groups)
+    lists = group_draws(groups, reps, salt, by).groupBy(*by, "seed", "idx").agg(F.collect_list("rep").alias("drawn"))
+    cells = _indexed_cells(packed, groups, by)
     wide = F.concat(*[F.col(a) for a in arms])
-    rows = lists.join(cells, ["seed", "idx"]).select(
+    rows = lists.join(cells, [*by, "seed", "idx"]).select(
         *by, "seed", "cond", F.pmod("idx", F.lit(blocks)).alias("block"), "drawn", wide.alias("cells")
     )
     keys = [*by, "seed", "cond"]

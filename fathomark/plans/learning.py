@@ -130,7 +130,7 @@ def fit_select(spark, d):
     for family in ("logreg", "svm_rbf"):
         params = [{**p, "max_iter": 50} for p in models.candidate_list(spark, family, 0, 3)]
         sel = models.fit_select(roles["source_train"], roles["source_val"], family, params, LABELS)
-        out += [(family, t["candidate_index"], t["params_json"], t["score"], t["score"] == sel.score) for t in sel.trials]
+        out += [(family, t["candidate_index"], t["params_json"], t["score"], t["candidate_index"] == sel.index) for t in sel.trials]
     return spark.createDataFrame(out, "family string, candidate_index int, params_json string, score double, is_best boolean")
 
 

@@ -118,3 +118,16 @@ def test_difference_counts_multiplicity(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "x int")
     b = spark.createDataFrame([(1,), (2,), (3,)], "x int")
     assert {(r.x, r.excess) for r in rs.difference(a, b).collect()} == {(1, 1), (3, -1)}
+
+
+def test_keys_with_other_seeds_and_groups_resample_alone(spark, planted):
+    """A joint run over keys gives each key what it gets alone, with every replicate."""
+    x = planted.withColumn("key", F.lit("x"))
+    y = planted.where("seed < 2 AND grp > 3").withColumn("grp", F.col("grp") + 100).withColumn("key", F.lit("y"))
+    for method in ("rows", "blocks"):
+        joint = {r.key: r for r in rs.paired_bootstrap(x.unionByName(y), "a", "b", 3, ["key"], 40, method=method).collect()}
+        for name, part in (("x", x), ("y", y)):
+            (alone,) = rs.paired_bootstrap(part, "a", "b", 3, ["key"], 40, method=method).collect()
+            got = joint[name]
+            assert got.n_boot == 40 and got.n_seeds == alone.n_seeds
+            assert [got[c] for c in ("diff", "lo", "hi", "p")] == pytest.approx([alone[c] for c in ("diff", "lo", "hi", "p")])
