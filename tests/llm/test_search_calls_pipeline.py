@@ -82,7 +82,7 @@ def test_link_orders_validates_and_serialises(spark):
     r = spark.createDataFrame(results, "conv_id long, turn long, call_id string, result string")
     got = {(x.conv_id, x.turn, x.call_id): x for x in tool_calls.link(m, r, tool_calls.SCHEMAS).collect()}
     first = got[1, 0, "a"]
-    assert (first.status, first.place, first.in_order, first.faults) == ("linked", 1, True, [])
+    assert (first.status, first.place, first.in_order, first.faults) == ("linked", 2, True, [])
     assert first.json == '{"arguments":{"text":"é","turn":1},"id":"a","name":"note","result":"first","status":"linked","valid":true}'
     assert got[1, 0, "b"].place == 0 and got[1, 0, "b"].status == "linked"
     assert got[1, 0, "c"].faults == ["text is not string", "turn is not integer", "unexpected z"]
