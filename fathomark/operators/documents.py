@@ -16,6 +16,18 @@ _DEC = "decimal(36,16)"
 _PLACES = range(-12, 17)
 
 
+# The flags and tiers of the audit.
+UNRESOLVED = "NOT-IN-CROSSREF"
+AUTHOR_MISMATCH = "AUTHOR-MISMATCH"
+VOLUME_MISMATCH = "VOLUME-MISMATCH"
+DUPLICATE_TITLE = "DUPLICATE-TITLE"
+DUPLICATE_SLOT = "DUPLICATE-COORDINATES"
+DUPLICATED_BY_OTHER = "DUPLICATED-BY-OTHER"
+UNCITED = "UNCITED"
+CONFIRMED = "A. confirmed correct"
+UNDECIDED = "B. needs manual resolution"
+SUSPECT = "C. probable fabrication"
+
 def number_tokens(df: DataFrame, column: str, keep: Sequence[str], comments: bool = True) -> DataFrame:
     """(keep, line, pos, token): every number of a text with its place.
 
@@ -104,9 +116,25 @@ def dup_titles(df: DataFrame, title: str, item: str) -> DataFrame:
     return dup_groups(df.withColumn("norm", tx.norm_title(F.col(title))), ["norm"], item)
 
 
-def dup_slots(df: DataFrame, item: str, slot: Sequence[str] = ("venue", "volume", "issue", "pages")) -> DataFrame:
-    """Rows claiming the same place in the same publication."""
-    return dup_groups(df, list(slot), item)
+SLOT = ("venue", "volume", "issue", "pages")
+
+
+def _slot_key(slot: Sequence[str]) -> list[Column]:
+    """The place an entry claims: the publication as a title, the rest as tokens, empty where nothing is given."""
+    norm = [tx.norm_title if i == 0 else tx.norm_token for i in range(len(slot))]
+    return [F.coalesce(f(F.col(c).cast("string")), F.lit("")) for f, c in zip(norm, slot)]
+
+
+def dup_slots(df: DataFrame, item: str, slot: Sequence[str] = SLOT, optional: Sequence[str] = ("issue",)) -> DataFrame:
+    """Rows claiming the same place in the same publication, compared in normalised form.
+
+    Columns in ``optional`` may be empty; a row without one of the others claims no place.
+    """
+    keyed = df.select(item, *[k.alias(c) for k, c in zip(_slot_key(slot), slot)])
+    for c in slot:
+        if c not in optional:
+            keyed = keyed.where(F.col(c) != "")
+    return keyed.groupBy(*slot).agg(F.count(F.lit(1)).alias("n"), F.min(item).alias("first")).where("n > 1")
 
 
 def best_match(refs: DataFrame, records: DataFrame, key: str = "key") -> DataFrame:
@@ -146,29 +174,32 @@ def audit_entries(refs: DataFrame, records: DataFrame, cited: DataFrame) -> Data
     cite = cited.select("key").distinct().withColumn("_cited", F.lit(True))
     d = d.join(cite, "key", "left")
 
-    def group_flag(df: DataFrame, key: Sequence[str], name: str, flag: str) -> DataFrame:
+    def group_flag(df: DataFrame, key: Sequence[str], name: str, flag: str, optional: Sequence[str] = ()) -> DataFrame:
         ok = F.lit(True)
         for k in key:
-            ok &= F.coalesce(F.col(k).cast("string"), F.lit("")) != ""
+            if k not in optional:
+                ok &= F.coalesce(F.col(k).cast("string"), F.lit("")) != ""
         g = df.where(ok).groupBy(*key).agg(
             F.count(F.lit(1)).alias("_n"), F.count_if(F.col("confirmed")).alias("_nc")
         ).where("_n > 1")
         j = df.join(g, list(key), "left")
         genuine = F.col("confirmed") & (F.col("_nc") == 1)
         return j.withColumn(
-            name, F.when(F.col("_n").isNotNull(), F.when(genuine, "DUPLICATED-BY-OTHER").otherwise(flag))
+            name, F.when(F.col("_n").isNotNull(), F.when(genuine, DUPLICATED_BY_OTHER).otherwise(flag))
         ).drop("_n", "_nc")
 
-    d = group_flag(d, ["norm"], "_dup_title", "DUPLICATE-TITLE")
-    d = group_flag(d, ["venue", "volume", "issue", "pages"], "_dup_slot", "DUPLICATE-COORDINATES")
+    d = group_flag(d, ["norm"], "_dup_title", DUPLICATE_TITLE)
+    slot = [f"_slot_{c}" for c in SLOT]
+    d = d.withColumns(dict(zip(slot, _slot_key(SLOT))))
+    d = group_flag(d, slot, "_dup_slot", DUPLICATE_SLOT, ["_slot_issue"])
     flags = F.array_distinct(F.array_compact(F.array(
-        F.when(~F.col("resolved"), "NOT-IN-CROSSREF"), F.when(F.col("f_author"), "AUTHOR-MISMATCH"),
-        F.when(F.col("f_volume"), "VOLUME-MISMATCH"), F.col("_dup_title"), F.col("_dup_slot"),
-        F.when(F.col("_cited").isNull(), "UNCITED"),
+        F.when(~F.col("resolved"), UNRESOLVED), F.when(F.col("f_author"), AUTHOR_MISMATCH),
+        F.when(F.col("f_volume"), VOLUME_MISMATCH), F.col("_dup_title"), F.col("_dup_slot"),
+        F.when(F.col("_cited").isNull(), UNCITED),
     )))
     d = d.withColumn("flags", flags)
     has = lambda f: F.array_contains("flags", f)
-    suspect = has("DUPLICATE-TITLE") | has("DUPLICATE-COORDINATES") | (has("AUTHOR-MISMATCH") & (has("VOLUME-MISMATCH") | has("UNCITED")))
-    clean = F.size(F.array_remove("flags", "DUPLICATED-BY-OTHER")) == 0
-    tier = F.when(suspect, "C. probable fabrication").when(clean, "A. confirmed correct").otherwise("B. needs manual resolution")
+    suspect = has(DUPLICATE_TITLE) | has(DUPLICATE_SLOT) | (has(AUTHOR_MISMATCH) & (has(VOLUME_MISMATCH) | has(UNCITED)))
+    clean = F.size(F.array_remove("flags", DUPLICATED_BY_OTHER)) == 0
+    tier = F.when(suspect, SUSPECT).when(clean, CONFIRMED).otherwise(UNDECIDED)
     return d.select("key", "similarity", "confirmed", "flags", tier.alias("tier"))

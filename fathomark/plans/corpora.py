@@ -95,7 +95,7 @@ def dup_titles(spark, d):
 
 @query("dup_slots", "SELECT lang, source, n_chars, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY ALL HAVING count(*) > 1")
 def dup_slots(spark, d):
-    return docs.dup_slots(table(spark, d, "documents"), "doc_id", ["lang", "source", "n_chars"])
+    return docs.dup_slots(table(spark, d, "documents"), "doc_id", ["lang", "source", "n_chars"]).withColumn("n_chars", F.col("n_chars").cast("long"))
 
 
 _AUTH_SQL = "au AS (SELECT s_suppkey, 'A. ' || s_name || ', B. Smith-' || n_name || ' and C. O''Neil, J.' AS a FROM supplier JOIN nation ON n_nationkey = s_nationkey)"
@@ -222,11 +222,13 @@ _N = "trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
 @query("audit_entries", f"""WITH {_REF_SQL}, s AS (SELECT refs.*, {_N.format(c='refs.title')} AS norm, recs.volume AS rv, recs.surname AS rs, 1 - levenshtein({_N.format(c='refs.title')}, {_N.format(c='recs.title')}) / greatest(len({_N.format(c='refs.title')}), len({_N.format(c='recs.title')}))::DOUBLE AS sim FROM refs JOIN recs ON recs.key = refs.key),
 f AS (SELECT *, sim >= 0.9 AS resolved, sim >= 0.9 AND surname <> rs AS fa, sim >= 0.9 AND volume <> rv AS fv FROM s),
 g AS (SELECT *, resolved AND NOT fa AND NOT fv AS confirmed FROM f),
-h AS (SELECT *, count(*) OVER (PARTITION BY norm) AS n, count(*) FILTER (WHERE confirmed) OVER (PARTITION BY norm) AS nc FROM g),
+h AS (SELECT *, count(*) OVER (PARTITION BY norm) AS n, count(*) FILTER (WHERE confirmed) OVER (PARTITION BY norm) AS nc,
+ count(*) OVER (PARTITION BY {_N.format(c='venue')}, volume, pages) AS sn, count(*) FILTER (WHERE confirmed) OVER (PARTITION BY {_N.format(c='venue')}, volume, pages) AS snc FROM g),
 fl AS (SELECT key, sim, confirmed, list_filter([CASE WHEN NOT resolved THEN 'NOT-IN-CROSSREF' END, CASE WHEN fa THEN 'AUTHOR-MISMATCH' END, CASE WHEN fv THEN 'VOLUME-MISMATCH' END,
- CASE WHEN n > 1 THEN CASE WHEN confirmed AND nc = 1 THEN 'DUPLICATED-BY-OTHER' ELSE 'DUPLICATE-TITLE' END END, CASE WHEN key % 4 = 0 THEN 'UNCITED' END], lambda x: x IS NOT NULL) AS flags FROM h)
+ CASE WHEN n > 1 THEN CASE WHEN confirmed AND nc = 1 THEN 'DUPLICATED-BY-OTHER' ELSE 'DUPLICATE-TITLE' END END,
+ CASE WHEN sn > 1 AND NOT (confirmed AND snc = 1) THEN 'DUPLICATE-COORDINATES' WHEN sn > 1 AND NOT (n > 1 AND confirmed AND nc = 1) THEN 'DUPLICATED-BY-OTHER' END, CASE WHEN key % 4 = 0 THEN 'UNCITED' END], lambda x: x IS NOT NULL) AS flags FROM h)
 SELECT key, {sql_r9('sim')} AS similarity, confirmed, array_to_string(flags, ' + ') AS flags,
-CASE WHEN list_contains(flags, 'DUPLICATE-TITLE') OR (list_contains(flags, 'AUTHOR-MISMATCH') AND (list_contains(flags, 'VOLUME-MISMATCH') OR list_contains(flags, 'UNCITED'))) THEN 'C. probable fabrication'
+CASE WHEN list_contains(flags, 'DUPLICATE-TITLE') OR list_contains(flags, 'DUPLICATE-COORDINATES') OR (list_contains(flags, 'AUTHOR-MISMATCH') AND (list_contains(flags, 'VOLUME-MISMATCH') OR list_contains(flags, 'UNCITED'))) THEN 'C. probable fabrication'
  WHEN len(list_filter(flags, lambda x: x <> 'DUPLICATED-BY-OTHER')) = 0 THEN 'A. confirmed correct' ELSE 'B. needs manual resolution' END AS tier FROM fl""")
 def audit_entries(spark, d):
     out = docs.audit_entries(*audit_frames(spark, d))

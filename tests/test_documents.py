@@ -92,3 +92,10 @@ def test_audit_flags_and_tiers(audit):
     assert audit["fake"]["flags"] == ["AUTHOR-MISMATCH", "VOLUME-MISMATCH", "DUPLICATE-TITLE"] and audit["fake"]["tier"].startswith("C")
     assert audit["lost"]["flags"] == ["NOT-IN-CROSSREF"] and audit["lost"]["tier"].startswith("B")
     assert audit["wrong"]["flags"] == ["VOLUME-MISMATCH", "UNCITED"] and audit["wrong"]["tier"].startswith("B")
+
+
+def test_slots_without_issue_meet_in_normalised_form(spark):
+    rows = [("a", "J. Foo", "10", None, "1-9"), ("b", "j foo", "10", "", "1--9"), ("c", "J Foo", "10", "2", "1-9"), ("d", None, "10", None, "1-9"), ("e", "J Foo", "", None, "1-9")]
+    df = spark.createDataFrame(rows, "key string, venue string, volume string, issue string, pages string")
+    (got,) = docs.dup_slots(df, "key").collect()
+    assert (got.venue, got.volume, got.issue, got.pages, got.n, got["first"]) == ("j foo", "10", "", "19", 2, "a")
