@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomark.llm.bpe import pieces, text_batches
+from fathomark.llm.bpe import lowered, pieces, text_batches
 from fathomark.llm.words import mix
 from fathomark.sources.scratch import shared_dir
 
 SHARD_TOKENS = 1 << 20
 BUCKET = 4
-MEMORY_PIECES = 200_000
+MEMORY_PIECES = 800_000
 _MAGIC = b"FTS1"
 _HEAD = struct.Struct("<4sIIIQQ")
 _U = np.uint64
@@ -157,29 +157,49 @@ def _library(path: str):
 class LibraryEncoder:
     """The tokenizers library over the distinct pieces between white space, remembered up to a bound.
 
-    The vocabulary's normaliser and splitter never join text across white space, so a text's ids are the ids of
-    its pieces in order.
+    The vocabulary's normaliser and splitter never join text across white space, lower-case all text and part a
+    comma or full stop from a letter or digit before it. So a text's ids are the ids of its pieces in order, pieces
+    that differ in case are one, and such a mark at the end of a piece is encoded apart. The first ``memory``
+    pieces stay; later ones are encoded again for each batch that holds them.
     """
 
     def __init__(self, path: str, memory: int = MEMORY_PIECES) -> None:
         self.tokenizer, self.memory = _library(path), memory
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.known: dict[str, list[int]] = {}
+        self.kind = np.dtype(f"<u{self.width}")
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that are not known, as bytes; kept while there is room."""
+        # Special strings are matched before case is folded, so pieces that may hold one stay whole.
+        parts = {p: [p] if "<|" in p else self._parts(lowered(p)) for p in new}
+        unknown = sorted({x for xs in parts.values() for x in xs}.difference(self.known))
+        found = {x: np.array(e.ids, self.kind).tobytes() for x, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False))}
+        held = {x: self.known[x] if x in self.known else found[x] for xs in parts.values() for x in xs}
+        found |= {p: b"".join([held[x] for x in xs]) for p, xs in parts.items()}
+        if len(self.known) < self.memory:
+            self.known |= found
+        return found
+
+    @staticmethod
+    def _parts(piece: str) -> list[str]:
+        return [piece[:-1], piece[-1]] if len(piece) > 1 and piece[-1] in ",." and piece[-2].isalnum() else [piece]
 
     def encode(self, texts: list[str | None], end_id: int) -> Iterator[np.ndarray]:
         rows = [pieces(t or "") for t in texts]
-        if len(self.known) > self.memory:
-            self.known.clear()
-        new = list(set().union(*rows).difference(self.known)) if rows else []
-        if new:
-            self.known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        get = self.known.__getitem__
+        new = set().union(*rows).difference(self.known) if rows else set()
+        held = self._learn(new) if new else {}
+        known = self.known
+        get = (known if new <= known.keys() else {p: known[p] if p in known else held[p] for p in set().union(*rows)}).__getitem__
+        end = np.array([end_id], self.kind).tobytes()
         for row in rows:
-            ids: list[int] = []
-            for found in map(get, row):
-                ids += found
-            ids.append(end_id)
-            yield np.array(ids, np.uint32)
+            yield np.frombuffer(b"".join([*map(get, row), end]), self.kind).astype(np.uint32)
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> LibraryEncoder:
+    """One for all tasks of a Python worker."""
+    return LibraryEncoder(path)
 
 
 SHARD_SCHEMA = pa.schema([("part", pa.int32()), ("tokens", pa.int64()), ("shard", pa.binary())])
@@ -190,7 +210,7 @@ def _shard_rows(path: str, end_id: int, shard_tokens: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = LibraryEncoder(path)
+        encoder = _encoder(path)
         doc_ids: list[int] = []
         rows: list[np.ndarray] = []
         held = before = 0
