@@ -12,9 +12,13 @@
 4. Links are confirmed on the full sets, recomputed from the texts. First each class is compared with its
    most similar smaller candidate, which connects most groups; then only candidates between different groups
    are, so a group of thousands of near copies costs a comparison or two per member.
-5. Components of the confirmed links come from alternating star passes.
+5. Where more than ``reach`` + 1 classes share a prefix, some of their pairs were not candidates. Such classes form
+   regions (components over the shared prefixes). A region that still holds several groups is compared whole: its
+   classes are dealt into salted blocks, and each pair of blocks counts the common shingles of all its pairs.
+6. Components of the confirmed links come from alternating star passes.
 
-Candidates are linear in the number of classes. Nothing is collected.
+Candidates are linear in the number of classes; the work of step 5 is quadratic in a region, its rows are not: a
+class is copied once per ``BLOCK_ROWS`` classes of its region. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomark.llm.graph import components
-from fathomark.llm.words import chunks, split_words, window_hashes
+from fathomark.llm.words import chunks, mix, split_words, window_hashes
 from fathomark.sources.scratch import materialise
 
 SHINGLE = 5
@@ -38,6 +42,8 @@ LEAST_DEPTH = 3
 KEY_DEPTH = 8
 REACH = 12
 SLACK = 4.0
+BLOCK_ROWS = 512
+BLOCK_BYTES = 32 << 20
 _RNG = np.random.default_rng(20240601)
 _MULTIPLY = _RNG.integers(1, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, 1024, dtype=np.uint64)
@@ -225,6 +231,122 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.mapInArrow(_confirm_rows(size, percent), "u long, v long")
 
 
+def _bucket_rows(hashes: int, orders: int, least: int, depth: int):
+    """(bucket, id): a number of each order's first ``least`` values."""
+    perms = _permutations(hashes, orders, depth)[:, :least]
+    schema = pa.schema([("bucket", pa.int64()), ("id", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, hashes).astype(np.uint64)
+            for t, perm in enumerate(perms):
+                h = np.full(len(sig), t, np.uint64)
+                for column in perm.tolist():
+                    h = mix(h ^ mix(sig[:, column] + np.uint64(1 << 32)))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("id")], schema=schema)
+
+    return run
+
+
+def saturated(classes: DataFrame, hashes: int = HASHES, orders: int = ORDERS, reach: int = REACH, least: int = LEAST_DEPTH, depth: int = KEY_DEPTH) -> DataFrame:
+    """(node, component): the region of each class with a prefix that more than ``reach`` + 1 classes share."""
+    rows = classes.select("id", "signature").mapInArrow(_bucket_rows(hashes, orders, least, depth), "bucket long, id long")
+    full = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("v")).filter(F.col("n") > reach + 1).select("bucket", "v")
+    full = materialise(full, "buckets")
+    return components(rows.join(full, "bucket").select(F.col("id").alias("u"), "v"))
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The number of common values of each set of ``left`` with each set of ``right`` (sets sorted, values distinct)."""
+    nl, nr = len(left), len(right)
+    counts = np.zeros((nl, nr), np.int64)
+    if not nl or not nr:
+        return counts
+    flat = [np.concatenate(x) for x in (left, right)]
+    vocabulary = np.intersect1d(*map(np.unique, flat), assume_unique=True)
+    if not len(vocabulary):
+        return counts
+    entries = []
+    for sets, values in zip((left, right), flat):
+        term = np.minimum(np.searchsorted(vocabulary, values), len(vocabulary) - 1)
+        known = vocabulary[term] == values
+        doc, term = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[known], term[known]
+        order = np.argsort(term, kind="stable")
+        entries.append((doc[order], term[order], np.searchsorted(term[order], np.arange(len(vocabulary) + 1))))
+    (ldoc, lterm, lfirst), (rdoc, rterm, rfirst) = entries
+    often = np.diff(lfirst) * np.diff(rfirst) * 64 > nl * nr
+    # Frequent values: products of 0/1 matrices, whose sums are exact.
+    terms = np.flatnonzero(often)
+    for k in range(0, len(terms), 4096):
+        some = terms[k : k + 4096]
+        sides = []
+        for n, doc, first in ((nl, ldoc, lfirst), (nr, rdoc, rfirst)):
+            table = np.zeros((n, len(some)), np.float32)
+            for column, t in enumerate(some.tolist()):
+                table[doc[first[t] : first[t + 1]], column] = 1
+            sides.append(table)
+        counts += (sides[0] @ sides[1].T).astype(np.int64)
+    # Rare values: the pairs of their holders.
+    rare = ~often[lterm]
+    doc, start, size = ldoc[rare], rfirst[lterm[rare]], np.diff(rfirst)[lterm[rare]]
+    if len(doc):
+        part = np.cumsum(size) >> 21
+        for a, b in zip(cuts := np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), [*cuts[1:], len(doc)]):
+            n = size[a:b]
+            at = np.repeat(start[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            counts += np.bincount(np.repeat(doc[a:b], n) * nr + rdoc[at], minlength=nl * nr).reshape(nl, nr)
+    return counts
+
+
+def _block_links(size: int, percent: int):
+    """Links between different groups of a pair of blocks, reduced to a forest over the groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = [s for chunk in table.column("text").chunks for s in shingle_sets(chunk, size)]
+        ids, group, own, lo, hi = (table.column(c).to_numpy() for c in ("id", "grp", "own", "lo", "hi"))
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        common = overlaps([sets[i] for i in left], [sets[i] for i in right])
+        length = np.array([len(s) for s in sets], np.int64)
+        whole = length[left][:, None] + length[right][None, :] - common
+        i, j = np.nonzero((common > 0) & (100 * common >= percent * whole) & (group[left][:, None] != group[right][None, :]))
+        i, j = left[i], right[j]
+        ends = np.stack([np.minimum(group[i], group[j]), np.maximum(group[i], group[j])], 1)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        keep = []
+        for k in np.unique(ends, axis=0, return_index=True)[1].tolist() if len(i) else ():
+            a, b = root(int(ends[k, 0])), root(int(ends[k, 1]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                keep.append(k)
+        return pa.table({"u": pa.array(ids[i[keep]], pa.int64()), "v": pa.array(ids[j[keep]], pa.int64())})
+
+    return run
+
+
+def region_links(regions: DataFrame, group: DataFrame, texts: DataFrame, size: int, percent: int, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(u, v): links between groups inside regions, from all pairs of a region's classes that groups part.
+
+    ``regions`` and ``group``: node, component; a class without a group is its own. ``texts``: id, text.
+    """
+    known = group.select("node", F.col("component").alias("grp"))
+    member = regions.select("node", F.col("component").alias("region")).join(known, "node", "left").select(F.col("node").alias("id"), "region", F.coalesce("grp", "node").alias("grp"))
+    rows = materialise(member.join(texts, "id"), "regions")
+    blocks = F.ceil(F.greatest(F.count("*") / block_rows, F.sum(F.octet_length("text")) / block_bytes, F.lit(1.0))).cast("int")
+    open_ = rows.groupBy("region").agg(blocks.alias("blocks"), F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x < y").select("region", "blocks")
+    rows = rows.join(open_, "region").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "grp", "text")
+    return dealt.groupBy("region", "lo", "hi").applyInArrow(_block_links(size, percent), "u long, v long")
+
+
 def _sketch(hashes: int):
     """The low byte of each signature value."""
     schema = pa.schema([("id", pa.int64()), ("sketch", pa.binary())])
@@ -252,7 +374,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 75, has
     known = rows.filter("doc_id is not null and class is not null")
     classes = materialise(known.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "classes")
     # Ids shared by unequal rows stand for each of their classes, which are linked through the id.
-    pairs = candidate_pairs(classes.groupBy("id").agg(F.first("signature").alias("signature")), hashes, orders, reach)
+    known_ids = classes.groupBy("id").agg(F.first("signature").alias("signature"))
+    pairs = candidate_pairs(known_ids, hashes, orders, reach)
 
     sketch = classes.select("id", "signature").mapInArrow(_sketch(hashes), "id long, sketch binary").dropDuplicates(["id"])
     at_least = percent / 100 - SLACK * float(np.sqrt(percent / 100 * (1 - percent / 100) / hashes))
@@ -274,7 +397,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 75, has
     # Rows of one class reach its smallest id.
     member = known.select("doc_id", "class").join(classes.select("class", F.col("id").alias("class_id")), "class").select("doc_id", "class_id")
     twin = member.groupBy("doc_id").agg(F.min("class_id").alias("u"), F.max("class_id").alias("v")).filter("u < v").select("u", "v")
-    group = components(links.union(twin)).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
+    group = components(links.union(twin))
+    more = region_links(saturated(known_ids, hashes, orders, reach), group, texts, size, percent)
+    # The stars of the groups stand for their links.
+    stars = group.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    group = components(stars.union(more)).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
     member = member.groupBy("doc_id").agg(F.min("class_id").alias("class_id")).join(group, "class_id", "left")
     out = rows.select("doc_id", "n_shingles").join(member, "doc_id", "left")
     component = F.coalesce("component_id", "class_id", "doc_id")

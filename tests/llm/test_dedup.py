@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -73,6 +74,33 @@ def test_dense_region_of_a_shared_passage(spark):
     assert got == groups(rows)
 
 
+def test_pairs_just_above_the_threshold_among_texts_just_below_it(spark):
+    """A core of 120 words and tails of 20: two texts are 0.744 alike, or 0.755 where the tails begin alike."""
+    rng = random.Random(3)
+    core = [f"c{i}" for i in range(120)]
+    tails = {k: [f"x{k}-{i}" for i in range(20)] for k in range(400)}
+    order = rng.sample(range(400), 400)
+    for a, b in zip(order[:60:2], order[1:60:2]):
+        tails[b][0] = tails[a][0]
+    rows = [(k, " ".join(core + tail)) for k, tail in tails.items()]
+    want = groups(rows)
+    assert sum(k != c for k, c in want.items()) == 30
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame).collect()} == want
+
+
+def test_overlaps_and_blocks_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(np.concatenate([rng.integers(0, 40, n), rng.integers(0, 5000, n)])).astype(np.uint64) for n in (0, 1, 30, 90, 200, 200)] * 30
+    got = near_dup.overlaps(sets[:100], sets[100:])
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets[100:]] for x in sets[:100]]
+    texts = [(k, " ".join([f"c{i}" for i in range(60)] + [f"x{k // 2}-{i}" for i in range(10)] + [f"y{k}-{i}" for i in range(k % 4)])) for k in range(60)]
+    regions = spark.createDataFrame([(k, 0) for k, _ in texts], "node long, component long")
+    links = near_dup.region_links(regions, regions.limit(0), spark.createDataFrame(texts, "id long, text string"), 5, 75, block_rows=9)
+    found = {r.node: r.component for r in graph.components(links).collect()}
+    assert {k: found.get(k, k) for k, _ in texts} == groups(texts)
+
+
 def cut(texts, length=13):
     """Kept words of each row by looking at every window."""
     first = {}
