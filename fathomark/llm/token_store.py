@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomark.llm.bpe import lowered, pieces, text_batches
+from fathomark.llm.bpe import pieces, text_batches
 from fathomark.llm.words import mix
 from fathomark.sources.scratch import shared_dir
 
@@ -158,9 +158,10 @@ class LibraryEncoder:
     """The tokenizers library over the distinct pieces between white space, remembered up to a bound.
 
     The vocabulary's normaliser and splitter never join text across white space, lower-case all text and part a
-    comma or full stop from a letter or digit before it. So a text's ids are the ids of its pieces in order, pieces
-    that differ in case are one, and such a mark at the end of a piece is encoded apart. The first ``memory``
-    pieces stay; later ones are encoded again for each batch that holds them.
+    comma or full stop from a letter or digit before it. So a text's ids are the ids of its pieces in order, ASCII
+    pieces that differ in case are one, and such a mark at the end of one is encoded apart. Other pieces go to the
+    library as they stand: it composes characters before it folds case, and the two do not commute. The first
+    ``memory`` pieces stay; later ones are encoded again for each batch that holds them.
     """
 
     def __init__(self, path: str, memory: int = MEMORY_PIECES) -> None:
@@ -172,7 +173,7 @@ class LibraryEncoder:
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """Ids of pieces that are not known, as bytes; kept while there is room."""
         # Special strings are matched before case is folded, so pieces that may hold one stay whole.
-        parts = {p: [p] if "<|" in p else self._parts(lowered(p)) for p in new}
+        parts = {p: self._parts(p.lower()) if p.isascii() and "<|" not in p else [p] for p in new}
         unknown = sorted({x for xs in parts.values() for x in xs}.difference(self.known))
         found = {x: np.array(e.ids, self.kind).tobytes() for x, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False))}
         held = {x: self.known[x] if x in self.known else found[x] for xs in parts.values() for x in xs}

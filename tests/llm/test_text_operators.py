@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from fathomark.llm import bpe, decontaminate, html_text, quality, token_store, toxicity
@@ -98,6 +98,22 @@ def test_bpe_equals_the_library(library, rows):
         assert encoder.vocab.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+# Capitals with a mark whose composed form exists in lower case only, and a capital that lower-cases to two characters.
+PAIRS = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "\u0130\u0323", "\u0130\u0307"]
+MARKED = st.lists(st.sampled_from([*PAIRS, *"aJé ,.\u030c\u0331"]), max_size=20).map("".join)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(MARKED, max_size=4))
+@example(PAIRS)
+@example([f"a{p}, {p}." for p in PAIRS])
+def test_case_is_folded_after_composition(library, rows):
+    own, encoder = token_store.LibraryEncoder(PATH, memory=20), bpe.Encoder(bpe.vocabulary(PATH), memory=20)
+    for text, stored, ids in zip(rows, own.encode(rows, 1), encoder.encode(rows)):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert stored.tolist() == [*want, 1] and ids.tolist() == want
+
+
 def test_bpe_rows(docs, none, texts, library):
     got = bpe.encode(docs, PATH, decoded=True).collect()
     assert len(got) == len(texts)
