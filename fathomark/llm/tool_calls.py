@@ -2,9 +2,9 @@
 
 A call message is a row whose ``calls`` lists the calls one turn makes; a result row answers one call by its id.
 
-1. Calls and results meet in a hash join on (conversation, call id). Results are reduced to the first of each id
-   before the join, so a repeated id does not multiply rows. A call without a result and a result without a call
-   are kept and flagged.
+1. Results meet the first call of their (conversation, call id) in a hash join. The answer of a call is the first
+   result of a later turn, a grouped minimum; every other result comes back as a row of its own, flagged, as do
+   calls without a result. Equal results are counted first, so a repeated id does not multiply rows.
 2. A call may name calls it comes after. Those of an earlier turn must exist there; those of the same turn are
    sorted topologically inside the message (Kahn's rounds over the few calls of one row). Order in a conversation
    is (turn, position in the message), so no conversation has to fit one task.
@@ -90,7 +90,7 @@ def _json_rows(schemas: dict[str, dict]):
         for batch in batches:
             found, texts = [], []
             for row in batch.to_pylist():
-                wrong = [] if row["status"] == "orphan" else faults(row["arguments"], schemas.get(row["name"]))
+                wrong = [] if not row["is_call"] else faults(row["arguments"], schemas.get(row["name"]))
                 try:
                     arguments = json.loads(row["arguments"]) if row["arguments"] is not None else None
                 except ValueError:
@@ -107,8 +107,8 @@ def link(messages: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> D
     """One row per call and per unmatched result: conv_id, turn, place, call_id, status, in_order, faults, json.
 
     ``messages``: conv_id, turn, calls (array of CALL). ``results``: conv_id, turn, call_id, result. ``status`` is
-    linked, unanswered (no result of a later turn), orphan (a result without a call) or repeated (a call id used
-    before in its conversation; it takes no result). ``in_order`` is false for a call on a cycle, or after a name
+    linked, unanswered (no result of a later turn), orphan (a result without a call of an earlier turn) or repeated (a
+    call id used before in its conversation, which takes no result; or a further result of an answered call). ``in_order`` is false for a call on a cycle, or after a name
     that neither its own message nor an earlier turn has. Null conversation ids, null or empty call lists and null
     results are kept as their own values (a null id links with nothing); other columns are ignored.
     """
@@ -127,16 +127,26 @@ def link(messages: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> D
     calls = calls.alias("x").join(broken.alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in on], "left").select("x.*", "y.broken")
 
     answers = results.select(F.col("conv_id").cast("long").alias("r_conv"), F.col("call_id").alias("r_id"), F.col("turn").cast("long").alias("r_turn"), "result")
-    answers = answers.groupBy("r_conv", "r_id").agg(F.min(F.struct("r_turn", "result")).alias("answer")).select("r_conv", "r_id", "answer.*")
-    meets = (F.col("conv_id") == F.col("r_conv")) & (F.col("call_id") == F.col("r_id")) & ~F.col("repeated") & (F.col("r_turn") > F.col("turn"))
-    both = calls.join(answers, meets, "full_outer")
-    is_call = F.col("place").isNotNull()
-    status = F.when(~is_call, "orphan").when(F.col("repeated"), "repeated").when(F.col("r_turn").isNull(), "unanswered").otherwise("linked")
-    rows = both.select(
-        F.when(is_call, F.col("conv_id")).otherwise(F.col("r_conv")).alias("conv_id"), F.when(is_call, F.col("turn")).otherwise(F.col("r_turn")).alias("turn"), F.coalesce("place", F.lit(0)).alias("place"),
-        F.when(is_call, F.col("call_id")).otherwise(F.col("r_id")).alias("call_id"), "name", "arguments", "result", status.alias("status"),
-        (is_call & ~F.coalesce("cyclic", F.lit(False)) & F.col("broken").isNull()).alias("in_order"),
+    answers = answers.groupBy("r_conv", "r_id", "r_turn", "result").agg(F.count("*").alias("n"))
+    begun = first.select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), F.col("first.turn").alias("c_turn"))
+    answers = answers.join(begun, ["r_conv", "r_id"], "left").withColumn("late", F.coalesce(F.col("r_turn") > F.col("c_turn"), F.lit(False)))
+    chosen = answers.filter("late").groupBy("r_conv", "r_id").agg(F.min(F.struct("r_turn", "result")).alias("answer"))
+    # All results but one copy of each answer.
+    rest = answers.join(chosen, ["r_conv", "r_id"], "left")
+    taken = F.col("late") & F.col("r_turn").eqNullSafe(F.col("answer.r_turn")) & F.col("result").eqNullSafe(F.col("answer.result"))
+    rest = rest.withColumn("left", F.col("n") - F.when(taken, 1).otherwise(0)).filter(F.col("left") > 0)
+    rest = rest.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("left"))))
+    none = F.lit(None).cast("string")
+    rest = rest.select(
+        F.col("r_conv").alias("conv_id"), F.col("r_turn").alias("turn"), F.lit(0).alias("place"), F.col("r_id").alias("call_id"), none.alias("name"), none.alias("arguments"), "result",
+        F.when(F.col("late"), "repeated").otherwise("orphan").alias("status"), F.lit(False).alias("in_order"), F.lit(False).alias("is_call"),
     )
+    meets = (F.col("conv_id") == F.col("r_conv")) & (F.col("call_id") == F.col("r_id")) & ~F.col("repeated")
+    both = calls.join(chosen, meets, "left")
+    status = F.when(F.col("repeated"), "repeated").when(F.col("answer").isNull(), "unanswered").otherwise("linked")
+    in_order = ~F.coalesce("cyclic", F.lit(False)) & F.col("broken").isNull()
+    both = both.select("conv_id", "turn", "place", "call_id", "name", "arguments", F.col("answer.result").alias("result"), status.alias("status"), in_order.alias("in_order"), F.lit(True).alias("is_call"))
+    rows = rest.union(both)
     return rows.mapInArrow(_json_rows(schemas), "conv_id long, turn long, place int, call_id string, status string, in_order boolean, faults array<string>, json string")
 
 

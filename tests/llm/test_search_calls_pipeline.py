@@ -97,6 +97,18 @@ def test_link_orders_validates_and_serialises(spark):
     assert empty.count() == 0
 
 
+def test_every_result_comes_back(spark):
+    messages = [(1, 2, [("c", "note", '{"turn":1,"text":"x"}', [])])]
+    results = [(1, 0, "c", "early"), (1, 5, "c", "answer"), (1, 5, "c", "answer"), (1, 7, "c", None), (1, 9, "ghost", "g"), (1, 9, "ghost", "g")]
+    m = spark.createDataFrame(messages, f"conv_id long, turn long, calls array<{tool_calls.CALL}>")
+    r = spark.createDataFrame(results, "conv_id long, turn long, call_id string, result string")
+    got = sorted((x.turn, x.call_id, x.status, json.loads(x.json)["result"], tuple(x.faults)) for x in tool_calls.link(m, r, tool_calls.SCHEMAS).collect())
+    assert got == [
+        (0, "c", "orphan", "early", ()), (2, "c", "linked", "answer", ()), (5, "c", "repeated", "answer", ()), (7, "c", "repeated", None, ()),
+        (9, "ghost", "orphan", "g", ()), (9, "ghost", "orphan", "g", ()),
+    ]
+
+
 def test_queries_match_sql(spark):
     from oracle import compare, connect
 
