@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomark.llm import bpe, decontaminate, html_text, near_dup, quality, substrings, token_store, tool_calls, topk, toxicity
+from fathomark.llm import bpe, decontaminate, fill_middle, filter_audit, html_text, near_dup, quality, substrings, token_store, tool_calls, topk, toxicity
 from fathomark.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,65 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages, results = tool_calls.calls_of_turns(table(spark, sf_dir, "conversations"))
     out = tool_calls.link(messages, results, tool_calls.SCHEMAS)
     return out.select("conv_id", "turn", "place", "call_id", "status", "in_order", F.size("faults").cast("long").alias("n_faults"), F.sha2(F.col("json"), 256).alias("json_sha256"))
+
+
+@query(
+    "op11_fill_middle",
+    """
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || doc_id) AS h
+      FROM documents),
+    n AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+    f AS (
+      SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR coalesce(h3 % 100 >= 50, true) THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+      FROM n),
+    parts AS (
+      SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM f)
+    SELECT doc_id, n::BIGINT AS n, form,
+      CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+      sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256
+    FROM parts
+    """,
+)
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    texts = (F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored("output", "form"), 256).alias("restored_sha256"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *texts)
+
+
+@query(
+    "op12_filter_audit",
+    f"""
+    WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {SQL_WORDS} AS w FROM documents),
+    flags AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+    bits AS (
+      SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+        + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS c
+      FROM d LEFT JOIN flags USING (doc_id)),
+    counts AS (SELECT part, c, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM bits GROUP BY ALL),
+    orders(o) AS (
+      SELECT '' UNION ALL SELECT o || l FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) WHERE length(o) < 5 AND NOT contains(o, l)),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS bit),
+    steps AS (
+      SELECT o, k AS step, bit, coalesce((SELECT sum(x.bit) FROM letters x WHERE contains(o[1:k - 1], x.l)), 0)::INT AS before
+      FROM orders, (SELECT unnest(range(1, 6)) AS k), letters WHERE length(o) = 5 AND o[k] = l),
+    out AS (
+      SELECT part, o, step, bit,
+        sum(CASE WHEN c & bit = 0 AND c & before = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN c & bit <> 0 AND c & before = 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN c & bit <> 0 AND c & before <> 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN c = bit THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN c & bit <> 0 AND c & before = 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN c & bit <> 0 AND c & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM counts, steps GROUP BY ALL),
+    shares AS (SELECT part, bit, sum(removed) AS shapley FROM out GROUP BY ALL)
+    SELECT part, o AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+      unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, shapley::BIGINT AS shapley
+    FROM out JOIN shares USING (part, bit)
+    """,
+)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
