@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomark.llm import bpe, decontaminate, fill_middle, filter_audit, html_text, near_dup, quality, substrings, token_store, tool_calls, topk, toxicity
+from fathomark.llm import bpe, decontaminate, fill_middle, filter_audit, html_text, near_dup, ngram_join, quality, substrings, token_store, tool_calls, topk, toxicity
 from fathomark.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,8 +56,9 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("kept", "kept_sha256")
 
 
+SQL_LOWER_WORDS = SQL_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 SQL_SHINGLES = f"""
-    words AS (SELECT doc_id, {SQL_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+    words AS (SELECT doc_id, {SQL_LOWER_WORDS} AS w FROM documents),
     sets AS (
       SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words)
@@ -250,3 +251,30 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op13_ngram_jaccard",
+    f"""
+    WITH RECURSIVE words AS (SELECT doc_id, {SQL_LOWER_WORDS} AS w FROM documents),
+    sets AS (
+      SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM words),
+    classes AS (SELECT min(doc_id) AS rep, list_sort(s) AS k, any_value(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+    member AS (SELECT doc_id, rep FROM sets JOIN classes ON list_sort(sets.s) = classes.k),
+    grams AS (SELECT rep, unnest(s) AS g FROM classes),
+    df AS (SELECT g, count(*) AS f FROM grams GROUP BY g),
+    ranked AS (SELECT rep, g, row_number() OVER (PARTITION BY rep ORDER BY f, g) AS r FROM grams JOIN df USING (g)),
+    heads AS (SELECT rep, g FROM ranked JOIN classes USING (rep) WHERE r <= len(s) - ceil(0.9 * len(s)) + 1),
+    pairs AS (SELECT DISTINCT a.rep AS u, b.rep AS v FROM heads a JOIN heads b ON a.g = b.g AND a.rep < b.rep),
+    counted AS (SELECT u, v, len(x.s) AS nx, len(y.s) AS ny, len(list_intersect(x.s, y.s)) AS c FROM pairs JOIN classes x ON x.rep = u JOIN classes y ON y.rep = v),
+    links AS (SELECT u, v FROM counted WHERE 100 * c >= 90 * (nx + ny - c)),
+    both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+    reach(n, m) AS (SELECT rep, rep FROM classes UNION SELECT reach.n, both_ways.v FROM reach JOIN both_ways ON reach.m = both_ways.u),
+    least AS (SELECT n AS rep, min(m) AS c FROM reach GROUP BY n)
+    SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id
+    FROM sets d LEFT JOIN member USING (doc_id) LEFT JOIN least USING (rep)
+    """,
+)
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
