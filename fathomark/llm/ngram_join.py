@@ -4,9 +4,11 @@ The distance of two sets is 1 - intersection / union; documents within ``reach``
 
 1. Documents with equal sets form one class, represented by its smallest id; only classes are compared.
 2. Almost all classes lie at distance 1 from each other, where no pivot tells anything. So pivots are found through rare
-   n-grams: in any fixed order of the n-grams two linked sets share one of the first ``n - ceil(share * n) + 1``
-   of each. The order puts frequent n-grams last (an estimate from all rows; any order is exact). The smallest id that
-   holds an n-gram there is the pivot of its holders, and they form the pivot's region. Every link lies in a region.
+   n-grams. Let e be the n-grams of a set that a linked set may lack. In any fixed order of the n-grams two linked sets
+   share ``l`` of the first ``e + l`` of each. The order puts frequent n-grams last (an estimate from all rows; any
+   order is exact). Sets with too few n-grams there that any other set has there can have no link and are put aside.
+   The smallest id that holds an n-gram is the pivot of its holders; they form the pivot's region. A set in r regions
+   stays in those that hold at least 1 / r of the ``l``: two linked sets keep one in common.
 3. Each holder's distance to its pivot is taken on the full sets. Those within ``reach`` are linked to the pivot at once;
    components of these links join most groups. In a region, members of the pivot's group that lie more than ``reach``
    nearer than the nearest stranger cannot link with one (triangle inequality) and are left out; a region of one
@@ -30,9 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomark.functions.small import broadcast_checked
 from fathomark.llm.graph import components
 from fathomark.llm.near_dup import overlaps, shingle_sets
 from fathomark.llm.words import chunks
@@ -46,6 +49,7 @@ BLOCK_ROWS = 512
 BLOCK_GRAMS = 2 << 20
 PIVOTS = 24
 LEVELS = 5
+KEYS = 1_000_000  # rows of ids and flags, about 50 bytes each, up to which they are sent to the texts and not the texts to them
 SLACK = 1e-9
 
 
@@ -72,14 +76,17 @@ def _measure_rows(size: int):
     return run
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """How many of a set's n-grams, in any fixed order, must hold one that a linked set has among its own first ones."""
-    return n - -(-percent * n // 100) + 1
+def prefix(n: int, percent: int) -> tuple[int, int]:
+    """For a set of n: how many first n-grams to look at, and how many of those a linked set has among its own (the smallest
+    linked set looks at the fewest)."""
+    least = -(-percent * n // 100)
+    missing = n - least
+    return missing + max(1, missing), max(1, least - -(-percent * least // 100))
 
 
-def _prefix_rows(size: int, percent: int, frequent: np.ndarray):
-    """(gram, doc_id) of the first n-grams of each document; ``frequent``: sorted by hash, with ranks, last in the order."""
-    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64())])
+def _prefix_rows(size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]):
+    """(gram, doc_id, need) of the first n-grams of each document."""
+    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("need", pa.int32())])
     known, rank = frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,21 +94,22 @@ def _prefix_rows(size: int, percent: int, frequent: np.ndarray):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             text = batch.column("text")
             for lo, hi, _, _ in chunks(text):
-                first, owner = [], []
+                first, owner, mark = [], [], []
                 for k, found in enumerate(shingle_sets(text.slice(lo, hi - lo), size)):
                     if not len(found):
                         continue
+                    keep, need = prefix(len(found), percent)
                     place = np.zeros(len(found), np.int64)
                     if len(known):
                         at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                         place = np.where(known[at] == found, rank[at], 0)
-                    keep = prefix_length(len(found), percent)
                     # ``found`` is sorted by hash, so a stable sort breaks ties by hash.
                     few = found[np.argsort(place, kind="stable")[:keep]]
                     first.append(few)
                     owner.append(np.full(len(few), ids[lo + k]))
+                    mark.append(np.full(len(few), need))
                 if first:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.concatenate(owner), pa.int64())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.concatenate(owner), pa.int64()), pa.array(np.concatenate(mark), pa.int32())], schema=schema)
 
     return run
 
@@ -195,14 +203,28 @@ def frequent_grams(measured: DataFrame, ranked: int = RANKED) -> tuple[np.ndarra
     return gram[order], often[order]
 
 
-def regions(docs: DataFrame, known: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, percent: int) -> DataFrame:
-    """(region, id): each pivot with the classes that share one of its rare n-grams. ``known``: id of every class."""
-    postings = materialise(docs.mapInArrow(_prefix_rows(size, percent, frequent), "gram long, doc_id long"), "postings")
-    # The smallest holder of an n-gram represents its class: a smaller id with an equal set would hold the n-gram as well.
+def _shared(postings: DataFrame, name: str) -> DataFrame:
+    """``postings`` of n-grams that several ids hold, with the smallest as ``region``."""
     shared = postings.groupBy("gram").agg(F.min("doc_id").alias("region"), F.max("doc_id").alias("last")).filter("region < last")
-    shared = materialise(shared.select("gram", "region"), "shared-grams")
-    member = postings.join(shared, "gram").select("region", F.col("doc_id").alias("id")).distinct()
-    return member.join(known.select("id"), "id", "left_semi").select("region", "id")
+    shared = materialise(shared.select("gram", "region"), f"{name}-grams")
+    return materialise(postings.drop("region").join(shared, "gram"), name)
+
+
+def regions(docs: DataFrame, known: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, percent: int, rounds: int = 2) -> DataFrame:
+    """(region, id): each pivot with the classes that share one of its rare n-grams. ``known``: id of every class.
+
+    Each round puts more classes aside; the number of rounds changes the work, not the links.
+    """
+    postings = materialise(docs.mapInArrow(_prefix_rows(size, percent, frequent), "gram long, doc_id long, need int"), "postings")
+    for k in range(rounds):
+        postings = _shared(postings, f"shared-{k}")
+        enough = postings.groupBy("doc_id").agg(F.count("*").alias("have"), F.min("need").alias("need")).filter("have >= need")
+        alive = materialise(enough.select("doc_id").join(known.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "alive")
+        postings = postings.join(alive, "doc_id", "left_semi")
+    held = _shared(postings, "held").groupBy("region", "doc_id").agg(F.count("*").alias("have"), F.min("need").alias("need"))
+    # What two linked sets share here lies in at most as many regions as either is in, so one region has that part of it.
+    among = F.count("*").over(Window.partitionBy("doc_id"))
+    return held.withColumn("among", among).filter(F.col("have") * F.col("among") >= F.col("need")).select("region", F.col("doc_id").alias("id"))
 
 
 def _parts(block_rows: int, block_grams: int):
@@ -247,7 +269,7 @@ def region_links(
         rows = open_regions(split(rows, texts, size, 1 - percent / 100, block_rows, block_grams, pivots, level), "cells")
     left = left.unionByName(rows.select(columns))
     blocks = _parts(block_rows, block_grams)
-    dealt = left.join(texts, "id").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = broadcast_checked(left, KEYS).join(texts, "id").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "grp", "guest", "text")
     return dealt.groupBy("region", "lo", "hi").applyInArrow(_block_links(size, percent), "u long, v long")
 
@@ -256,7 +278,7 @@ def pivot_distances(member: DataFrame, texts: DataFrame, size: int) -> DataFrame
     """(region, id, common, whole) of each member and its pivot on the full sets."""
     a = texts.select(F.col("id").alias("region"), F.col("text").alias("text_a"))
     b = texts.select("id", F.col("text").alias("text_b"))
-    both = member.filter("region <> id").join(a, "region").join(b, "id").select("region", "id", "text_a", "text_b")
+    both = broadcast_checked(member.filter("region <> id"), KEYS).join(a, "region").join(b, "id").select("region", "id", "text_a", "text_b")
     return both.mapInArrow(_distance_rows(size), "region long, id long, common long, whole long")
 
 
@@ -278,7 +300,8 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, rank
 
     given = docs.filter("doc_id is not null")
     member = materialise(regions(given, ids, frequent_grams(measured, ranked), size, percent), "members")
-    needed = given.join(member.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = materialise(member.select(F.col("id").alias("doc_id")).distinct(), "wanted")
+    needed = given.join(broadcast_checked(wanted, KEYS), "doc_id", "left_semi")
     texts = materialise(needed.groupBy(F.col("doc_id").alias("id"), F.xxhash64("text").alias("version")).agg(F.first("text").alias("text")).select("id", "text"), "member-texts")
     distance = materialise(pivot_distances(member, texts, size), "distances")
 

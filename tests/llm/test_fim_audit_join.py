@@ -204,10 +204,14 @@ def test_cells_keep_every_link_and_part_the_groups(spark, dense):
     assert max(map(len, there.values())) < len(dense)
 
 
-def test_prefix_length_is_exact():
-    for n in range(1, 60):
-        need = next(c for c in range(n + 1) if 100 * c >= 90 * n)
-        assert ngram_join.prefix_length(n, 90) == n - need + 1
+@settings(max_examples=300, deadline=None)
+@given(st.sets(st.integers(0, 40), min_size=1, max_size=40), st.sets(st.integers(0, 40), max_size=4), st.sets(st.integers(0, 40), max_size=4))
+def test_prefixes_of_linked_sets_share_enough(x, add, drop):
+    y = (x | add) - drop
+    if not y or 100 * len(x & y) < 90 * len(x | y):
+        return
+    (keep_x, need_x), (keep_y, need_y) = (ngram_join.prefix(len(s), 90) for s in (x, y))
+    assert len(set(sorted(x)[:keep_x]) & set(sorted(y)[:keep_y])) >= max(need_x, need_y)
 
 
 def test_frequent_grams_are_bounded(spark):
