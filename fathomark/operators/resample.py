@@ -269,7 +269,7 @@ def per_class_bootstrap(
     each = spread(groups).join(slots, "seed")
     h = draw_hash(salt, F.col("rep"), F.col("pos"), F.col("idx"))
     draws = each.select("rep", "seed", draw_index(h, F.col("group_n")).alias("idx"))
-    sums = draws.join(_indexed_cells(packed, groups), ["seed", "idx"]).groupBy("rep").agg(*cell_sums(arm, k))
+    sums = draws.join(_indexed_cells(packed, groups, ()), ["seed", "idx"]).groupBy("rep").agg(*cell_sums(arm, k))
 
     def long(df: DataFrame) -> DataFrame:
         rows = []
