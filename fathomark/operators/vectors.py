@@ -4,22 +4,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draw_hash
 from ..functions.small import take_bounded
 from ..functions.vectors import nonfinite
-from .ranking import GROUP_LIMIT_PUSHDOWN, hash_top, ordered_rank
+from .ranking import ordered_rank
+from .sums import salts_for
 
 CONSTANT = 1e-8
 _FLUSH_KEYS = 16
+MOMENT_BLOCK = 64
 
 
 def dim_stats(df: DataFrame, by: Sequence[str], v: str = "v") -> DataFrame:
@@ -35,52 +36,113 @@ def dim_stats(df: DataFrame, by: Sequence[str], v: str = "v") -> DataFrame:
     ).withColumn("n_constant", F.size(F.filter("std", lambda x: x < CONSTANT)))
 
 
-def gram(df: DataFrame, by: Sequence[str], v: str = "v") -> DataFrame:
-    """Centred second moments per key: (by, i, row, n, fourth), one row per matrix row.
+@dataclass
+class _Block:
+    """Rows ``at`` of one matrix of centred second moments, about the mean of the ``n`` rows it has seen.
+
+    ``cubic``: sum of |y|^2 y for those dimensions, y the centred row. ``fourth`` adds up to the sum of |y|^4 over all
+    blocks of a matrix; what does not belong to a dimension is counted in the first block.
+    """
 
-    Rows are centred on the exact means first, so there is no cancellation. Each task
-    sends one d x d partial per key; the partials of one matrix row then meet in one
-    group, whose size is the number of tasks and not the number of items.
+    at: int
+    n: float
+    mean: np.ndarray
+    moment: np.ndarray
+    cubic: np.ndarray
+    spread: float
+    fourth: float
+
+    def moved(self, mean: np.ndarray) -> _Block:
+        """The same rows about another mean."""
+        away = mean - self.mean
+        own = away[self.at : self.at + len(self.moment)]
+        far, turned = float(away @ away), self.moment @ away
+        fourth = self.fourth + 4 * float(own @ turned) - 4 * float(own @ self.cubic)
+        if self.at == 0:
+            fourth += self.n * far * far + 2 * far * self.spread
+        cubic = self.cubic - self.spread * own - 2 * turned - self.n * far * own
+        return _Block(self.at, self.n, mean, self.moment + self.n * np.outer(own, away), cubic, self.spread + self.n * far, fourth)
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([[self.n, self.spread, self.fourth], self.mean, self.cubic, self.moment.ravel()])
+
+
+def _unpacked(at: int, d: int, values: np.ndarray) -> _Block:
+    rows = min(MOMENT_BLOCK, d - at)
+    mean, cubic, moment = np.split(values[3:], [d, d + rows])
+    return _Block(at, values[0], mean, moment.reshape(rows, d), cubic, values[1], values[2])
+
+
+def _merged(blocks: list[_Block]) -> _Block:
+    n = sum(b.n for b in blocks)
+    mean = sum(b.n * b.mean for b in blocks) / n
+    out = [b.moved(mean) for b in blocks]
+    add = lambda name: sum(getattr(b, name) for b in out)
+    return _Block(out[0].at, n, mean, add("moment"), add("cubic"), add("spread"), add("fourth"))
+
+
+def _blocks_of(x: np.ndarray) -> list[_Block]:
+    mean = x.mean(0)
+    y = x - mean
+    size = (y * y).sum(1)
+    cubic = size @ y
+    cuts = range(0, x.shape[1], MOMENT_BLOCK)
+    return [_Block(k, len(x), mean, y[:, k : k + MOMENT_BLOCK].T @ y, cubic[k : k + MOMENT_BLOCK], size.sum(), float(size @ size) * (k == 0)) for k in cuts]
+
+
+def moment_blocks(df: DataFrame, by: Sequence[str], v: str = "v") -> DataFrame:
+    """(by, _at, _d, _part): blocks of rows of the centred second-moment matrix of each key, in one scan.
+
+    Each task centres its batches on their own means and merges them; merging about the common mean is exact and does not
+    cancel. The partials of a block meet by salt first, then at last, so no group is larger than the square root of the
+    number of tasks, and no mean has to be known beforehand.
     """
     by = list(by)
-    means = take_bounded(dim_stats(df, by, v).select(*by, "mean"), 10_000)
-    if means is None:
-        raise ValueError("covariance per key is meant for a bounded set of keys (at most 10,000)")
-    centre = {tuple(r[c] for c in by): np.asarray(r["mean"]) for r in means}
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema]
-    schema = ", ".join([*fields, "i int, row array<double>, n bigint, fourth double"])
-
-    def emit(total):
-        for key, (g, n, fourth) in total.items():
-            out = {c: [k] * len(g) for c, k in zip(by, key)}
-            out["i"] = np.arange(len(g), dtype=np.int32)
-            out["row"] = list(g)
-            out["n"], out["fourth"] = n, fourth
-            yield pd.DataFrame(out)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*by).schema)
+    schema = f"{fields}_at int, _d int, _part array<double>"
+
+    def emit(held):
+        for key, blocks in held.items():
+            frame = pd.DataFrame({"_at": [b.at for b in blocks], "_d": len(blocks[0].mean), "_part": [b.packed() for b in blocks]})
+            for c, k in zip(by, key):
+                frame[c] = [k] * len(frame)
+            yield frame[[*by, "_at", "_d", "_part"]]
 
     def partial(batches):
-        total: dict[tuple, list] = {}
+        held: dict[tuple, list[_Block]] = {}
         for pdf in batches:
-            groups = pdf.groupby(by, sort=False, dropna=False) if by else [((), pdf)]
-            for key, part in groups:
-                key = key if isinstance(key, tuple) else (key,)
-                x = np.stack(part[v].to_numpy()) - centre[tuple(key)]
-                acc = total.setdefault(key, [0.0, 0, 0.0])
-                acc[0] = acc[0] + x.T @ x
-                acc[1] += len(x)
-                acc[2] += float(((x * x).sum(axis=1) ** 2).sum())
-            if len(total) > _FLUSH_KEYS:
-                yield from emit(total)
-                total = {}
-        yield from emit(total)
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf.iloc[[0]].copy()
-        out["row"] = [np.sum(np.stack(pdf["row"].to_numpy()), axis=0)]
-        out["n"], out["fourth"] = pdf["n"].sum(), pdf["fourth"].sum()
+            for key, rows in pdf.groupby(by, sort=False, dropna=False) if by else [((), pdf)]:
+                if not len(rows):
+                    continue
+                new = _blocks_of(np.stack(rows[v].to_numpy()).astype(float))
+                old = held.get(key)
+                held[key] = new if old is None else [_merged([a, b]) for a, b in zip(old, new)]
+            if len(held) > _FLUSH_KEYS:
+                yield from emit(held)
+                held = {}
+        yield from emit(held)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, d = int(pdf["_at"].iloc[0]), int(pdf["_d"].iloc[0])
+        one = _merged([_unpacked(at, d, np.asarray(x)) for x in pdf["_part"]])
+        out = pdf.iloc[[0]][[*by, "_at", "_d"]].copy()
+        out["_part"] = [one.packed()]
         return out
 
-    return df.select(*by, v).mapInPandas(partial, schema).groupBy(*by, "i").applyInPandas(add, schema)
+    parts = df.select(*by, v).mapInPandas(partial, schema).withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts_for(df))))
+    half = parts.groupBy(*by, "_at", "_salt").applyInPandas(merge, schema)
+    return half.groupBy(*by, "_at").applyInPandas(merge, schema)
+
+
+def gram(df: DataFrame, by: Sequence[str], v: str = "v") -> DataFrame:
+    """Centred second moments per key: (by, i, row, n, fourth, mean), one row per matrix row; ``fourth`` is the sum over
+    the rows of the fourth power of their distance from the mean, in parts that add up over a key's ``i``."""
+    b = moment_blocks(df, by, v)
+    d, rows = F.col("_d"), F.least(F.lit(MOMENT_BLOCK), F.col("_d") - F.col("_at"))
+    at = F.posexplode(F.transform(F.sequence(F.lit(0), rows - 1), lambda k: F.slice("_part", (F.lit(4) + d + rows + k * d).cast("int"), d)))
+    out = b.select(*by, "_at", "_d", "_part", at.alias("_k", "_row"))
+    fourth = F.when(F.col("_k") == 0, F.col("_part")[2]).otherwise(F.lit(0.0))
+    return out.select(*by, (F.col("_at") + F.col("_k")).alias("i"), F.col("_row").alias("row"), F.col("_part")[0].cast("long").alias("n"), fourth.alias("fourth"), F.slice("_part", F.lit(4), d).alias("mean"))
 
 
 def covariance(df: DataFrame, by: Sequence[str], v: str = "v") -> DataFrame:
@@ -227,15 +289,68 @@ def alpha_group_norm(src: DataFrame, tgt: DataFrame, groups: Sequence[int]) -> D
     )
 
 
-def group_dims(df: DataFrame, key: str, k: int, sample: int = GROUP_LIMIT_PUSHDOWN, seed: int = 0) -> DataFrame:
-    """(dim, group): dimensions clustered by their profile over a seeded sample of items.
+def inner_products(df: DataFrame, v: str = "v") -> np.ndarray:
+    """The d x d matrix of sums of products of dimensions over all items, from the centred moments."""
+    rows = sorted(gram(df, [], v).collect(), key=lambda r: r["i"])
+    if not rows:
+        return np.zeros((0, 0))
+    mean = np.asarray(rows[0]["mean"])
+    return np.stack([r["row"] for r in rows]) + rows[0]["n"] * np.outer(mean, mean)
+
+
+def scatter(inner: np.ndarray, groups: Sequence[int]) -> list[tuple[int, int, float]]:
+    """(group, dimensions, sum of squared distances of their profiles from the group's mean profile)."""
+    label, out = np.asarray(groups), []
+    for g in sorted(set(label.tolist())):
+        mine = np.flatnonzero(label == g)
+        part = inner[np.ix_(mine, mine)]
+        out.append((int(g), len(mine), float(np.trace(part) - part.sum() / len(mine))))
+    return out
 
-    The profile length is the sample size, so the clustered table is d rows of a fixed width.
+
+def group_dims(df: DataFrame, k: int, seed: int = 0, starts: int = 10, rounds: int = 100) -> DataFrame:
+    """(dim, group): dimensions clustered by their values over all items, with k-means of ``starts`` seeded starts.
+
+    The distance of two dimensions' profiles follows from the d x d matrix of raw second moments, so the items are
+    scanned once and only that matrix reaches the driver. Groups are numbered by their first dimension.
     """
-    s = hash_top(df.withColumn("_h", draw_hash("dims", seed, F.col(key))), [], "_h", sample, [key])
-    long = s.select("_h", F.posexplode("v").alias("dim", "x"))
-    prof = long.groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("_h", "x"))).alias("p")).select(
-        "dim", array_to_vector(F.transform("p", lambda e: e["x"])).alias("features")
-    )
-    model = KMeans(k=k, seed=seed, maxIter=50).fit(prof)
-    return model.transform(prof).select("dim", F.col("prediction").alias("group"))
+    inner = inner_products(df)
+    if not len(inner):
+        return df.sparkSession.createDataFrame([], "dim int, group int")
+    label = kernel_kmeans(inner, k, seed, starts, rounds)
+    return df.sparkSession.createDataFrame([(i, int(g)) for i, g in enumerate(label)], "dim int, group int")
+
+
+def kernel_kmeans(inner: np.ndarray, k: int, seed: int = 0, starts: int = 10, rounds: int = 100) -> np.ndarray:
+    """Labels of the best of several k-means runs on points known by their inner products alone."""
+    d, own = len(inner), np.diag(inner)
+    rng = np.random.default_rng(seed)
+    best, label = np.inf, np.zeros(d, int)
+
+    def distances(assigned: np.ndarray, groups: int) -> np.ndarray:
+        one = np.eye(groups)[assigned]
+        size = np.maximum(one.sum(0), 1)
+        cross = inner @ one / size
+        within = (one * (inner @ one)).sum(0) / size**2
+        far = own[:, None] - 2 * cross + within
+        far[:, one.sum(0) == 0] = np.inf
+        return far
+
+    for _ in range(starts):
+        # Seeds far from those before: each with a chance in proportion to its squared distance.
+        chosen = [int(rng.integers(d))]
+        while len(chosen) < min(k, d):
+            near = np.min([own + own[c] - 2 * inner[:, c] for c in chosen], axis=0).clip(0)
+            chosen.append(int(rng.choice(d, p=near / near.sum())) if near.sum() > 0 else next(i for i in range(d) if i not in chosen))
+        now = np.argmin([own + own[c] - 2 * inner[:, c] for c in chosen], axis=0)
+        for _ in range(rounds):
+            far = distances(now, len(chosen))
+            new = far.argmin(1)
+            if (new == now).all():
+                break
+            now = new
+        cost = float(distances(now, len(chosen))[np.arange(d), now].sum())
+        if cost < best - 1e-9 * abs(cost):
+            best, label = cost, now
+    order = {g: i for i, g in enumerate(dict.fromkeys(label.tolist()))}
+    return np.array([order[g] for g in label.tolist()])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import vectors as fv
-from ..operators import align, mmd, vectors as ov
+from ..operators import align, mkmmd, mmd, vectors as ov
 from .registry import query, r9, sql_r9, table
 from .runs import rounded
 from .views import DIM_SQL, VEC_SQL, vectors
@@ -44,10 +45,10 @@ def dim_stats(spark, d):
 
 
 @query("covariance_pairs", f"""WITH {DIM_SQL} SELECT a.domain, CAST(a.dim AS INTEGER) AS i, CAST(b.dim AS INTEGER) AS j, {sql_r9('covar_samp(a.x, b.x)')} AS cov
-FROM dims a JOIN dims b ON a.item_id = b.item_id WHERE b.dim < 8 GROUP BY a.domain, a.dim, b.dim""")
+FROM dims a JOIN dims b ON a.item_id = b.item_id GROUP BY a.domain, a.dim, b.dim""")
 def covariance_pairs(spark, d):
     c = ov.covariance(vectors(spark, d), ["domain"])
-    e = c.select("domain", "i", F.posexplode("row").alias("j", "cov")).where("j < 8")
+    e = c.select("domain", "i", F.posexplode("row").alias("j", "cov"))
     return e.select("domain", "i", "j", r9("cov").alias("cov"))
 
 
@@ -231,7 +232,43 @@ def subspace(spark, d):
 
 @query("mkmmd_diag")
 def mkmmd_diag(spark, d):
-    return probe(_aligned(spark, d, "mkmmd_diag", lam=0.1, steps=40, batch=128), "item_id", "domain")
+    return probe(_aligned(spark, d, "mkmmd_diag", lam=0.1, steps=20, features=24), "item_id", "domain")
+
+
+FREQ, LAM, WIDTH = 8, 0.1, 6.0
+
+
+def _unit(name: str) -> str:
+    return f"((CAST('0x' || substr(sha256('rff|0|' || k || '|' || j || '|' || dim || '|{name}'), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+# The map x -> 0.9 x + 0.05 of domain 0 against domain 1.
+@query("mkmmd_objective", f"""WITH {DIM_SQL}, f AS (SELECT k, j, dim, sqrt(-2 * ln({_unit('u')})) * cos(2 * pi() * {_unit('v')}) / (([{', '.join(f"{m}::DOUBLE" for m in mmd.MULTIPLIERS)}])[k + 1] * {WIDTH}::DOUBLE) AS w
+ FROM (SELECT unnest(range({len(mmd.MULTIPLIERS)})) AS k), (SELECT unnest(range({FREQ})) AS j), (SELECT unnest(range({D})) AS dim)),
+z AS (SELECT domain, item_id, k, j, sum(w * CASE WHEN domain = 0 THEN 0.9::DOUBLE * x + 0.05::DOUBLE ELSE x END) AS z FROM dims JOIN f ON f.dim = dims.dim GROUP BY ALL),
+m AS (SELECT domain, k, j, count(*) AS n, avg(cos(z)) AS c, avg(sin(z)) AS s FROM z GROUP BY ALL),
+p AS (SELECT a.k, any_value(a.n) AS na, any_value(b.n) AS nb, avg(a.c * a.c + a.s * a.s) AS aa, avg(b.c * b.c + b.s * b.s) AS bb, avg(a.c * b.c + a.s * b.s) AS ab
+ FROM m a JOIN m b ON a.k = b.k AND a.j = b.j WHERE a.domain = 0 AND b.domain = 1 GROUP BY a.k)
+SELECT CAST(k AS INTEGER) AS kernel, {sql_r9('(na * aa - 1) / (na - 1) + (nb * bb - 1) / (nb - 1) - 2 * ab')} AS mmd2, {sql_r9(f'{LAM}::DOUBLE * {D} * 0.01')} AS penalty FROM p""")
+def mkmmd_objective(spark, d):
+    """What the map's fit minimises, at a given map: the discrepancy of each kernel over all rows, and the penalty."""
+    s, t = sides(spark, d)
+    omega = mkmmd.frequencies(D, FREQ, WIDTH)
+    w, b = 0.9 * np.eye(D), np.full(D, 0.05)
+    moved, fixed = mkmmd.feature_sums(s, omega, w, b, outer=False), mkmmd.feature_sums(t, omega, np.eye(D), np.zeros(D), outer=False)
+    each = mkmmd.discrepancy(moved, fixed, len(mmd.MULTIPLIERS))
+    away = LAM * float(((w - np.eye(D)) ** 2).sum())
+    out = spark.createDataFrame([(k, float(x), away) for k, x in enumerate(each)], "kernel int, mmd2 double, penalty double")
+    return rounded(out, "mmd2", "penalty")
+
+
+@query("group_scatter", f"""WITH {DIM_SQL}, g AS (SELECT item_id, dim % 8 AS grp, avg(x) AS m FROM dims GROUP BY ALL)
+SELECT CAST(dim % 8 AS INTEGER) AS "group", count(DISTINCT dim) AS n_dims, round(sum((x - m) * (x - m)), 6) AS scatter
+FROM dims JOIN g ON g.item_id = dims.item_id AND g.grp = dims.dim % 8 GROUP BY dim % 8""")
+def group_scatter(spark, d):
+    """Within-group scatter of the dimensions' profiles over all items, for groups of every eighth dimension."""
+    rows = ov.scatter(ov.inner_products(vectors(spark, d)), [i % 8 for i in range(D)])
+    return spark.createDataFrame(rows, "group int, n_dims bigint, scatter double").withColumn("scatter", F.round("scatter", 6))
 
 
 @query("cov_diag")
@@ -246,7 +283,7 @@ def shrinkage_path(spark, d):
 
 @query("group_dims")
 def group_dims(spark, d):
-    return ov.group_dims(vectors(spark, d), "item_id", 8)
+    return ov.group_dims(vectors(spark, d), 8)
 
 
 # ---- discrepancy -----------------------------------------------------------

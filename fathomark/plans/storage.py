@@ -152,5 +152,5 @@ def stats_csv(spark, d):
 @query("mkmmd_full")
 def mkmmd_full(spark, d):
     s, t = sides(spark, d)
-    m = align.fit_align(s, t, "mkmmd_full", lam=0.1, steps=20, batch=128, eps=0.01)
+    m = align.fit_align(s, t, "mkmmd_full", lam=0.1, steps=12, features=24, eps=0.01)
     return probe(m.transform(s, "source").unionByName(m.transform(t, "target")), "item_id", "domain")

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomark.functions import vectors as fv
-from fathomark.operators import align, mmd
+from fathomark.operators import align, descent, mkmmd, mmd
 from fathomark.operators import vectors as ov
 
 D = 6
@@ -112,25 +112,81 @@ def test_shrinkage_path_reaches_predicted_scalar(data):
     assert got[1000.0]["ratio"] == pytest.approx(1.0, abs=0.01)
 
 
-def test_gradient_by_differences():
-    rng = np.random.default_rng(2)
-    a, t = rng.normal(size=(7, 3)), rng.normal(size=(6, 3)) + 0.5
-    _, g = mmd._gradient(a, t, 1.3)
-    for i, j in ((0, 0), (3, 2), (6, 1)):
-        e = np.zeros_like(a)
-        e[i, j] = 1e-6
-        num = (mmd.mmd2(a + e, t, 1.3) - mmd.mmd2(a - e, t, 1.3)) / 2e-6
-        assert g[i, j] == pytest.approx(num, abs=1e-7)
+def test_gradient_by_differences(data):
+    x, t, fx, ft = data
+    omega = mkmmd.frequencies(D, 6, 1.3)
+    goal = mkmmd.feature_sums(ft, omega, np.eye(D), np.zeros(D), outer=False)
+    at = lambda w, b: mkmmd.objective(mkmmd.feature_sums(fx, omega, w, b, outer=True), goal, omega, w, 0.3, 5)
+    w, b = np.eye(D) + 0.1, np.full(D, 0.2)
+    _, gw, gb = at(w, b)
+    for i, j in ((0, 0), (1, 2)):
+        e = np.zeros((D, D))
+        e[i, j] = 1e-5
+        assert gw[i, j] == pytest.approx((at(w + e, b)[0] - at(w - e, b)[0]) / 2e-5, rel=1e-5, abs=1e-8)
+    e = np.eye(D)[1] * 1e-5
+    assert gb[1] == pytest.approx((at(w, b + e)[0] - at(w, b - e)[0]) / 2e-5, rel=1e-5, abs=1e-8)
+
+
+def test_features_estimate_the_kernel_discrepancy(data):
+    x, t, fx, ft = data
+    omega = mkmmd.frequencies(D, 400, 2.0, seed=3)
+    one = lambda df: mkmmd.feature_sums(df, omega, np.eye(D), np.zeros(D), outer=False)
+    got = mkmmd.discrepancy(one(fx), one(ft), 5)
+    want = [mmd.mmd2(x, t, 2.0, (m,)) for m in mmd.MULTIPLIERS]
+    assert np.allclose(got, want, atol=0.05)
 
 
 @pytest.mark.parametrize("diagonal", [True, False])
 def test_mkmmd_not_worse_than_start(data, diagonal):
     _, _, fx, ft = data
-    m = align.MKMMD(lam=0.01, diagonal=diagonal, steps=30, batch=64, pool=200).fit(fx, ft)
+    m = align.MKMMD(lam=0.01, diagonal=diagonal, steps=8, features=16).fit(fx, ft)
     assert m.diagnostics["final_mmd2"] <= m.diagnostics["start_mmd2"]
     assert back(m.transform(fx, "source")).shape == (400, D)
 
 
+def test_mkmmd_recovers_a_planted_map(spark):
+    """Also with more rows than any pool would hold, and planted only in the rows with the largest ids."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(3000, 2)), rng.normal(size=(3000, 2)) * [1.5, 0.5] + [1.0, -2.0]
+    m = align.MKMMD(lam=0.0, diagonal=True, steps=25, features=32, warm_start=False).fit(frame(spark, x), frame(spark, y))
+    assert np.allclose(np.diag(m.matrix), [1.5, 0.5], atol=0.15) and np.allclose(m.shift, [1.0, -2.0], atol=0.12)
+    assert m.diagnostics["final_mmd2"] < 0.02 * m.diagnostics["start_mmd2"] and not m.diagnostics["reverted"]
+
+
+def test_second_moments_in_one_scan(spark):
+    """Far from zero, over keys, many tasks and more dimensions than a block."""
+    rng = np.random.default_rng(6)
+    d = ov.MOMENT_BLOCK + 9
+    x = rng.normal(size=(700, d)) * rng.uniform(0.5, 2, d) + 1e4
+    df = frame(spark, x).withColumn("k", F.col("item_id") % 3).repartition(7)
+    for key in range(3):
+        mine = x[np.arange(700) % 3 == key]
+        rows = sorted(ov.gram(df, ["k"]).where(F.col("k") == key).collect(), key=lambda r: r["i"])
+        y = mine - mine.mean(0)
+        assert len(rows) == d and rows[0]["n"] == len(mine)
+        assert np.allclose(rows[0]["mean"], mine.mean(0), rtol=1e-12)
+        assert np.allclose(np.stack([r["row"] for r in rows]), y.T @ y, rtol=1e-6, atol=1e-5)
+        assert sum(r["fourth"] for r in rows) == pytest.approx(((y * y).sum(1) ** 2).sum(), rel=1e-6)
+    assert ov.gram(df.limit(0), ["k"]).count() == 0
+
+
+def test_lbfgs_and_lockstep():
+    a = np.diag([1.0, 50.0, 400.0])
+    bowl = lambda c: lambda x: (float((x - c) @ a @ (x - c)), 2 * a @ (x - c))
+    goals = {k: np.full(3, float(k)) for k in range(3)}
+    jobs = []
+
+    def evaluate(points):
+        jobs.append(len(points))
+        return {k: bowl(goals[k])(x) for k, x in points.items()}
+
+    got = descent.drive({k: descent.lbfgs(np.ones(3) * 5, 100, 1e-8) for k in goals}, evaluate)
+    assert all(s.converged and np.allclose(s.x, goals[k], atol=1e-5) for k, s in got.items())
+    assert len(jobs) < 60 and jobs[0] == 3
+    short = descent.drive({0: descent.lbfgs(np.ones(3) * 5, 2, 1e-8)}, evaluate)[0]
+    assert not short.converged and short.steps == 2
+
+
 def test_mmd_by_brute_force(data):
     x, t, fx, ft = data
     rows = mmd.two_sides(fx.limit(40), ft.limit(30)).withColumn("cell", F.lit(0)).cache()
@@ -202,8 +258,23 @@ def test_layer_specs():
 
 
 def test_dimension_groups_follow_profiles(spark):
+    """Decided by the rows with the largest ids: over the first thousand all dimensions are alike."""
     rng = np.random.default_rng(0)
-    a, b = rng.normal(size=80), rng.normal(size=80) + 9
+    a, b = rng.normal(size=1500), rng.normal(size=1500)
+    b[1200:] += 9
+    a[:1200] = b[:1200]
     x = np.stack([a, b, a + 0.01, b + 0.01], axis=1)
-    got = {r["dim"]: r["group"] for r in ov.group_dims(frame(spark, x), "item_id", 2).collect()}
-    assert got[0] == got[2] != got[1] == got[3]
+    got = {r["dim"]: r["group"] for r in ov.group_dims(frame(spark, x), 2).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1}
+
+
+def test_kernel_kmeans_equals_kmeans_cost():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(4, 30)) * 6
+    p = centres[np.arange(40) % 4] + rng.normal(size=(40, 30))
+    label = ov.kernel_kmeans(p @ p.T, 4, seed=2)
+    assert len(set(label)) == 4 and all((label[:4] == label[k : k + 4]).all() for k in range(0, 40, 4))
+    got = {g: s for g, _, s in ov.scatter(p @ p.T, label)}
+    for g in got:
+        mine = p[label == g]
+        assert got[g] == pytest.approx(((mine - mine.mean(0)) ** 2).sum())
