@@ -10,26 +10,26 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (
-    LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
-)
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw_hash, draw_uniform
-from . import align, metrics, mmd, priors
+from . import align, heads, metrics, mmd, priors
 from .ledger import conform, todo
-
-MAX_ITER = 1000
-# log10 bounds of each family's search space.
-SPACES: Mapping[str, Mapping[str, tuple[float, float]]] = {
-    "logreg": {"C": (-4.0, 4.0)},
-    "svm_linear": {"C": (-4.0, 4.0)},
-    "svm_rbf": {"C": (-3.0, 4.0), "gamma": (-6.0, 0.0)},
-    "mlp": {"lr": (-5.0, -2.0)},
+from .sums import added
+
+# log10 bounds and choices of each family's search space.
+SPACES: Mapping[str, Mapping[str, tuple]] = {
+    "logreg": {"C": (-4.0, 4.0), "class_weight": ("none", "balanced")},
+    "svm_linear": {"C": (-4.0, 4.0), "class_weight": ("none", "balanced")},
+    "svm_rbf": {"C": (-3.0, 4.0), "gamma": (-6.0, 0.0), "class_weight": ("none", "balanced")},
+    "mlp": {
+        "lr": (-5.0, -2.0), "weight_decay": (-6.0, -1.0), "hidden": (64, 128, 256, 512), "depth": (1, 2, 3),
+        "dropout": (0.0, 0.1, 0.3, 0.5), "batch_size": (32, 64, 128),
+    },
 }
-HIDDEN = (64, 128, 256, 512)
+# Parameters drawn log-uniformly between two bounds; the others are choices.
+LOG_SCALE = ("C", "gamma", "lr", "weight_decay")
 
 
 class NotConverged(RuntimeError):
@@ -43,14 +43,20 @@ def candidates(spark: SparkSession, families: Sequence[str], seeds: Sequence[int
     fam = F.explode(F.array(*[F.lit(f) for f in families]))
     sd = F.explode(F.array(*[F.lit(int(s)) for s in seeds]))
     rows = base.withColumn("family", fam).withColumn("seed", sd)
-    for name in ("C", "gamma", "lr"):
+    for name in dict.fromkeys(n for space in SPACES.values() for n in space):
         u = draw_uniform(draw_hash("cand", F.col("family"), F.col("seed"), F.col("candidate_index"), name))
-        value = F.lit(None).cast("double")
+        value = None
         for f in families:
-            if name in SPACES[f]:
-                lo, hi = SPACES[f][name]
-                value = F.when(F.col("family") == f, F.pow(F.lit(10.0), F.lit(lo) + u * (hi - lo))).otherwise(value)
-        rows = rows.withColumn(name, value)
+            if name not in SPACES[f]:
+                continue
+            space = SPACES[f][name]
+            if name in LOG_SCALE:
+                drawn = F.pow(F.lit(10.0), F.lit(space[0]) + u * (space[1] - space[0]))
+            else:
+                drawn = F.get(F.array(*[F.lit(x) for x in space]), F.floor(u * len(space)).cast("int"))
+            value = (F if value is None else value).when(F.col("family") == f, drawn)
+        kind = "double" if name in (*LOG_SCALE, "dropout") else "string" if name == "class_weight" else "int"
+        rows = rows.withColumn(name, F.lit(None).cast(kind) if value is None else value.cast(kind))
     return rows
 
 
@@ -69,54 +75,23 @@ class Fitted:
     n_iter: int | None = None
 
 
-def _indexed(df: DataFrame, classes: Sequence[str], label: str) -> DataFrame:
-    names = F.array(*[F.lit(c) for c in classes])
-    y = (F.array_position(names, F.col(label)) - 1).cast("double")
-    return df.withColumn("_y", y).withColumn("_x", array_to_vector(F.col("v")))
+def fit_heads(train: DataFrame, family: str, classes: Sequence[str], params: Sequence[Mapping], label: str) -> list[Fitted | NotConverged]:
+    """All candidates of a family at once, each fitted or refused."""
+    rows = heads.training_rows(train, classes, label)
+    d, counts = next(iter(heads.shapes(rows, len(classes)).values()))
+    named = {str(i): heads.Head("", family, dict(p), d, counts) for i, p in enumerate(params)}
+    got = heads.fit_all(rows, named)
+    return [_accepted(named[str(i)], got[str(i)], classes) for i in range(len(params))]
 
 
-def _ml_predict(model, classes: Sequence[str], score: str | None):
-    from pyspark.ml.functions import vector_to_array
-
-    names = F.array(*[F.lit(c) for c in classes])
-
-    def predict(df: DataFrame) -> DataFrame:
-        out = model.transform(df.withColumn("_x", array_to_vector(F.col("v"))))
-        out = out.withColumn("y_pred", F.get(names, F.col("prediction").cast("int")))
-        if score:
-            out = out.withColumn("p", vector_to_array(score))
-        keep = [c for c in out.columns if c in df.columns or c in ("y_pred", "p")]
-        return out.select(*keep)
-
-    return predict
+def _accepted(head: heads.Head, end, classes: Sequence[str]) -> Fitted | NotConverged:
+    if not end.converged:
+        return NotConverged(f"{head.family} stopped at {end.steps} iterations with a gradient of {end.grad_norm:.2g}")
+    return Fitted(lambda df: heads.predict(df, head, end.x, classes), end.steps)
 
 
 def fit_logreg(train: DataFrame, classes, params, label, n) -> Fitted:
-    lr = LogisticRegression(
-        featuresCol="_x", labelCol="_y", regParam=1.0 / (params["C"] * n), standardization=False,
-        maxIter=params.get("max_iter", MAX_ITER), tol=1e-6, family="multinomial",
-    )
-    model = lr.fit(_indexed(train, classes, label))
-    used = model.summary.totalIterations
-    if used >= lr.getMaxIter():
-        raise NotConverged(f"logreg stopped at {used} iterations")
-    return Fitted(_ml_predict(model, classes, "probability"), int(used))
-
-
-def fit_svm_linear(train: DataFrame, classes, params, label, n) -> Fitted:
-    svc = LinearSVC(featuresCol="_x", labelCol="_y", regParam=1.0 / (params["C"] * n), standardization=False,
-                    maxIter=params.get("max_iter", 100))
-    model = OneVsRest(classifier=svc, featuresCol="_x", labelCol="_y", parallelism=4).fit(_indexed(train, classes, label))
-    return Fitted(_ml_predict(model, classes, None))
-
-
-def fit_mlp(train: DataFrame, classes, params, label, n) -> Fitted:
-    d = len(train.select("v").first()["v"])
-    mlp = MultilayerPerceptronClassifier(
-        featuresCol="_x", labelCol="_y", layers=[d, int(params.get("hidden", HIDDEN[0])), len(classes)],
-        maxIter=params.get("max_iter", 100), seed=int(params.get("seed", 0)), stepSize=params["lr"],
-    )
-    return Fitted(_ml_predict(mlp.fit(_indexed(train, classes, label)), classes, "probability"))
+    return build("logreg", train, classes, params, label, n, {})
 
 
 def fourier_weights(d: int, features: int, gamma: float, seed: int) -> np.ndarray:
@@ -141,12 +116,16 @@ class KernelStats:
     classes: Sequence[str] = field(default_factory=tuple)
 
 
-def kernel_stats(train: DataFrame, classes: Sequence[str], label: str, gamma: float, features: int, seed: int) -> KernelStats:
-    """Partial Gram and cross products per task, added up row by row of the matrix."""
+def kernel_stats(train: DataFrame, classes: Sequence[str], label: str, gamma: float, features: int, seed: int, weights: Sequence[float] | None = None) -> KernelStats:
+    """Partial Gram and cross products per task, added up row by row of the matrix in two levels.
+
+    ``weights``: one for each class, on the rows of that class.
+    """
     d = len(train.select("v").first()["v"])
     w = fourier_weights(d, features, gamma, seed)
     shared = train.sparkSession.sparkContext.broadcast((w, {c: i for i, c in enumerate(classes)}))
     k = len(classes)
+    weigh = np.ones(k) if weights is None else np.asarray(weights)
 
     def partial(batches):
         w_, index = shared.value
@@ -154,20 +133,18 @@ def kernel_stats(train: DataFrame, classes: Sequence[str], label: str, gamma: fl
         for pdf in batches:
             z = fourier_map(np.stack(pdf["v"].to_numpy()), w_)
             y = -np.ones((len(pdf), k))
-            y[np.arange(len(pdf)), pdf[label].map(index).to_numpy()] = 1.0
-            gram += z.T @ np.hstack([z, y])
+            own = pdf[label].map(index).to_numpy()
+            y[np.arange(len(pdf)), own] = 1.0
+            gram += (z * weigh[own][:, None]).T @ np.hstack([z, y])
             n += len(pdf)
         if n:
-            yield pd.DataFrame({"i": np.arange(len(gram), dtype=np.int32), "row": list(gram), "n": n})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": pdf["i"].iloc[[0]], "row": [np.sum(np.stack(pdf["row"].to_numpy()), axis=0)], "n": [pdf["n"].sum()]})
+            yield pd.DataFrame({"i": np.arange(len(gram), dtype=np.int32), "part": [np.concatenate([[n], r]) for r in gram]})
 
-    schema = "i int, row array<double>, n bigint"
-    rows = train.select("v", label).mapInPandas(partial, schema).groupBy("i").applyInPandas(add, schema).collect()
-    full = np.stack([r["row"] for r in sorted(rows, key=lambda r: r["i"])])
+    parts = train.select("v", label).mapInPandas(partial, "i int, part array<double>")
+    rows = sorted(added(parts, ["i"]).collect(), key=lambda r: r["i"])
+    full = np.stack([np.asarray(r["part"])[1:] for r in rows])
     m = 2 * features
-    return KernelStats(w, full[:, :m], full[:, m:], int(rows[0]["n"]), list(classes))
+    return KernelStats(w, full[:, :m], full[:, m:], int(rows[0]["part"][0]), list(classes))
 
 
 def fit_kernel_ridge(stats: KernelStats, c: float) -> Fitted:
@@ -190,16 +167,22 @@ def fit_kernel_ridge(stats: KernelStats, c: float) -> Fitted:
 
 
 def build(family: str, train: DataFrame, classes: Sequence[str], params: Mapping, label: str, n: int, cache: dict) -> Fitted:
-    """Fit one candidate. Kernel statistics are shared between candidates with one gamma."""
+    """Fit one candidate. Kernel statistics are shared between candidates with one gamma and weighting."""
     if family == "svm_rbf":
-        key = round(math.log10(params["gamma"]), 1)
+        key = (params["gamma"], params.get("class_weight"))
         if key not in cache:
-            cache[key] = kernel_stats(train, classes, label, 10.0**key, int(params.get("features", 128)), 0)
+            weights = None
+            if params.get("class_weight") == "balanced":
+                _, counts = next(iter(heads.shapes(heads.training_rows(train, classes, label), len(classes)).values()))
+                weights = heads.Head("", family, params, 0, counts).class_weights
+            cache[key] = kernel_stats(train, classes, label, params["gamma"], int(params.get("features", 128)), 0, weights)
         return fit_kernel_ridge(cache[key], params["C"])
-    fits = {"logreg": fit_logreg, "svm_linear": fit_svm_linear, "mlp": fit_mlp}
-    if family not in fits:
+    if family not in SPACES:
         raise ValueError(f"unknown family {family!r}")
-    return fits[family](train, classes, params, label, n)
+    got = fit_heads(train, family, classes, [params], label)[0]
+    if isinstance(got, NotConverged):
+        raise got
+    return got
 
 
 # ---- selection -------------------------------------------------------------
@@ -231,28 +214,33 @@ def fit_select(
     """
     # Counted once; every candidate then reuses the same persisted rows.
     train, val = train.persist(), val.persist()
-    heads: dict[int, Fitted] = {}
+    fits: dict[int, Fitted] = {}
     trials = []
     try:
         shared: dict = {}
         n = train.count()
+        # The candidates of a family that descends share every job.
+        ready = [] if family == "svm_rbf" or not params else fit_heads(train, family, classes, params, label)
         for i, p in enumerate(params):
             score = why = None
             try:
-                heads[i] = build(family, train, classes, p, label, n, shared)
-                score = float(score_of(heads[i].predict(val), classes, label)["macro_f1"])
+                got = ready[i] if ready else build(family, train, classes, p, label, n, shared)
+                if isinstance(got, NotConverged):
+                    raise got
+                fits[i] = got
+                score = float(score_of(got.predict(val), classes, label)["macro_f1"])
             except Exception as exc:  # noqa: BLE001 - kept in the trial's record
-                heads.pop(i, None)
+                fits.pop(i, None)
                 why = str(exc)
-            used = heads[i].n_iter if i in heads else None
+            used = fits[i].n_iter if i in fits else None
             trials.append({"candidate_index": i, "params_json": json.dumps(dict(p), sort_keys=True), "score": score, "error": why, "n_iter": used})
     finally:
         train.unpersist()
         val.unpersist()
-    if not heads:
+    if not fits:
         raise RuntimeError(f"no candidate of {family} has a score; the first says: {trials[0]['error'] if trials else 'empty list'}")
-    winner = max(heads, key=lambda i: (trials[i]["score"], -i))
-    return Selection(family, dict(params[winner]), trials[winner]["score"], trials, heads[winner], winner)
+    winner = max(fits, key=lambda i: (trials[i]["score"], -i))
+    return Selection(family, dict(params[winner]), trials[winner]["score"], trials, fits[winner], winner)
 
 
 # ---- cells -----------------------------------------------------------------

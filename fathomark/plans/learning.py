@@ -96,16 +96,30 @@ def _u(name: str) -> str:
     return f"CAST('0x' || substr(sha256('cand|' || family || '|' || seed || '|' || candidate_index || '|{name}'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
 
 
-@query("candidates", f"""WITH b AS (SELECT candidate_index, family, seed FROM (SELECT CAST(unnest(range(20)) AS BIGINT) AS candidate_index), (SELECT unnest(['logreg', 'svm_rbf']) AS family),
+def _value(name: str) -> str:
+    cases = []
+    for family, space in models.SPACES.items():
+        if name in models.LOG_SCALE and name in space:
+            lo, hi = space[name]
+            cases.append(f"WHEN '{family}' THEN {sql_r9(f'log10(power(10, {lo}::DOUBLE + ({_u(name)}) * {hi - lo}::DOUBLE))')}")
+        elif name in space:
+            items = ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::{'DOUBLE' if isinstance(x, float) else 'INTEGER'}" for x in space[name])
+            cases.append(f"WHEN '{family}' THEN ([{items}])[CAST(floor(({_u(name)}) * {len(space[name])}) AS BIGINT) + 1]")
+    return f"CASE family {' '.join(cases)} END AS {name}"
+
+
+SEARCHED = tuple(dict.fromkeys(n for space in models.SPACES.values() for n in space))
+
+
+@query("candidates", f"""WITH b AS (SELECT candidate_index, family, seed FROM (SELECT CAST(unnest(range(20)) AS BIGINT) AS candidate_index), (SELECT unnest({sql_list(models.SPACES)}) AS family),
  (SELECT DISTINCT user_id % 3 AS seed FROM events))
-SELECT candidate_index, family, seed, {sql_r9(f"log10(power(10, CASE family WHEN 'logreg' THEN -4 + ({_u('C')}) * 8 ELSE -3 + ({_u('C')}) * 7 END))")} AS log_c,
-CASE WHEN family = 'svm_rbf' THEN {sql_r9(f"log10(power(10, -6 + ({_u('gamma')}) * 6))")} END AS log_gamma FROM b""")
+SELECT candidate_index, family, seed, {', '.join(_value(n) for n in SEARCHED)} FROM b""")
 def candidates(spark, d):
-    """Candidate lists for the seeds present in the events."""
+    """Candidate lists of every family and dimension for the seeds present in the events; log-uniform ones as logarithms."""
     seeds = [r["s"] for r in table(spark, d, "events").select((F.col("user_id") % 3).alias("s")).distinct().collect()]
-    c = models.candidates(spark, ["logreg", "svm_rbf"], sorted(seeds), 20)
-    return c.select("candidate_index", "family", F.col("seed").cast("long").alias("seed"), r9(F.log10("C")).alias("log_c"),
-                    r9(F.log10("gamma")).alias("log_gamma"))
+    c = models.candidates(spark, list(models.SPACES), sorted(seeds), 20)
+    value = lambda n: r9(F.log10(n)).alias(n) if n in models.LOG_SCALE else F.col(n)
+    return c.select("candidate_index", "family", F.col("seed").cast("long").alias("seed"), *[value(n) for n in SEARCHED])
 
 
 # ---- models ----------------------------------------------------------------

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathomark.operators import models, shift, splits
+from fathomark.operators import heads, models, shift, splits
 
 CLASSES = ("x", "y", "z")
 
@@ -47,11 +47,52 @@ def test_failed_trial_is_recorded_and_not_retried(data):
 
 def test_every_family_learns(data):
     train, val = data.where("item_id % 4 <> 0").cache(), data.where("item_id % 4 = 0").cache()
-    for family, p in (("svm_linear", {"C": 1.0, "max_iter": 20}), ("svm_rbf", {"C": 10.0, "gamma": 0.1}), ("mlp", {"lr": 0.03, "hidden": 8})):
+    for family, p in (("svm_linear", {"C": 1.0}), ("svm_rbf", {"C": 10.0, "gamma": 0.1}), ("mlp", {"lr": 0.03, "hidden": 8})):
         fit = models.build(family, train, CLASSES, p, "label", train.count(), {})
         assert models.score_of(fit.predict(val), CLASSES, "label")["macro_f1"] > 0.85, family
 
 
+def test_perceptrons_follow_their_parameters(data):
+    """Two step sizes are two models; a cap that ends a fit refuses it; a batch draws part of the rows."""
+    train, val = data.where("item_id % 4 <> 0"), data.where("item_id % 4 = 0")
+    params = [{"lr": 0.03, "hidden": 8}, {"lr": 0.01, "hidden": 8, "depth": 2, "dropout": 0.1, "weight_decay": 0.01, "batch_size": 1}, {"lr": 1e-5, "hidden": 8, "max_iter": 15}]
+    a, b, c = models.fit_heads(train, "mlp", CLASSES, params, "label")
+    assert isinstance(c, models.NotConverged) and "stopped at 15" in str(c)
+    pa, pb = ([r["p"] for r in m.predict(val).orderBy("item_id").collect()] for m in (a, b))
+    assert np.abs(np.array(pa) - np.array(pb)).max() > 1e-3
+
+
+def test_gradients_by_differences():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(20, 4)), rng.integers(0, 3, 20)
+    counts = tuple(np.bincount(y, minlength=3).tolist())
+    h = rng.integers(0, 1 << 63, 20).astype(np.uint64)
+    for family, p in (("logreg", {"class_weight": "balanced"}), ("svm_linear", {"class_weight": "balanced"}), ("mlp", {"hidden": 5, "depth": 2, "dropout": 0.3})):
+        head = heads.Head("", family, p, 4, counts)
+        theta = rng.normal(size=len(head.start()))
+        f = lambda t: heads._loss(head, t, x, y, heads._dropout(head, 3, h))  # noqa: B023, E731
+        _, g = f(theta)
+        for i in rng.integers(0, len(theta), 8):
+            e = np.zeros_like(theta)
+            e[i] = 1e-6
+            assert g[i] == pytest.approx((f(theta + e)[0] - f(theta - e)[0]) / 2e-6, rel=1e-4, abs=1e-6), family
+
+
+def test_many_cells_in_step_equal_single_fits(spark, data):
+    """Heads of two cells and two families share each job and end where they end alone."""
+    rows = heads.training_rows(data.withColumn("c", F.concat(F.lit("c"), F.col("item_id") % 2)), CLASSES, "label", "c").cache()
+    shape = heads.shapes(rows, 3)
+    named = {f"{c}/{f}": heads.Head(c, f, {"C": 0.5, "class_weight": "balanced"}, *shape[c]) for c in shape for f in ("logreg", "svm_linear")}
+    got = heads.fit_all(rows, named)
+    assert all(s.converged for s in got.values())
+    for name, head in named.items():
+        alone = heads.fit_all(rows.where(F.col("cell") == head.cell), {name: head})[name]
+        assert np.allclose(alone.x, got[name].x, atol=1e-6), name
+        # A minimum: no step in any direction is lower.
+        at = lambda t: heads.evaluate(rows, {name: head}, {name: t}, {name: 1})[name]  # noqa: B023, E731
+        assert np.linalg.norm(at(got[name].x)[1]) <= 1e-4 * np.linalg.norm(at(head.start())[1])
+
+
 def test_translation_leaves_kernel_decisions_unchanged(data):
     """Moving every vector by one offset rotates the random features and nothing else."""
     moved = data.withColumn("v", F.transform("v", lambda x: x + 3.0))
