@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import time
+import traceback
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -14,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw_hash, draw_uniform
+from ..functions.vectors import blend
+from ..sources.ledger_io import write_predictions
 from . import align, heads, metrics, mmd, priors
-from .ledger import conform, todo
+from .ledger import FIELDS, conform, todo
 from .sums import added
 
 # log10 bounds and choices of each family's search space.
@@ -246,7 +252,11 @@ def fit_select(
 # ---- cells -----------------------------------------------------------------
 @dataclass(frozen=True)
 class Cell:
-    """One grid cell over vectors with item_id, corpus, grp, label, v and split rows."""
+    """One grid cell over vectors with item_id, corpus, grp, label, v and split rows.
+
+    ``settings``: pairs for the alignment, such as ("eps", 0.01). ``blend_alpha``: weight of the aligned vectors in a blend
+    with the original ones; None takes the aligned vectors alone.
+    """
 
     source: str
     target: str
@@ -256,6 +266,16 @@ class Cell:
     settings: tuple = ()
     budget: int = 3
     max_iter: int | None = None
+    blend_alpha: float | None = None
+
+    @property
+    def run_id(self) -> str:
+        """16 hex digits over the cell's coordinates."""
+        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()[:16]
+
+
+class LeakedRole(RuntimeError):
+    """An alignment was fitted on rows that only the final score may see."""
 
 
 def _roles(vecs: DataFrame, split_rows: DataFrame, cell: Cell) -> dict[str, DataFrame]:
@@ -266,82 +286,157 @@ def _roles(vecs: DataFrame, split_rows: DataFrame, cell: Cell) -> dict[str, Data
     return {"all": joined} | {r: joined.where(F.col("role") == r) for r in ("source_train", "source_val", "target_adapt", "target_test")}
 
 
-def run_cell(spark: SparkSession, vecs: DataFrame, split_rows: DataFrame, cell: Cell, classes: Sequence[str]) -> dict:
-    """Align, measure, select on validation, score the target once, beside its floors."""
+def _moved(model: align.Alignment, df: DataFrame, domain: str, alpha: float | None) -> DataFrame:
+    """Aligned vectors, or their blend with the original ones."""
+    if alpha is None:
+        return model.transform(df, domain)
+    out = model.transform(df.withColumn("_original", F.col("v")), domain)
+    return out.withColumn("v", blend(F.col("_original"), F.col("v"), alpha)).drop("_original")
+
+
+def _test_scores(predicted: DataFrame, classes: Sequence[str]) -> dict:
+    """Scores, scores of every class and the confusion matrix; K * K counts reach the driver."""
+    spark = predicted.sparkSession
+    counts = metrics.confusion_counts(predicted.select("y_true", "y_pred", F.lit(0).alias("k")), ["k"])
+    counts = spark.createDataFrame(counts.collect(), counts.schema)
+    whole = metrics.all_metrics(counts, classes, ["k"]).collect()[0]
+    each = {r["class"]: r for r in metrics.per_class(counts, classes, ["k"]).collect()}
+    found = {(r["y_true"], r["y_pred"]): r["n"] for r in counts.collect()}
+    text = lambda name: json.dumps({c: each[c][name] for c in classes})
+    return {
+        "macro_f1": whole["macro_f1"], "accuracy": whole["accuracy"], "uar": whole["uar"], "n_collapsed_classes": whole["n_collapsed"],
+        "per_class_f1_json": text("f1"), "per_class_precision_json": text("precision"), "per_class_recall_json": text("recall"),
+        "per_class_support_json": text("support"), "confusion_json": json.dumps([[found.get((t, q), 0) for q in classes] for t in classes]),
+    }
+
+
+def _floors(train: Sequence[float], test: Sequence[float]) -> dict:
+    """Expected macro-F1 of a uniform draw, of the largest training class and of a draw from the training prior."""
+    p, q, k = np.asarray(test), np.asarray(train), len(test)
+    top = p[int(np.argmax(q))]
+    both = np.divide(2 * p * q, p + q, out=np.zeros(k), where=p + q > 0)
+    return {"chance_macro_f1": float(np.mean(2 * p / k / (p + 1 / k))), "majority_macro_f1": float(2 * top / (top + 1) / k), "prior_matched_macro_f1": float(both.mean())}
+
+
+def run_cell(spark: SparkSession, vecs: DataFrame, split_rows: DataFrame, cell: Cell, classes: Sequence[str], predictions: str | None = None) -> dict:
+    """Align, blend, measure, select on validation, score the target once beside its floors: one ledger row.
+
+    The discrepancy is measured on what the classifier sees, in its own frame and in the whitened frame of the unaligned
+    source. ``predictions``: a shared folder in which the target's predictions are stored under the run's id.
+    """
     began = time.monotonic()
     roles = _roles(vecs, split_rows, cell)
     train, val, adapt, test = (roles[r] for r in ("source_train", "source_val", "target_adapt", "target_test"))
-    model = align.fit_align(train, adapt, cell.alignment, **dict(cell.settings))
-    moved = {k: model.transform(df, "source" if k < 2 else "target") for k, df in enumerate((train, val, adapt, test))}
-    effect = mmd.effect_size(mmd.two_sides(moved[0], moved[2]), [], 5, 512, cell.seed).collect()[0]
-    params = candidate_list(spark, cell.family, cell.seed, cell.budget)
-    if cell.max_iter:
-        params = [{**p, "max_iter": cell.max_iter} for p in params]
-    sel = fit_select(moved[0], moved[1], cell.family, params, classes)
-    scores = score_of(sel.fitted.predict(moved[3]), classes, "label")
-    prior = {r: priors.prior_vector(roles[r].withColumn("k", F.lit(0)), classes, ["k"]).collect()[0] for r in ("source_train", "target_test")}
-    p, q, k = np.array(prior["target_test"]["p"]), np.array(prior["source_train"]["p"]), len(classes)
-    pm = p[int(np.argmax(prior["source_train"]["counts"]))]
-    both = np.where(p + q > 0, 2 * p * q / np.maximum(p + q, 1e-300), 0.0)
-    roles["all"].unpersist()
+    try:
+        sizes = {r["role"]: r["n"] for r in roles["all"].groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
+        model = align.fit_align(train, adapt, cell.alignment, **dict(cell.settings))
+        if not model.fit_ids.join(test.select("item_id"), "item_id", "left_semi").isEmpty():
+            raise LeakedRole(f"{cell.alignment} saw target_test")
+        on_train, on_val, on_adapt, on_test = (
+            _moved(model, df, domain, cell.blend_alpha) for df, domain in ((train, "source"), (val, "source"), (adapt, "target"), (test, "target"))
+        )
+        own = mmd.two_sides(on_train, on_adapt).withColumn("frame", F.lit("own"))
+        frame = align.ReferenceFrame().fit(train, adapt)
+        fixed = mmd.two_sides(frame.transform(on_train, "source"), frame.transform(on_adapt, "target")).withColumn("frame", F.lit("reference"))
+        effect = {r["frame"]: r for r in mmd.effect_size(own.unionByName(fixed), ["frame"], 5, 512, cell.seed).collect()}
+        params = candidate_list(spark, cell.family, cell.seed, cell.budget)
+        if cell.max_iter:
+            params = [{**p, "max_iter": cell.max_iter} for p in params]
+        sel = fit_select(on_train, on_val, cell.family, params, classes)
+        predicted = sel.fitted.predict(on_test).select("item_id", F.col("label").alias("y_true"), "y_pred").persist()
+        scores = _test_scores(predicted, classes)
+        path = None
+        if predictions is not None:
+            path = f"{predictions.rstrip('/')}/{cell.run_id}"
+            write_predictions(predicted.select(F.lit(cell.run_id).alias("run_id"), F.col("item_id").cast("string").alias("item_id"), "y_pred"), path)
+        predicted.unpersist()
+        prior = {r: priors.prior_vector(roles[r].withColumn("k", F.lit(0)), classes, ["k"]).collect()[0]["p"] for r in ("source_train", "target_test")}
+    finally:
+        roles["all"].unpersist()
+    failed = [t["error"] for t in sel.trials if t["score"] is None]
+    settings, found = dict(cell.settings), model.diagnostics
+    return _coordinates(cell) | scores | _floors(prior["source_train"], prior["target_test"]) | {
+        "n_classes": len(classes), "class_names": list(classes), "predictions_path": path,
+        "n_train": sizes.get("source_train", 0), "n_val": sizes.get("source_val", 0), "n_target_adapt": sizes.get("target_adapt", 0),
+        "n_target_test": sizes.get("target_test", 0), "source_train_n": sizes.get("source_train", 0),
+        "marginal_mmd_raw": effect["own"]["mmd2"], "marginal_mmd_normalised": effect["own"]["effect_size"],
+        "marginal_mmd_reference": effect["reference"]["effect_size"], "mmd_fallback_fired": found.get("reverted"),
+        "cov_condition_number": found.get("condition_number"), "cov_effective_rank": found.get("effective_rank"),
+        "selection_source_val_macro_f1": sel.score, "n_search_trials": len(sel.trials), "solver_n_iter": sel.fitted.n_iter,
+        "hyperparams_json": json.dumps({
+            "family": cell.family, "selected": sel.params, "n_search_trials": len(sel.trials), "source_val_macro_f1": sel.score, "n_failed_trials": len(failed),
+            "n_not_converged": sum("stopped at" in e for e in failed), "solver_n_iter": sel.fitted.n_iter, "selection_surface": "source_val", "alignment": settings,
+        }, sort_keys=True),
+        "wall_seconds": time.monotonic() - began, "status": "ok", "error": None,
+    }
+
+
+def _coordinates(cell: Cell) -> dict:
+    settings = dict(cell.settings)
     return {
-        "source_corpus": cell.source, "target_corpus": cell.target, "seed": cell.seed, "classifier": cell.family,
-        "alignment": cell.alignment, "n_classes": k, "class_names": list(classes),
-        "n_train": prior["source_train"]["total"], "n_target_test": prior["target_test"]["total"],
-        "marginal_mmd_raw": effect["mmd2"], "marginal_mmd_normalised": effect["effect_size"],
-        "selection_source_val_macro_f1": sel.score, "n_search_trials": len(sel.trials),
-        "hyperparams_json": json.dumps({"selected": sel.params, "n_failed_trials": sum(t["score"] is None for t in sel.trials)}, sort_keys=True),
-        "macro_f1": scores["macro_f1"], "accuracy": scores["accuracy"], "uar": scores["uar"], "n_collapsed_classes": scores["n_collapsed"],
-        "chance_macro_f1": float(np.mean(2 * p / k / (p + 1 / k))), "majority_macro_f1": float(2 * pm / (pm + 1) / k),
-        "prior_matched_macro_f1": float(both.mean()), "wall_seconds": time.monotonic() - began, "status": "ok", "error": None,
+        "run_id": cell.run_id, "source_corpus": cell.source, "target_corpus": cell.target, "seed": cell.seed, "classifier": cell.family,
+        "alignment": cell.alignment, "alignment_eps": settings.get("eps"), "alignment_lambda": settings.get("lam"),
+        "blending": "none" if cell.blend_alpha is None else "scalar", "blend_alpha": cell.blend_alpha,
     }
 
 
-CELL_SCHEMA = (
-    "source_corpus string, target_corpus string, seed bigint, classifier string, alignment string, n_classes bigint, "
-    "class_names array<string>, n_train bigint, n_target_test bigint, marginal_mmd_raw double, marginal_mmd_normalised double, "
-    "selection_source_val_macro_f1 double, n_search_trials bigint, hyperparams_json string, macro_f1 double, accuracy double, "
-    "uar double, n_collapsed_classes bigint, chance_macro_f1 double, majority_macro_f1 double, prior_matched_macro_f1 double, "
-    "wall_seconds double, status string, error string"
+# What a cell knows of itself; the other ledger columns are constants of the run.
+CELL_COLUMNS = (
+    "run_id", "source_corpus", "target_corpus", "seed", "classifier", "alignment", "alignment_eps", "alignment_lambda", "blending", "blend_alpha",
+    "n_classes", "class_names", "n_train", "n_val", "n_target_adapt", "n_target_test", "source_train_n", "marginal_mmd_raw", "marginal_mmd_normalised",
+    "marginal_mmd_reference", "mmd_fallback_fired", "cov_condition_number", "cov_effective_rank", "selection_source_val_macro_f1", "n_search_trials",
+    "solver_n_iter", "hyperparams_json", "macro_f1", "accuracy", "uar", "n_collapsed_classes", "per_class_f1_json", "per_class_precision_json",
+    "per_class_recall_json", "per_class_support_json", "confusion_json", "chance_macro_f1", "majority_macro_f1", "prior_matched_macro_f1",
+    "predictions_path", "wall_seconds", "status", "error",
 )
+CELL_SCHEMA = ", ".join(f"{c} {kind}" for c in CELL_COLUMNS for kind in [next(f.kind for f in FIELDS if f.name == c)])
+WORKERS = 4
 
 
-def run_cells(spark: SparkSession, vecs: DataFrame, split_rows: DataFrame, cells: Sequence[Cell], classes: Sequence[str]) -> DataFrame:
-    """One row per cell; a cell that fails yields a failed row with its error."""
-    from pyspark.sql.types import _parse_datatype_string
+def _guarded(spark, vecs, split_rows, cell: Cell, classes, predictions) -> dict:
+    began = time.monotonic()
+    try:
+        return run_cell(spark, vecs, split_rows, cell, classes, predictions)
+    except Exception:  # noqa: BLE001 - a failed cell is a ledger row
+        return _coordinates(cell) | {
+            "n_classes": len(classes), "class_names": list(classes), "n_train": 0, "n_val": 0, "n_target_adapt": 0, "n_target_test": 0,
+            "hyperparams_json": "{}", "wall_seconds": time.monotonic() - began, "status": "failed", "error": traceback.format_exc(),
+        }
 
-    names = [f.name for f in _parse_datatype_string(CELL_SCHEMA)]
-    out = []
-    for cell in cells:
-        try:
-            row = run_cell(spark, vecs, split_rows, cell, classes)
-        except Exception as exc:  # noqa: BLE001 - a failed cell is a ledger row
-            row = {
-                "source_corpus": cell.source, "target_corpus": cell.target, "seed": cell.seed, "classifier": cell.family,
-                "alignment": cell.alignment, "n_classes": len(classes), "class_names": list(classes), "wall_seconds": 0.0,
-                "hyperparams_json": "{}", "status": "failed", "error": str(exc)[:500],
-            }
-        out.append(tuple(row.get(n) for n in names))
-    return spark.createDataFrame(out, CELL_SCHEMA)
+
+def run_cells(
+    spark: SparkSession, vecs: DataFrame, split_rows: DataFrame, cells: Sequence[Cell], classes: Sequence[str],
+    predictions: str | None = None, workers: int = WORKERS,
+) -> DataFrame:
+    """One row per cell, in the order given; a cell that fails yields a failed row with its error.
+
+    ``workers`` cells are under way at a time, so that one cell's small jobs fill the gaps of another's.
+    """
+    with ThreadPoolExecutor(workers) as pool:
+        rows = list(pool.map(lambda cell: _guarded(spark, vecs, split_rows, cell, classes, predictions), cells))
+    return spark.createDataFrame([tuple(r.get(n) for n in CELL_COLUMNS) for r in rows], CELL_SCHEMA)
 
 
 def run_grid(
     spark: SparkSession, plan: DataFrame, done: DataFrame, to_cell: Callable[[dict], Cell], vecs: DataFrame,
     split_rows: DataFrame, classes: Sequence[str], sink: Callable[[DataFrame], None], shard: tuple[int, int] = (0, 1),
+    predictions: str | None = None, workers: int = WORKERS,
 ) -> int:
-    """Run the cells of ``plan`` not yet in ``done``; each is appended as soon as it is finished.
+    """Run the cells of ``plan`` not yet in ``done``, a wave of ``workers`` at a time; each wave is one append.
 
-    The plan is driven row by row because every cell is several Spark jobs; its rows
-    are grid coordinates, never data.
+    A run that is broken off loses at most a wave and resumes behind what was appended. The plan is driven row by row
+    because every cell is several Spark jobs; its rows are grid coordinates, never data.
     """
     from .ledger import shard as pick
 
-    left = pick(todo(plan, [done]), shard[0], shard[1])
+    left = pick(todo(plan, [done]), shard[0], shard[1]).orderBy("run_id").toLocalIterator()
     count = 0
-    for row in left.orderBy("run_id").toLocalIterator():
-        result = run_cells(spark, vecs, split_rows, [to_cell(row.asDict())], classes)
-        sink(result.withColumn("run_id", F.lit(row["run_id"])))
-        count += 1
+    while wave := list(islice(left, workers)):
+        got = run_cells(spark, vecs, split_rows, [to_cell(r.asDict()) for r in wave], classes, predictions, workers)
+        # The plan's own ids name the rows.
+        place = F.create_map(*[F.lit(x) for r in wave for x in (to_cell(r.asDict()).run_id, r["run_id"])])
+        sink(got.withColumn("run_id", place[F.col("run_id")]))
+        count += len(wave)
     return count
 
 
@@ -359,8 +454,6 @@ def check_conditions(spark, vecs, split_rows, cells: Sequence[Cell], classes: Se
 def alpha_sweep(train: DataFrame, test: DataFrame, aligned: align.Alignment, alphas: Sequence[float], classes: Sequence[str],
                 gamma: float = 1.0, c: float = 1.0, label: str = "label") -> list[tuple[float, float]]:
     """Score of every blend weight between raw and aligned source features, one fit each."""
-    from ..functions.vectors import blend
-
     moved = aligned.transform(train, "source").withColumnRenamed("v", "_a").select("item_id", "_a")
     both = train.join(moved, "item_id").persist()
     target = aligned.transform(test, "target")

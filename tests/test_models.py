@@ -1,8 +1,11 @@
+import json
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathomark.operators import heads, models, shift, splits
+from fathomark.operators import align, heads, ledger, models, shift, splits
 
 CLASSES = ("x", "y", "z")
 
@@ -109,6 +112,55 @@ def test_cell_reports_score_beside_floors(spark, data, split_rows):
     assert bad["status"] == "failed" and "magic" in bad["error"] and bad["macro_f1"] is None
 
 
+def test_cell_rows_are_ledger_rows_and_scores_follow_from_stored_predictions(spark, data, split_rows, tmp_path):
+    out = str(tmp_path / "predictions")
+    cells = [
+        models.Cell("c0", "c1", 0, "svm_rbf", "coral", (("eps", 0.1),), budget=2, blend_alpha=0.5),
+        models.Cell("c0", "c1", 0, "logreg", "zscore", budget=2), models.Cell("c0", "c1", 0, "svm_rbf", "magic"),
+    ]
+    rows = models.run_cells(spark, data, split_rows, cells, CLASSES, predictions=out, workers=2).cache()
+    constants = {f.name: {"string": "x", "bigint": 0, "boolean": False}[f.kind] for f in ledger.FIELDS if not f.nullable and f.name not in (*models.CELL_COLUMNS, "schema_version")}
+    full = models.to_ledger(rows, **constants)
+    assert ledger.schema_problems(full) == [] and ledger.violations(full, ledger.ledger_rules(), ["run_id"]).count() == 0
+    got = {r.run_id: r for r in rows.collect()}
+    assert [got[c.run_id].status for c in cells] == ["ok", "ok", "failed"] and "magic" in got[cells[2].run_id].error
+    truth = {str(r.item_id): r.label for r in data.collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE truth(item_id VARCHAR, y_true VARCHAR)")
+    con.executemany("INSERT INTO truth VALUES (?, ?)", list(truth.items()))
+    for cell in cells[:2]:
+        row = got[cell.run_id]
+        con.execute(f"""CREATE OR REPLACE VIEW p AS SELECT unnest(utterance_ids) AS item_id, unnest(predicted) AS y_pred
+            FROM read_json('{row.predictions_path}/*.json.gz', columns = {{run_id: 'VARCHAR', utterance_ids: 'VARCHAR[]', predicted: 'VARCHAR[]'}})""")
+        n, f1 = con.execute("""WITH j AS (SELECT * FROM p JOIN truth USING (item_id)), c AS (SELECT unnest(['x', 'y', 'z']) AS c),
+            s AS (SELECT c, count(*) FILTER (y_true = c AND y_pred = c) AS tp, count(*) FILTER (y_true = c) + count(*) FILTER (y_pred = c) AS both_sides FROM j, c GROUP BY c)
+            SELECT (SELECT count(*) FROM j), avg(CASE WHEN both_sides = 0 THEN 0 ELSE 2.0::DOUBLE * tp / both_sides END) FROM s""").fetchone()
+        assert n == row.n_target_test > 0 and f1 == pytest.approx(row.macro_f1)
+        matrix = np.array(json.loads(row.confusion_json))
+        assert matrix.sum() == n and np.trace(matrix) / n == pytest.approx(row.accuracy)
+        assert list(json.loads(row.per_class_support_json).values()) == matrix.sum(1).tolist()
+        assert row.marginal_mmd_reference is not None and row.n_train + row.n_val + row.n_target_adapt + n > 200
+    assert got[cells[0].run_id].cov_condition_number > 1 and got[cells[0].run_id].blending == "scalar"
+
+
+def test_alignment_that_saw_the_test_rows_is_refused(spark, data, split_rows, monkeypatch):
+    class Peeking(align.Identity):
+        def _fit(self, source, adapt):
+            self.seen = data
+
+        @property
+        def fit_ids(self):
+            return data.select("item_id")
+
+        @fit_ids.setter
+        def fit_ids(self, value):
+            pass
+
+    monkeypatch.setitem(align.RUNGS, "peeking", Peeking)
+    row = models.run_cells(spark, data, split_rows, [models.Cell("c0", "c1", 0, "svm_rbf", "peeking")], CLASSES).first()
+    assert row.status == "failed" and "target_test" in row.error
+
+
 def test_grid_resumes_and_shards(spark, data, split_rows, tmp_path):
     plan = spark.createDataFrame([(f"{i:08x}rest", a) for i, a in enumerate(("none", "zscore", "mean_shift", "magic"))], "run_id string, alignment string")
     done = plan.where("alignment = 'none'").select("run_id")
