@@ -278,3 +278,14 @@ def test_kernel_kmeans_equals_kmeans_cost():
     for g in got:
         mine = p[label == g]
         assert got[g] == pytest.approx(((mine - mine.mean(0)) ** 2).sum())
+
+
+def test_ladder_keeps_rungs_without_an_effect_and_notes_warm_starts(data, spark):
+    _, _, fx, ft = data
+    still = spark.createDataFrame([(i, [1.0] * D) for i in range(12)], "item_id bigint, v array<double>")
+    rungs = {"none": mmd.two_sides(fx, ft), "mean_shift": mmd.two_sides(align.MeanShift().fit(fx, ft).transform(fx, "source"), ft), "flat": mmd.two_sides(still, still)}
+    got = {(r.rung, r.bandwidth_scale): r for r in mmd.ladder_table(rungs, (0.5, 1.0), repeats=3, cap=100, reverted={"mean_shift": True}).collect()}
+    assert len(got) == 6
+    assert got["flat", 1.0].effect_size is None and got["flat", 1.0]["rank"] is None and not got["flat", 1.0].stable
+    assert got["none", 1.0]["rank"] > got["mean_shift", 1.0]["rank"] == 1 and got["none", 0.5].stable
+    assert "warm start" in got["mean_shift", 0.5].note and got["none", 0.5].note is None
