@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import utc_stamp
 from ..operators import align, ledger as led, metrics
-from ..sources import ledger_io as io, manifest
+from ..sources import files, ledger_io as io, manifest
 from ..sources.scratch import shared_dir
 from .geometry import probe, sides, sql_probe
 from .registry import query, table
@@ -154,3 +154,41 @@ def mkmmd_full(spark, d):
     s, t = sides(spark, d)
     m = align.fit_align(s, t, "mkmmd_full", lam=0.1, steps=12, features=24, eps=0.01)
     return probe(m.transform(s, "source").unionByName(m.transform(t, "target")), "item_id", "domain")
+
+
+# ---- audio headers ---------------------------------------------------------
+def _le(value, size: int):
+    """Little-endian bytes of a whole number."""
+    digits = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))]))
+
+
+@query("wav_headers", """WITH c AS (SELECT c_custkey AS k, 8000 + 1000 * (c_custkey % 9) AS rate, c_custkey % 400 AS frames FROM customer),
+p AS (SELECT *, CASE WHEN k % 50 = 0 THEN 'not a RIFF/WAVE file' WHEN k % 50 = 1 THEN 'data chunk is cut' WHEN k % 50 = 2 THEN 'no data chunk' END AS problem FROM c)
+SELECT k AS item_id, CASE WHEN problem IS NULL THEN rate END::INTEGER AS sample_rate, CASE WHEN problem IS NULL THEN round_even(frames::DOUBLE / rate, 6) END AS duration_s,
+problem AS header_problem FROM p""")
+def wav_headers(spark, d):
+    """Files made of the customers' keys: a LIST chunk of odd length in every third, a broken header in three of fifty."""
+    k = F.col("c_custkey")
+    rate, frames, lit = F.lit(8000) + 1000 * (k % 9), k % 400, lambda text: F.lit(text).cast("binary")
+    data = F.unhex(F.repeat(F.lit("0102"), frames.cast("int")))
+    form = F.concat(lit("fmt "), _le(F.lit(16), 4), _le(F.lit(1), 2), _le(F.lit(1), 2), _le(rate, 4), _le(2 * rate, 4), _le(F.lit(2), 2), _le(F.lit(16), 2))
+    note = F.when(k % 3 == 0, F.concat(lit("LIST"), _le(F.lit(5), 4), lit("abcde"), F.unhex(F.lit("00")))).otherwise(lit(""))
+    name = F.when(k % 50 == 2, lit("junk")).otherwise(lit("data"))
+    size = 2 * frames + F.when(k % 50 == 1, 2).otherwise(0)
+    body = F.concat(F.when(k % 50 == 0, lit("RIFX")).otherwise(lit("RIFF")), _le(F.lit(0), 4), lit("WAVE"), note, form, note, name, _le(size, 4), data)
+    rows = files.wav_header(table(spark, d, "customer").select(k.alias("item_id"), body.alias("content")))
+    return rows.select("item_id", "sample_rate", "duration_s", "header_problem")
+
+
+@query("annotations", """SELECT c_custkey AS item_id, substr('angneuhapsadexc', CAST(c_custkey % 5 * 3 + 1 AS BIGINT), 3) AS code FROM customer WHERE c_custkey % 7 <> 0""")
+def annotations(spark, d):
+    """Annotation lines written from the customers' keys and scanned again; every seventh line is none."""
+    k = F.col("c_custkey")
+    code = F.substring(F.lit("angneuhapsadexc"), (k % 5 * 3 + 1).cast("int"), F.lit(3))
+    name = F.format_string("Ses%02dF_impro01_F%d", k % 5 + 1, k)
+    line = F.when(k % 7 == 0, F.lit("% not an annotation")).otherwise(F.concat(F.lit("[0.10 - 2.50]\t"), name, F.lit("\t"), code, F.lit("\t[2.5, 3.0, 1.5]")))
+    path = shared_dir(spark, "annotations")
+    table(spark, d, "customer").select(line.alias("value")).write.text(f"{path}/EmoEvaluation")
+    got = files.scan_annotations(spark, path)
+    return got.select(F.regexp_extract("item", r"F(\d+)$", 1).cast("long").alias("item_id"), "code")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,20 +50,48 @@ def with_digest(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("sha256", F.sha2(content, 256))
 
 
-def _little_endian(content: Column, start: int, size: int) -> Column:
-    """Unsigned integer from ``size`` bytes at 1-based ``start``."""
-    parts = [F.hex(F.substring(content, start + i, 1)) for i in reversed(range(size))]
-    return F.conv(F.concat(*parts), 16, 10).cast("long")
+HEADER = "struct<rate:int,frames:bigint,problem:string>"
+
+
+def riff_header(content: bytes | None) -> tuple[int | None, int | None, str | None]:
+    """(sample rate, frames, problem) of a RIFF/WAVE file, found by walking its chunks; a problem leaves the others null.
+
+    Chunks may come in any order and number; each is padded to an even length. Only their headers are looked at.
+    """
+    if content is None or len(content) < 12 or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+        return None, None, "not a RIFF/WAVE file"
+    at, rate, width = 12, None, None
+    while at + 8 <= len(content):
+        name, size = content[at : at + 4], int.from_bytes(content[at + 4 : at + 8], "little")
+        body = at + 8
+        if name == b"fmt ":
+            if size < 16 or body + 16 > len(content):
+                return None, None, "format chunk is cut"
+            rate, width = int.from_bytes(content[body + 4 : body + 8], "little"), int.from_bytes(content[body + 12 : body + 14], "little")
+            if not rate or not width:
+                return None, None, "format chunk without a rate"
+        elif name == b"data":
+            if rate is None:
+                return None, None, "data before a format chunk"
+            if body + size > len(content):
+                return None, None, "data chunk is cut"
+            return rate, size // width, None
+        at = body + size + size % 2
+    return None, None, "no data chunk" if rate else "no format chunk"
 
 
 def wav_header(df: DataFrame, content: str = "content") -> DataFrame:
-    """Sample rate and duration of canonical 44-byte-header PCM files, from the header alone."""
-    c = F.col(content)
-    rate, byte_rate = _little_endian(c, 25, 4), _little_endian(c, 29, 4)
-    size = _little_endian(c, 41, 4)
-    return df.withColumn("sample_rate", rate.cast("int")).withColumn(
-        "duration_s", F.bround(size.cast("double") / byte_rate, 6)
-    )
+    """``df`` with sample_rate, duration_s (six decimals) and header_problem (null where the header is sound)."""
+
+    @F.pandas_udf(HEADER)
+    def read(column: pd.Series) -> pd.DataFrame:
+        found = pd.DataFrame([riff_header(x) for x in column], columns=["rate", "frames", "problem"])
+        return found.astype({"rate": "Int32", "frames": "Int64", "problem": "object"})
+
+    h = df.withColumn("_header", read(F.col(content)))
+    duration = F.bround(F.col("_header.frames").cast("double") / F.col("_header.rate"), 6)
+    out = h.withColumn("sample_rate", F.col("_header.rate")).withColumn("duration_s", duration).withColumn("header_problem", F.col("_header.problem"))
+    return out.drop("_header")
 
 
 # ---- name parsers: corpus -> struct of ITEM_FIELDS, null where the name does not match -------

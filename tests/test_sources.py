@@ -116,3 +116,26 @@ def test_unknown_label_and_policies(spark):
     assert lab.map_labels(df.where("raw = 'frustrated'"), merged, "four").first()["label"] == "angry"
     with pytest.raises(ValueError):
         lab.LabelPolicy(frustrated="maybe")
+
+
+def chunk(name, body):
+    return name + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
+
+
+def test_headers_by_chunk(spark):
+    form = chunk(b"fmt ", (1).to_bytes(2, "little") + (2).to_bytes(2, "little") + (22050).to_bytes(4, "little") + (88200).to_bytes(4, "little") + (4).to_bytes(2, "little") + (16).to_bytes(2, "little"))
+    start = b"RIFF" + b"\0" * 4 + b"WAVE"
+    data = chunk(b"data", b"x" * 4410)
+    cases = {
+        "plain": (start + form + data, 22050, 0.05, None), "list first": (start + chunk(b"LIST", b"odd") + form + chunk(b"fact", b"1234") + data, 22050, 0.05, None),
+        "extensible": (start + chunk(b"fmt ", form[8:] + b"\0" * 24) + data, 22050, 0.05, None),
+        "cut data": (start + form + data[:-10], None, None, "data chunk is cut"), "no data": (start + form, None, None, "no data chunk"),
+        "no format": (start + chunk(b"LIST", b""), None, None, "no format chunk"), "early data": (start + data + form, None, None, "data before a format chunk"),
+        "cut format": (start + form[:14], None, None, "format chunk is cut"), "other": (b"OggS" + b"\0" * 60, None, None, "not a RIFF/WAVE file"), "empty": (b"", None, None, "not a RIFF/WAVE file"),
+        "null": (None, None, None, "not a RIFF/WAVE file"), "no rate": (start + chunk(b"fmt ", b"\0" * 16) + data, None, None, "format chunk without a rate"),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "name string, content binary")
+    got = {r.name: (r.sample_rate, r.duration_s, r.header_problem) for r in files.wav_header(df).collect()}
+    # 4410 bytes are 1102 whole frames of 4.
+    want = {k: v[1:] if v[1] is None else (22050, round(1102 / 22050, 6), None) for k, v in cases.items()}
+    assert got == want
