@@ -23,6 +23,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,14 +67,18 @@ def perfect_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if size[b] <= 1:
             break
         rows = order[first[b] : first[b + 1]]
-        pilot = 0
+        pilot, tried = 0, 64
         while True:
-            at = _slot(h[rows], pilot, n)
-            if free[at].all() and len(np.unique(at)) == len(at):
+            # A stretch of pilots at once; the least one whose slots are free and distinct is taken.
+            at = _slot(h[rows], np.arange(pilot, pilot + tried)[:, None], n)
+            fits = np.flatnonzero(free[at].all(1))
+            if len(fits):
+                fits = fits[(np.diff(np.sort(at[fits], 1), axis=1) > 0).all(1)]
+            if len(fits):
                 break
-            pilot += 1
-        free[at] = False
-        slots[rows], pilots[b] = at, pilot
+            pilot, tried = pilot + tried, min(2 * tried, 4096)
+        free[at[fits[0]]] = False
+        slots[rows], pilots[b] = at[fits[0]], pilot + fits[0]
     # Buckets of one key take the free slots directly.
     left = iter(np.flatnonzero(free).tolist())
     for b in np.flatnonzero(size == 1).tolist():
@@ -169,23 +174,31 @@ class LibraryEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.known: dict[str, bytes] = {}
+        self.mark = dict(zip(",.", self._ids([",", "."])))
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """The library's ids of each part, as bytes."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        ends = np.cumsum([len(x) for x in lists], dtype=np.int64) * self.width
+        raw = np.fromiter(chain.from_iterable(lists), self.kind).tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """Ids of pieces that are not known, as bytes; kept while there is room."""
         # Special strings are matched before case is folded, so pieces that may hold one stay whole.
-        parts = {p: self._parts(p.lower()) if p.isascii() and "<|" not in p else [p] for p in new}
-        unknown = sorted({x for xs in parts.values() for x in xs}.difference(self.known))
-        found = {x: np.array(e.ids, self.kind).tobytes() for x, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False))}
-        held = {x: self.known[x] if x in self.known else found[x] for xs in parts.values() for x in xs}
-        found |= {p: b"".join([held[x] for x in xs]) for p, xs in parts.items()}
-        if len(self.known) < self.memory:
-            self.known |= found
+        simple = [p for p in new if p.isascii() and "<|" not in p]
+        folded = "\n".join(simple).lower().split("\n") if simple else []  # no piece holds a line feed
+        stems = [x[:-1] if x[-1] in ",." and x[-2:-1].isalnum() else x for x in folded]
+        known = self.known
+        unknown = [*{*stems, *new.difference(simple)}.difference(known)]
+        found = dict(zip(unknown, self._ids(unknown))) if unknown else {}
+        for piece, x, stem in zip(simple, folded, stems):
+            ids = found[stem] if stem in found else known[stem]
+            found[piece] = ids if len(stem) == len(x) else ids + self.mark[x[-1]]
+        if len(known) < self.memory:
+            known |= found
         return found
 
-    @staticmethod
-    def _parts(piece: str) -> list[str]:
-        return [piece[:-1], piece[-1]] if len(piece) > 1 and piece[-1] in ",." and piece[-2].isalnum() else [piece]
-
     def encode(self, texts: list[str | None], end_id: int) -> Iterator[np.ndarray]:
         rows = [pieces(t or "") for t in texts]
         new = set().union(*rows).difference(self.known) if rows else set()
