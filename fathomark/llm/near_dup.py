@@ -3,9 +3,10 @@
 1. Each whole text becomes its set of word shingles, a digest of the set and a MinHash signature. Documents
    with equal sets form one class, represented by its smallest id.
 2. Each of ``orders`` permutations of the signature sorts all classes (a range-partitioned sort). Neighbours
-   in a sorted order with a common prefix of ``least_depth`` values or more are candidates. Every class is
-   paired with its ``reach`` next neighbours, so the depth adapts to the region: where few share a prefix all
-   of them meet at the least depth; where many do, only those with the longest common prefixes meet.
+   in a sorted order with a common prefix of ``least`` values or more are candidates. Every class is paired
+   with its ``reach`` next neighbours, so the depth adapts to the region, up to ``KEY_DEPTH`` values: where few
+   share a prefix all of them meet at the least depth; where many do, only those with the longest common
+   prefixes meet, and step 5 settles the others.
 3. The signatures estimate each candidate; estimates far below the threshold are put aside (about four
    standard deviations, so a true link is lost with probability near 1e-5, and must be lost by every
    connection of its group to matter).
@@ -39,8 +40,8 @@ SHINGLE = 5
 HASHES = 72
 ORDERS = 24
 LEAST_DEPTH = 3
-KEY_DEPTH = 8
-REACH = 12
+KEY_DEPTH = 23
+REACH = 4
 SLACK = 4.0
 BLOCK_ROWS = 512
 BLOCK_BYTES = 32 << 20
@@ -113,7 +114,8 @@ def _permutations(hashes: int, orders: int, depth: int) -> np.ndarray:
     return np.stack(rows)
 
 
-def _order_rows(hashes: int, orders: int, depth: int):
+def _order_rows(hashes: int, orders: int, least: int, depth: int):
+    """Sort keys of each order: its first ``least`` values whole, the low byte of each further one."""
     perms = _permutations(hashes, orders, depth)
     schema = pa.schema([("ord", pa.int32()), ("key", pa.binary()), ("id", pa.int64())])
 
@@ -122,9 +124,10 @@ def _order_rows(hashes: int, orders: int, depth: int):
             if not batch.num_rows:
                 continue
             sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, hashes)
-            width = depth * 4
+            width = depth + 3 * least
             for t, perm in enumerate(perms):
-                keys = np.ascontiguousarray(sig[:, perm]).astype(">u4").tobytes()
+                head = np.ascontiguousarray(sig[:, perm[:least]]).astype(">u4").view(np.uint8)
+                keys = np.hstack([head, sig[:, perm[least:]].astype(np.uint8)]).tobytes()
                 key = pa.Array.from_buffers(pa.binary(), len(sig), [None, pa.py_buffer(np.arange(0, len(keys) + 1, width, dtype=np.int32)), pa.py_buffer(keys)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), key, batch.column("id")], schema=schema)
 
@@ -135,7 +138,7 @@ def _neighbours(order: np.ndarray, keys: np.ndarray, ids: np.ndarray, reach: int
     """Pairs (smaller id, larger id) among sorted rows."""
     left, right = [], []
     for step in range(1, min(reach, len(ids) - 1) + 1):
-        same = (order[step:] == order[:-step]) & (keys[step:, :least] == keys[:-step, :least]).all(1)
+        same = (order[step:] == order[:-step]) & (keys[step:, : 4 * least] == keys[:-step, : 4 * least]).all(1)
         left.append(ids[:-step][same])
         right.append(ids[step:][same])
     if not left:
@@ -150,7 +153,7 @@ def _neighbour_rows(reach: int, least: int, depth: int):
 
     def columns(batch):
         n = batch.num_rows
-        keys = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u4").reshape(n, depth)
+        keys = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint8).reshape(n, depth + 3 * least)
         return batch.column("ord").to_numpy(), keys, batch.column("id").to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +184,7 @@ def candidate_pairs(classes: DataFrame, hashes: int = HASHES, orders: int = ORDE
     """Distinct (a, b), a < b, from ``classes`` with columns id and signature."""
     spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = classes.select("id", "signature").mapInArrow(_order_rows(hashes, orders, depth), "ord int, key binary, id long")
+    rows = classes.select("id", "signature").mapInArrow(_order_rows(hashes, orders, least, depth), "ord int, key binary, id long")
     by = ["ord", "key", "id"]
     near = _neighbour_rows(reach, least, depth)
     out = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(near, "a long, b long, ord int, key binary")
@@ -338,9 +341,11 @@ def region_links(regions: DataFrame, group: DataFrame, texts: DataFrame, size: i
     """
     known = group.select("node", F.col("component").alias("grp"))
     member = regions.select("node", F.col("component").alias("region")).join(known, "node", "left").select(F.col("node").alias("id"), "region", F.coalesce("grp", "node").alias("grp"))
-    rows = materialise(member.join(texts, "id"), "regions")
+    # Texts are fetched for regions with two groups or more only.
+    split = member.groupBy("region").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x < y").select("region")
+    rows = materialise(member.join(split, "region").join(texts, "id"), "regions")
     blocks = F.ceil(F.greatest(F.count("*") / block_rows, F.sum(F.octet_length("text")) / block_bytes, F.lit(1.0))).cast("int")
-    open_ = rows.groupBy("region").agg(blocks.alias("blocks"), F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x < y").select("region", "blocks")
+    open_ = rows.groupBy("region").agg(blocks.alias("blocks"))
     rows = rows.join(open_, "region").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "grp", "text")
