@@ -8,13 +8,15 @@ A call message is a row whose ``calls`` lists the calls one turn makes; a result
 2. A call may name calls it comes after. Those of an earlier turn must exist there; those of the same turn are
    sorted topologically inside the message (Kahn's rounds over the few calls of one row). Order in a conversation
    is (turn, position in the message), so no conversation has to fit one task.
-3. Arguments are checked against the tool's schema: known tool, required names, types, no names beyond.
+3. Arguments are checked against the tool's schema: known tool, required names, types, no names beyond. Arguments
+   without a canonical form are a fault of their call and come back as the text they were.
 4. Each call with its result becomes canonical JSON: sorted keys, no blanks, UTF-8, plain numbers.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,24 +31,61 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def _refuse(constant: str):
+    raise ValueError(f"{constant} is not JSON")
+
+
+def _finite(number: str) -> float:
+    if math.isinf(value := float(number)):
+        raise OverflowError(number)
+    return value
+
+
+def parsed(arguments: str):
+    """(value, None), or (None, fault) of a text that has no canonical JSON: NaN and infinities, numbers beyond a
+    double, half of a surrogate pair, nesting beyond the interpreter's depth, or no JSON at all."""
+    try:
+        value = json.loads(arguments, parse_constant=_refuse, parse_float=_finite)
+        canonical(value).encode()
+    except OverflowError:
+        return None, "number out of range"
+    except UnicodeEncodeError:
+        return None, "lone surrogate"
+    except RecursionError:
+        return None, "nested too deeply"
+    except ValueError:
+        return None, "not JSON"
+    return value, None
+
+
+def _is_kind(value, kind: str) -> bool:
+    return isinstance(value, _TYPES[kind]) and not (isinstance(value, bool) and kind in ("integer", "number"))
+
+
 def faults(arguments: str | None, schema: dict | None) -> list[str]:
-    """What is wrong with a call's arguments, in a fixed order; empty when they are valid."""
+    """What is wrong with a call's arguments, in a fixed order; empty when they are valid.
+
+    A property's type is a name or a list of names; a name that is no JSON type is a fault of each call that uses it.
+    """
     if schema is None:
         return ["unknown tool"]
-    try:
-        value = json.loads(arguments if arguments is not None else "{}")
-    except ValueError:
-        return ["not JSON"]
+    value, wrong = parsed(arguments if arguments is not None else "{}")
+    if wrong:
+        return [wrong]
     if not isinstance(value, dict):
         return ["not an object"]
     known = schema.get("properties", {})
     out = [f"missing {k}" for k in sorted(schema.get("required", ())) if k not in value]
     for key in sorted(value):
-        kind = known.get(key, {}).get("type")
         if key not in known:
             out.append(f"unexpected {key}")
-        elif kind and (not isinstance(value[key], _TYPES[kind]) or (isinstance(value[key], bool) and kind in ("integer", "number"))):
-            out.append(f"{key} is not {kind}")
+            continue
+        kind = known[key].get("type") if isinstance(known[key], dict) else None
+        kinds = [kind] if isinstance(kind, str) else list(kind or ())
+        if strange := [k for k in kinds if k not in _TYPES]:
+            out.append(f"{key} has the unknown type {strange[0]}")
+        elif kinds and not any(_is_kind(value[key], k) for k in kinds):
+            out.append(f"{key} is not {' or '.join(kinds)}")
     return out
 
 
@@ -59,14 +98,22 @@ def topological(ids: list[str | None], after: list[list[str]]) -> tuple[list[int
     for k, name in enumerate(ids):
         first.setdefault(name, k)
     waits = [{first[a] for a in names if a in first} for names in after]
+    open_, follow = [len(w) for w in waits], [[] for _ in ids]
+    for k, before in enumerate(waits):
+        for b in before:
+            follow[b].append(k)
     done: list[int] = []
-    left = set(range(len(ids)))
-    while left:
-        ready = [k for k in sorted(left) if not (waits[k] & left)]
-        if not ready:
-            break
+    ready = [k for k, n in enumerate(open_) if n == 0]
+    while ready:
         done += ready
-        left -= set(ready)
+        later = []
+        for k in ready:
+            for f in follow[k]:
+                open_[f] -= 1
+                if open_[f] == 0:
+                    later.append(f)
+        ready = sorted(later)
+    left = set(range(len(ids))).difference(done)
     return done + sorted(left), left
 
 
@@ -91,9 +138,8 @@ def _json_rows(schemas: dict[str, dict]):
             found, texts = [], []
             for row in batch.to_pylist():
                 wrong = [] if not row["is_call"] else faults(row["arguments"], schemas.get(row["name"]))
-                try:
-                    arguments = json.loads(row["arguments"]) if row["arguments"] is not None else None
-                except ValueError:
+                arguments, broken = (None, None) if row["arguments"] is None else parsed(row["arguments"])
+                if broken:
                     arguments = row["arguments"]
                 found.append(wrong)
                 texts.append(canonical({"arguments": arguments, "id": row["call_id"], "name": row["name"], "result": row["result"], "status": row["status"], "valid": not wrong}))

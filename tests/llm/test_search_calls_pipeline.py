@@ -97,6 +97,34 @@ def test_link_orders_validates_and_serialises(spark):
     assert empty.count() == 0
 
 
+def test_arguments_without_canonical_json_are_faults(spark):
+    deep = '{"text":' + "[" * 100_000 + "]" * 100_000 + "}"
+    bad = {
+        "nan": ('{"text":NaN,"turn":1}', "not JSON"), "inf": ('{"text":"a","turn":-Infinity}', "not JSON"), "big": ('{"text":"a","turn":1e400}', "number out of range"),
+        "half": ('{"text":"\\ud800","turn":1}', "lone surrogate"), "key": ('{"\\udc00":1}', "lone surrogate"), "deep": (deep, "nested too deeply"), "digits": ('{"text":"a","turn":' + "9" * 5000 + "}", "not JSON"),
+        "empty": ("", "not JSON"), "list": ("[]", "not an object"),
+    }
+    m = spark.createDataFrame([(1, 0, [(k, "note", a, []) for k, (a, _) in bad.items()])], f"conv_id long, turn long, calls array<{tool_calls.CALL}>")
+    r = spark.createDataFrame([], "conv_id long, turn long, call_id string, result string")
+    got = {x.call_id: x for x in tool_calls.link(m, r, tool_calls.SCHEMAS).collect()}
+    assert {k: x.faults for k, x in got.items()} == {k: [fault] for k, (_, fault) in bad.items()}
+    for k, (a, fault) in bad.items():
+        said = json.loads(got[k].json)
+        assert said["arguments"] == (a if fault != "not an object" else []) and not said["valid"], k
+
+
+def test_types_of_a_schema():
+    schema = {"properties": {"a": {"type": ["integer", "null"]}, "b": {"type": "decimal"}, "c": True, "d": {}}}
+    assert tool_calls.faults('{"a":1,"c":2,"d":[]}', schema) == [] == tool_calls.faults('{"a":null}', schema)
+    assert tool_calls.faults('{"a":true,"b":1}', schema) == ["a is not integer or null", "b has the unknown type decimal"]
+
+
+def test_a_long_chain_of_calls_is_ordered():
+    n = 50_000
+    order, cyclic = tool_calls.topological([str(k) for k in range(n)], [[str(k + 1)] for k in range(n - 1)] + [[]])
+    assert order == list(range(n))[::-1] and not cyclic
+
+
 def test_every_result_comes_back(spark):
     messages = [(1, 2, [("c", "note", '{"turn":1,"text":"x"}', [])])]
     results = [(1, 0, "c", "early"), (1, 5, "c", "answer"), (1, 5, "c", "answer"), (1, 7, "c", None), (1, 9, "ghost", "g"), (1, 9, "ghost", "g")]
