@@ -167,6 +167,40 @@ def test_html_text():
     assert out == "\n".join(f"Sentence {k} of the story goes on for a while." for k in range(5))
 
 
+STORY = "".join(f"<p>Sentence {k} of the story goes on for a while.</p>" for k in range(5))
+TOLD = "\n".join(f"Sentence {k} of the story goes on for a while." for k in range(5))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html class='no-cookie-consent'><body class='single has-sidebar comments-open'><article>{STORY}</article></body></html>",
+        f"<div class='content with-sidebar'><article>{STORY}</article><div class='sidebar'><p>Other things to read.</p></div></div>",
+        f"<section class='search-results-page'><div>{STORY}</div></section><footer>Foot</footer>",
+        f"<div id='share-layout'>{STORY}<div class='share'><p>Pass it on</p></div></div>",
+        f"<article class='post social-story'>{STORY}<section id='comments'><p>{'A long comment. ' * 60}</p></section></article>",
+        f"<main class='with-sidebar'><article>{STORY}</article></main><div id='comments'><article class='comment'>{'Nice. ' * 20}</article><article class='comment'>{'Indeed. ' * 20}</article></div>",
+        f"<div class='content'>{STORY}</div><div id='comments'><p>{'A comment that goes on. ' * 20}</p></div>",
+        f"<script src=/a.js/>var x = '<p>no</p>';</script><article>{STORY}</article>",
+        f"<body><div>{STORY}</div><noscript>",
+    ],
+)
+def test_article_within_hinted_wrappers(page):
+    assert html_text.main_text(page) == TOLD
+
+
+def test_short_lead_and_ending_of_a_cut_article():
+    cut = "".join(f"<div class='advert'><p>Buy {k}</p></div>" for k in range(4))
+    page = f"<body><div class='top'><p>Tagline</p></div>{cut}<div class='content'><p>Lead.</p>{cut}{STORY}{cut}<p>End.</p></div></body>"
+    assert html_text.main_text(page) == f"Lead.\n{TOLD}\nEnd."
+
+
+def test_many_open_and_stray_tags_take_linear_time():
+    n = 40_000
+    assert html_text.main_text("<div>" * n + "<p>x</p>" + "</section>" * n + "<svg>" * n) == "x"
+    assert html_text.main_text("<div class=sidebar>" * n + "<p>x</p>" + "</section>" * n) == "x"
+
+
 def test_html_rows(spark):
     schema = "page_id long, url string, html string, text string, n_chars long"
     rows = [(1, "u", "<article><p>Ünï</p></article>", "clash", 9), (1, "u", "<article><p>Ünï</p></article>", "clash", 9), (2, None, None, None, None), (None, "v", "<p>" + "word " * 50_000 + "</p>", "x", 1)]
