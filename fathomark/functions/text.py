@@ -94,6 +94,6 @@ def strip_noise(c: Column, comments: bool = True) -> Column:
 def places_of(token: Column) -> Column:
     """Decimal places of a number token, its exponent taken into account; null without a point."""
     mantissa = F.substring_index(token, "e", 1)
-    exponent = F.when(F.instr(token, "e") > 0, F.substring_index(token, "e", -1).cast("int")).otherwise(F.lit(0))
+    power = F.when(F.instr(token, "e") > 0, F.substring_index(token, "e", -1).try_cast("long")).otherwise(F.lit(0))
     frac = F.length(F.substring_index(mantissa, ".", -1))
-    return F.when(F.instr(mantissa, ".") > 0, frac - exponent)
+    return F.when(F.instr(mantissa, ".") > 0, frac - power)

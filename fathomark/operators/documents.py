@@ -8,14 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.small import take_bounded
 from ..sources.scratch import materialise
 
-# 20 integer digits and 16 decimals: sums and differences stay exact inside 38 digits.
-_DEC = "decimal(36,16)"
-_PLACES = range(-12, 17)
-
-
 # The flags and tiers of the audit.
 UNRESOLVED = "NOT-IN-CROSSREF"
 AUTHOR_MISMATCH = "AUTHOR-MISMATCH"
@@ -40,50 +34,81 @@ def number_tokens(df: DataFrame, column: str, keep: Sequence[str], comments: boo
     return each.select(*keep, (F.col("line") + 1).alias("line"), F.posexplode(found).alias("pos", "token"))
 
 
-def decimals(token: Column) -> Column:
-    """Exact value of a token; null where it does not fit the decimal range."""
-    return token.try_cast(_DEC)
+_FORM = r"^\s*([-+]?)([0-9]*)\.?([0-9]*)(?:e([-+]?[0-9]{1,18}))?\s*$"
+
+
+def _number(sign: Column, digits: Column, exp: Column) -> Column:
+    """Sign * 0.digits * 10^exp as a struct that equal numbers share; digits have no zero at either end."""
+    zero = digits == ""
+    return F.struct(
+        F.when(zero, 0).otherwise(sign).cast("int").alias("sign"),
+        F.when(zero, 0).otherwise(exp).cast("long").alias("exp"), digits.alias("digits"),
+    )
+
+
+def exact_number(token: Column) -> Column:
+    """The exact value of a decimal token of any length, as (sign, exp, digits); null where it is no number.
+
+    Exponents of more than 18 digits are no numbers.
+    """
+    low = F.lower(token)
+    part = lambda i: F.regexp_extract(low, _FORM, i)
+    every = F.concat(part(2), part(3))
+    power = F.coalesce(part(4).try_cast("long"), F.lit(0))
+    leading = F.length(every) - F.length(F.ltrim(every, F.lit("0")))
+    value = _number(F.when(part(1) == "-", -1).otherwise(1), F.trim(every, F.lit("0")), F.length(part(2)) + power - leading)
+    return F.when(low.rlike(_FORM) & (every != ""), value)
+
+
+def _rounded(c: Column, places: Column) -> Column:
+    """``c`` rounded to ``places`` decimals, as a number; null where it lies half way.
+
+    For places from -exp to exp's last digit but one: what is cut off is not empty.
+    """
+    sign, exp, digits = (c.getField(f) for f in ("sign", "exp", "digits"))
+    keep = (exp + places).cast("int")
+    head, tail = F.substring(digits, F.lit(1), keep), F.substring(digits, keep + 1, F.length(digits))
+    base = F.rtrim(head, F.lit("9"))
+    up = F.concat(F.substring(base, F.lit(1), F.length(base) - 1), (F.right(base, F.lit(1)).try_cast("int") + 1).cast("string"))
+    raised = F.when(base == "", _number(sign, F.lit("1"), exp + 1)).otherwise(_number(sign, up, exp))
+    return F.when(tail < "5", _number(sign, F.rtrim(head, F.lit("0")), exp)).when(tail > "5", raised)
 
 
 def trace_numbers(tokens: DataFrame, values: DataFrame, token: str = "token", value: str = "value") -> DataFrame:
     """Adds ``traced``: the number equals a result, or a result rounds to it.
 
     A number with p decimals is matched by results less than half a unit of its last
-    place away. That is exactly one rounded value per result and p, so the range join
-    is an equi-join on (p, rounded result), with the open interval checked after it.
-    Tokens and results meet as distinct values only. Tokens are written once, so the
-    texts are read once.
+    place away. That is at most one rounded value per result and p, so the range join
+    is an equi-join on (p, rounded result). Values are digit strings with an exponent:
+    exact at any size. A result fans out over the places inside its own digits only;
+    with more places it is the result itself, with fewer it is zero, which the widest
+    such place of all results settles. Tokens and results meet as distinct values
+    only. Tokens and results are written once, so their sources are read once. Null
+    tokens and tokens that are no numbers are not traced.
     """
     tokens = materialise(tokens, "tokens")
-    t = tokens.withColumn("_v", decimals(F.col(token))).withColumn("_p", F.coalesce(tx.places_of(F.col(token)), F.lit(-99)))
+    t = tokens.withColumn("_v", exact_number(F.col(token))).withColumn("_p", tx.places_of(F.col(token)))
     distinct = t.where("_v IS NOT NULL").select("_v", "_p").distinct()
-    vals = values.select(decimals(F.col(value)).alias("_c")).where("_c IS NOT NULL").distinct()
+    vals = materialise(values.select(exact_number(F.col(value)).alias("_c")).where("_c IS NOT NULL").distinct(), "results")
     exact = distinct.join(vals, distinct["_v"] == vals["_c"], "left_semi")
-    # Only the place counts in use fan a result out; there are a few dozen at most.
-    used = distinct.where(F.col("_p").between(_PLACES[0], _PLACES[-1])).select("_p").distinct()
-    places = sorted(r["_p"] for r in take_bounded(used, len(_PLACES)) or [])
-    spread = vals.withColumn("_q", F.explode(F.array(*[F.lit(p) for p in places or [0]]))).withColumn(
-        "_k", _by_places("_q", lambda p: F.round("_c", p))
-    )
-    gap = F.abs(F.col("_v") - F.col("_c"))
-    unit = _by_places("_p", lambda p: F.lit(f"1e{-p}"))
-    near = distinct.join(spread, (F.col("_p") == F.col("_q")) & (F.col("_v") == F.col("_k"))).where(
-        gap + gap < unit
-    ).select("_v", "_p")
+    used = distinct.agg(F.min("_p").alias("lo"), F.max("_p").alias("hi")).collect()[0]
+    near = exact.limit(0)
+    if used["lo"] is not None:
+        first = -F.col("_c.exp")
+        to_zero = F.max(F.when(F.col("_c.sign") != 0, F.when(F.col("_c.digits") < "5", first).otherwise(first - 1)))
+        zero = vals.agg(to_zero.alias("p")).collect()[0]["p"]
+        lo, hi = F.greatest(first, F.lit(used["lo"])), F.least(first + F.length("_c.digits") - 1, F.lit(used["hi"]))
+        spread = vals.where(lo <= hi).select("_c", F.explode(F.sequence(lo, hi)).alias("_p"))
+        spread = spread.select(_rounded(F.col("_c"), F.col("_p")).alias("_v"), "_p").where("_v IS NOT NULL AND _v.sign <> 0")
+        near = distinct.join(spread, ["_v", "_p"], "left_semi")
+        if zero is not None:
+            near = near.unionByName(distinct.where((F.col("_v.sign") == 0) & (F.col("_p") <= zero)))
     hit = exact.unionByName(near).distinct().withColumn("_hit", F.lit(True))
-    return t.join(hit, (t["_v"].eqNullSafe(hit["_v"])) & (t["_p"] == hit["_p"]), "left").select(
+    return t.join(hit, (t["_v"] == hit["_v"]) & t["_p"].eqNullSafe(hit["_p"]), "left").select(
         *[t[c] for c in tokens.columns], F.coalesce("_hit", F.lit(False)).alias("traced")
     )
 
 
-def _by_places(column: str, make) -> Column:
-    """Decimal-valued case over the supported place counts."""
-    out = F.lit(None).cast(_DEC)
-    for p in _PLACES:
-        out = F.when(F.col(column) == p, make(p).cast(_DEC)).otherwise(out)
-    return out
-
-
 def trace_report(traced: DataFrame, context: DataFrame, key: Sequence[str]) -> DataFrame:
     """Counts of traced, contextual and untraced numbers; ``context`` lists declared design numbers."""
     c = context.select(*key).distinct().withColumn("_ctx", F.lit(True))

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.small import take_bounded
 from ..functions.vectors import literal, total
+from ..sources.scratch import materialise
 
 RIDGE = 1e-6
 MAX_CONFUSION_CONDITION = 1e8
@@ -86,43 +86,24 @@ def em_step(compressed: DataFrame, prior: Sequence[float], estimate: Sequence[fl
     return [row[f"s{i}"] / row["n"] for i in range(len(prior))]
 
 
-def em_prior(
-    proba: DataFrame, prior: Sequence[float], max_iter: int = 1000, tol: float = 1e-8, p: str = "p", bound: int = 50_000
-) -> list[float]:
+def em_prior(proba: DataFrame, prior: Sequence[float], max_iter: int = 1000, tol: float = 1e-8, p: str = "p") -> list[float]:
     """EM estimate of the target prior (Saerens, Latinne and Decaestecker, 2002).
 
-    Few distinct posteriors iterate in one place. Otherwise every iteration is one
-    aggregate over the same persisted table: lineage does not grow, and only K numbers
-    travel.
+    Distinct posteriors are written once with their multiplicity. Every iteration is one
+    aggregate over that table, at any size: lineage does not grow, and only K numbers
+    travel. No posteriors at all give the prior back.
     """
-    comp = compress(proba, p)
-    rows = take_bounded(comp, bound)
-    if rows is not None:
-        return _em_local(np.array([r[p] for r in rows]), np.array([r["w"] for r in rows], float), prior, max_iter, tol)
-    comp = comp.persist()
-    estimate = list(prior)
-    try:
-        for _ in range(max_iter):
-            new = em_step(comp, prior, estimate, p)
-            if max(abs(a - b) for a, b in zip(new, estimate)) < tol:
-                return new
-            estimate = new
-        return estimate
-    finally:
-        comp.unpersist()
-
-
-def _em_local(p: np.ndarray, w: np.ndarray, prior: Sequence[float], max_iter: int, tol: float) -> list[float]:
-    est = np.asarray(prior, float)
+    comp = materialise(compress(proba, p), "posteriors")
+    if comp.isEmpty():
+        return [float(x) for x in prior]
+    estimate = [float(x) for x in prior]
     for _ in range(max_iter):
-        x = p * np.asarray(_ratio(est, prior))
-        t = x.sum(axis=1, keepdims=True)
-        post = np.divide(x, t, out=np.zeros_like(x), where=t > 0)
-        new = (post * w[:, None]).sum(axis=0) / w.sum()
-        if np.abs(new - est).max() < tol:
-            return new.tolist()
-        est = new
-    return est.tolist()
+        new = em_step(comp, prior, estimate, p)
+        moved = max(abs(a - b) for a, b in zip(new, estimate))
+        estimate = new
+        if moved < tol:
+            break
+    return estimate
 
 
 def prior_correct(df: DataFrame, source_prior: Sequence[float], target_prior: Sequence[float], classes: Sequence[str],

@@ -179,6 +179,24 @@ def trace_report(spark, d):
     return docs.trace_report(_trace(spark, d), context, ["doc_id", "token"])
 
 
+# 43 decimals behind up to 9 digits, every fourth one with an exponent far outside a double; each result lies on, just
+# inside, half way to or just outside its number. DuckDB compares the interval's ends as padded text.
+_LONG = "lpad(CAST(p_partkey AS STRING), 9, '0') || '.' || repeat(lpad(CAST((p_partkey * 7919) % 1000003 AS STRING), 7, '0'), 6)"
+_LAST = "CAST(1 + p_partkey % 9 AS STRING)"
+_BELOW = "CAST(p_partkey % 9 AS STRING)"
+_POWER = "CASE WHEN p_partkey % 4 = 0 THEN 'e-400' ELSE '' END"
+_RESULT = f"""CASE p_partkey % 6 WHEN 0 THEN base || last WHEN 1 THEN base || last || '4' || repeat('9', 30) WHEN 2 THEN base || last || '5'
+ WHEN 3 THEN base || last || '5' || repeat('0', 30) || '1' WHEN 4 THEN base || below || '5' || repeat('0', 30) || '1' ELSE base || below || '5' END"""
+
+
+@query("trace_long_numbers", f"""WITH n AS (SELECT p_partkey, {_LONG} AS base, {_LAST} AS last, {_BELOW} AS below, {_POWER} AS power FROM part),
+r AS (SELECT power, rpad({_RESULT}, 90, '0') AS c FROM n)
+SELECT p_partkey, base || last || power AS token, EXISTS (SELECT 1 FROM r WHERE r.power = n.power AND c > rpad(base || below || '5', 90, '0') AND c < rpad(base || last || '5', 90, '0')) AS traced FROM n""")
+def trace_long_numbers(spark, d):
+    n = table(spark, d, "part").selectExpr("p_partkey", f"{_LONG} AS base", f"{_LAST} AS last", f"{_BELOW} AS below", f"{_POWER} AS power")
+    return docs.trace_numbers(n.selectExpr("p_partkey", "base || last || power AS token"), n.selectExpr(f"{_RESULT} || power AS value"))
+
+
 _HREF = 'href="/([^"]+)"'
 
 

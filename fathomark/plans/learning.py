@@ -60,10 +60,20 @@ def em_three_steps(spark, d):
     return rounded(out, "estimate")
 
 
-@query("em_prior")
+_MIX = " + ".join(f"p[{i + 1}] * est[{i + 1}] / {q}::DOUBLE" for i, q in enumerate(PRIOR))
+_NEXT = ", ".join(f"sum(w * p[{i + 1}] * est[{i + 1}] / {q}::DOUBLE / ({_MIX})) / sum(w)" for i, q in enumerate(PRIOR))
+
+
+@query("em_prior", f"""WITH RECURSIVE {PROBA_SQL}, comp AS (SELECT p, count(*) AS w FROM (SELECT item_id, list(p ORDER BY i) AS p FROM pl GROUP BY item_id) GROUP BY p),
+em AS (SELECT 0 AS step, {_list(PRIOR)} AS est, 1.0::DOUBLE AS moved
+ UNION ALL SELECT step + 1, new, list_max(list_transform(list_zip(new, est), lambda x: abs(x[1] - x[2])))
+ FROM (SELECT step, est, [{_NEXT}] AS new FROM em, comp WHERE step < 1000 AND moved >= 1e-8 GROUP BY step, est)),
+fin AS (SELECT est FROM em ORDER BY step DESC LIMIT 1)
+SELECT CAST(i AS INTEGER) AS class_index, {sql_r9('est[i + 1]')} AS estimate FROM fin, (SELECT unnest(range({K})) AS i)""")
 def em_prior(spark, d):
     est = shift.em_prior(posteriors(spark, d), PRIOR)
-    return spark.createDataFrame([(i, float(e)) for i, e in enumerate(est)], "class_index int, estimate double")
+    out = spark.createDataFrame([(i, e) for i, e in enumerate(est)], "class_index int, estimate double")
+    return rounded(out, "estimate")
 
 
 def _shift_rows(spark, d):

@@ -1,5 +1,7 @@
+import random
 import re
 from decimal import Decimal
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +43,35 @@ def test_trace_by_brute_force(spark):
     assert any(got.values()) and not all(got.values())
 
 
+def test_trace_exact_at_any_size(spark):
+    """Random numbers of up to 60 digits, ties, zeros and wide exponents against exact fractions."""
+    rng = random.Random(5)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    tokens, values = {"0.0", "0.000", "-0.00", "0.0e3", "0.000e-9", "9.5", "10.0", "1.0", "-1.0", "0", "1.5e-700", "99.99", "1.0e2", "7"}, {"0.04", "-0.5", "9.96", "9.95", "99.995", "99.9951", "1.5e-700", "1.4E+20", "nan", "inf", "", "x", "5.", ".5"}
+    for _ in range(120):
+        base = f"{rng.choice(['', '-'])}{rng.choice(['0', digits(3), digits(25)])}.{digits(rng.randint(1, 40))}"
+        power = rng.choice(["", "", "e7", "e-31", "e400"])
+        tokens.add(base + power)
+        values.add(base + rng.choice(["", "49", "5", "51", "5" + "0" * 30 + "1", "0", "999"]) + power)
+        values.add(base[:-1] + rng.choice(["4", "5", "9", ""]) + "5" + rng.choice(["", "1"]) + power)
+    exact = [Fraction(Decimal(v)) for v in values if re.fullmatch(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?", v)]
+
+    def traced(tok):
+        v, (m, *e) = Fraction(Decimal(tok)), tok.split("e")
+        half = Fraction(10) ** ((int(e[0]) if e else 0) - len(m.split(".")[1])) / 2 if "." in m else 0
+        return any(v == x or abs(v - x) < half for x in exact)
+
+    t = spark.createDataFrame([(x,) for x in [*tokens, None, "x", "1.5e" + "9" * 30]], "token string")
+    v = spark.createDataFrame([(x,) for x in [*values, None]], "value string")
+    got = {r.token: r.traced for r in docs.trace_numbers(t, v).collect()}
+    assert got.pop(None) is False and got.pop("x") is False and got.pop("1.5e" + "9" * 30) is False
+    want = {x: traced(x) for x in tokens}
+    assert got == want
+    assert 30 < sum(want.values()) < len(want) - 30
+    empty = docs.trace_numbers(t, v.limit(0)).where("traced")
+    assert empty.count() == 0 and docs.trace_numbers(t.limit(0), v).count() == 0
+
+
 def test_titles_fold(spark):
     df = spark.createDataFrame([("Wav2Vec2: Éléments—of  Spéech", "wav2vec2 elements of speech"), ("ﾆA² Ｂ", "")], "a string, b string")
     got = df.select(tx.norm_title(F.col("a")).alias("n"), tx.title_sim(F.col("a"), F.col("b")).alias("s")).collect()
