@@ -78,12 +78,15 @@ def compress(proba: DataFrame, p: str = "p") -> DataFrame:
     return proba.groupBy(p).agg(F.count(F.lit(1)).alias("w"))
 
 
+_PASS = """SELECT {sums} FROM (SELECT w, transform(q, x -> if(z > 0, x / z, 0D)) AS q
+ FROM (SELECT w, q, aggregate(q, 0D, (s, x) -> s + x) AS z FROM (SELECT w, zip_with({p}, :ratio, (a, b) -> a * b) AS q FROM {{comp}})))"""
+
+
 def em_step(compressed: DataFrame, prior: Sequence[float], estimate: Sequence[float], p: str = "p") -> list[float]:
-    """One EM pass over the table: K weighted sums."""
-    post = posterior(F.col(p), literal(_ratio(estimate, prior)))
-    sums = [F.sum(F.col("w") * post[i]) for i in range(len(prior))]
-    row = compressed.agg(F.sum("w").alias("n"), *[s.alias(f"s{i}") for i, s in enumerate(sums)]).collect()[0]
-    return [row[f"s{i}"] / row["n"] for i in range(len(prior))]
+    """One EM pass over the table: K weighted sums. The estimate is a parameter, so passes share their plan's code."""
+    sums = ", ".join(f"sum(w * q[{i}]) / sum(w)" for i in range(len(prior)))
+    text = _PASS.format(sums=sums, p=f"`{p}`")
+    return list(compressed.sparkSession.sql(text, args={"ratio": _ratio(estimate, prior)}, comp=compressed).collect()[0])
 
 
 def em_prior(proba: DataFrame, prior: Sequence[float], max_iter: int = 1000, tol: float = 1e-8, p: str = "p") -> list[float]:
@@ -93,17 +96,18 @@ def em_prior(proba: DataFrame, prior: Sequence[float], max_iter: int = 1000, tol
     aggregate over that table, at any size: lineage does not grow, and only K numbers
     travel. No posteriors at all give the prior back.
     """
-    comp = materialise(compress(proba, p), "posteriors")
-    if comp.isEmpty():
-        return [float(x) for x in prior]
     estimate = [float(x) for x in prior]
-    for _ in range(max_iter):
-        new = em_step(comp, prior, estimate, p)
-        moved = max(abs(a - b) for a, b in zip(new, estimate))
-        estimate = new
-        if moved < tol:
-            break
-    return estimate
+    comp = materialise(compress(proba, p), "posteriors").persist()
+    try:
+        for _ in range(0 if comp.isEmpty() else max_iter):
+            new = em_step(comp, prior, estimate, p)
+            moved = max(abs(a - b) for a, b in zip(new, estimate))
+            estimate = new
+            if moved < tol:
+                break
+        return estimate
+    finally:
+        comp.unpersist()
 
 
 def prior_correct(df: DataFrame, source_prior: Sequence[float], target_prior: Sequence[float], classes: Sequence[str],

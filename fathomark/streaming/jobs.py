@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.hashing import canonical_json
 from ..operators.ledger import VOLATILE
@@ -51,42 +52,59 @@ def latest_counts(spark: SparkSession, out: str, by: Sequence[str]) -> DataFrame
     return df.groupBy(*by, "y_true", "y_pred").agg(F.max_by("n", "batch").alias("n"))
 
 
-def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+BUCKET = "key_bucket"
+
+
+def _stored(spark: SparkSession, path: str, like: DataFrame, buckets: Sequence[int]) -> DataFrame:
+    """The stored rows of some buckets; only their folders are read."""
+    schema = StructType([*like.schema.fields, StructField(BUCKET, IntegerType())])
     try:
-        return spark.read.parquet(path)
+        old = spark.read.schema(schema).parquet(path)
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" not in str(exc):
             raise
-        return spark.createDataFrame([], like.schema)
+        return like.limit(0)
+    return old.where(F.col(BUCKET).isin(list(buckets))).select(*like.columns)
 
 
 def checked_append(
     stream: DataFrame, key: Sequence[str], out: str, rejects: str, checkpoint: str, ignore: Sequence[str] = VOLATILE,
-    on_reject: Callable[[int, int], None] | None = None,
+    on_reject: Callable[[int, int], None] | None = None, buckets: int = 256,
 ) -> StreamingQuery:
     """Append batches that agree with what is stored and with themselves.
 
-    A batch with a contradiction outside the volatile columns goes to ``rejects`` whole.
-    Rows already stored, and exact repeats inside the batch, are not written again.
+    The store is partitioned by a hash of the key into ``buckets`` folders (column ``key_bucket``), and a
+    batch reads only the folders its own keys fall into. The number of folders stays as it is for a store's
+    life: choose it so that one folder is a fair share of a batch's work.
+
+    A batch with a contradiction outside the volatile columns goes to ``rejects`` whole. Rows already
+    stored, and exact repeats inside the batch, are not written again. So a batch that is replayed after it
+    was written adds nothing; a replay after a write that never committed finds none of its rows. Keys are
+    compared as values, nulls included.
     """
     stable = sorted(c for c in stream.columns if c not in set(key) | set(ignore))
+    digest = F.sha2(canonical_json(stable), 256)
+    # The key as text: null parts count as values, in the hash and in the joins.
+    name = F.to_json(F.struct(*[F.col(c) for c in key]), {"ignoreNullFields": "false"})
+    bucket = F.pmod(F.xxhash64(F.col("_k")), F.lit(buckets)).cast("int")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.withColumn("_h", F.sha2(canonical_json(stable), 256)).persist()
+        spark, columns = batch.sparkSession, batch.columns
+        batch = batch.withColumn("_h", digest).withColumn("_k", name).withColumn(BUCKET, bucket).persist()
         try:
-            old = _stored(spark, out, batch.drop("_h")).withColumn("_h", F.sha2(canonical_json(stable), 256))
-            both = batch.select(*key, "_h").unionByName(old.join(batch.select(*key).distinct(), list(key), "left_semi").select(*key, "_h"))
-            clash = both.groupBy(*key).agg(F.min("_h").alias("a"), F.max("_h").alias("b")).where("a <> b")
-            n = clash.count()
+            # At most ``buckets`` numbers.
+            touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]
+            old = _stored(spark, out, batch.select(*columns), touched).select(name.alias("_k"), digest.alias("_h"))
+            old = old.join(batch.select("_k").distinct(), "_k", "left_semi")
+            seen = batch.select("_k", "_h").unionByName(old)
+            n = seen.groupBy("_k").agg(F.min("_h").alias("a"), F.max("_h").alias("b")).where("a <> b").count()
             if n:
-                batch.drop("_h").write.mode("overwrite").parquet(f"{rejects}/part={batch_id}")
+                batch.select(*columns).write.mode("overwrite").parquet(f"{rejects}/part={batch_id}")
                 if on_reject:
                     on_reject(batch_id, n)
                 return
-            fresh = batch.drop("_h").dropDuplicates(list(key)).join(old.select(*key), list(key), "left_anti")
-            # Batch folders make a replayed batch idempotent; keys guard against stored rows.
-            fresh.write.mode("append").parquet(out)
+            fresh = batch.dropDuplicates(["_k"]).join(old.select("_k"), "_k", "left_anti").select(*columns, BUCKET)
+            fresh.repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(out)
         finally:
             batch.unpersist()
 

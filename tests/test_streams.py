@@ -46,3 +46,25 @@ def test_contradicting_batch_is_rejected(spark, tmp_path):
     run()
     assert sorted(r.run_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
     assert sorted(r.run_id for r in spark.read.parquet(rej).collect()) == ["a", "d"] and seen == [1]
+
+
+def test_batch_reads_only_the_buckets_of_its_keys(spark, tmp_path):
+    """Folders without a key of the batch are not opened: broken files there do no harm."""
+    src, out, rej = (str(tmp_path / n) for n in ("in", "out", "rej"))
+    run = lambda ck="ck": jobs.checked_append(jobs.file_stream(spark, src, SCHEMA, "parquet"), ["run_id"], out, rej, str(tmp_path / ck), ("wall_seconds", "ts"), buckets=16).awaitTermination()
+    rows(spark, *[(f"r{i}", float(i), 0.0) for i in range(60)], (None, 1.0, 0.0)).write.parquet(src)
+    run()
+    stored = spark.read.parquet(out).select("run_id", jobs.BUCKET).collect()
+    home = {r.run_id: r[jobs.BUCKET] for r in stored}
+    assert len(stored) == len(home) == 61 and len(set(home.values())) > 8
+    run("other")  # the same rows under a new checkpoint: a replay adds nothing
+    assert spark.read.parquet(out).count() == 61
+    for folder in tmp_path.glob(f"out/{jobs.BUCKET}=*"):
+        if folder.name != f"{jobs.BUCKET}={home['r7']}":
+            for f in folder.glob("*.parquet"):
+                f.write_bytes(b"broken")
+    rows(spark, ("r7", 7.0, 5.0)).write.mode("append").parquet(src)
+    run()
+    rows(spark, ("r7", 8.0, 5.0)).write.mode("append").parquet(src)
+    run()
+    assert spark.read.parquet(rej).count() == 1
