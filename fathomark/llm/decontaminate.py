@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomark.llm.names import free_names
 from fathomark.sources.scratch import materialise
 
 LENGTH = 13
@@ -130,20 +131,23 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, perce
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, length: int = LENGTH, percent: int = 5) -> DataFrame:
     """``docs``, all columns, without the contaminated rows."""
-    bad = contamination(docs, items, length, percent).filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("version").alias("bad_version")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_version")), "left_anti")
+    bad_id, bad_version = free_names(docs.columns, "bad_id", "bad_version")
+    bad = contamination(docs, items, length, percent).filter("contaminated").select(F.col("doc_id").alias(bad_id), F.col("version").alias(bad_version)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[bad_id]) & (F.xxhash64(docs["text"]) == bad[bad_version]), "left_anti")
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with hit words removed from the texts; a text without hits stays as it is.
 
-    In a text that loses words the words that stay, with their case, are joined by one space.
+    In a text that loses words the words that stay, with their case, are joined by one space. Rows with a null id or a
+    shared id are judged by their own text, repeated rows alike; a null or empty text stays.
     """
-    spans = scan(docs.select("doc_id", "text"), items.select("item_id", "text"), length)[1].groupBy("doc_id", "version").agg(F.collect_set(F.struct("pos", "len")).alias("hit_spans"))
-    spans = spans.withColumnsRenamed({"doc_id": "hit_id", "version": "hit_version"})
-    out = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("hit_id")) & (F.xxhash64(docs["text"]) == F.col("hit_version")), "left")
-    gone = F.flatten(F.transform("hit_spans", lambda s: F.sequence(s["pos"], s["pos"] + s["len"] - 1)))
+    hit_id, hit_version, hit_spans = free_names(docs.columns, "hit_id", "hit_version", "hit_spans")
+    spans = scan(docs.select("doc_id", "text"), items.select("item_id", "text"), length)[1].groupBy("doc_id", "version").agg(F.collect_set(F.struct("pos", "len")).alias(hit_spans))
+    spans = spans.withColumnsRenamed({"doc_id": hit_id, "version": hit_version})
+    out = docs.join(spans, docs["doc_id"].eqNullSafe(spans[hit_id]) & (F.xxhash64(docs["text"]) == spans[hit_version]), "left")
+    gone = F.flatten(F.transform(spans[hit_spans], lambda s: F.sequence(s["pos"], s["pos"] + s["len"] - 1)))
     words = _words(docs["text"])
     left = F.transform(F.array_except(F.sequence(F.lit(1), F.size(words)), gone), lambda i: F.element_at(words, i))
-    text = F.when(F.col("hit_spans").isNull(), docs["text"]).otherwise(F.array_join(left, " "))
+    text = F.when(spans[hit_spans].isNull(), docs["text"]).otherwise(F.array_join(left, " "))
     return out.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])

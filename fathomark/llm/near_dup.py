@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomark.llm.graph import components
+from fathomark.llm.names import free_names
 from fathomark.llm.words import chunks, mix, split_words, window_hashes
 from fathomark.sources.scratch import materialise
 
@@ -418,5 +419,6 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
 
     Rows with a null id and texts without words stay; repeated rows of a kept id all stay.
     """
-    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone_id"), "left_anti")
+    (gone_id,) = free_names(docs.columns, "gone_id")
+    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[gone_id], "left_anti")

@@ -11,8 +11,10 @@ word sequence also starts in a document with a smaller id.
 3. A shard holds one suffix automaton. The runs of a document are streamed through it for matching
    statistics; a window is repeated where the longest match reaches ``length``. What did not match is then
    added, so the automaton holds each reference passage once.
-4. A shard whose runs exceed ``shard_words`` words would not fit one task. Its windows are settled by an
-   aggregate over exact window hashes instead, which combines map side: the exact way for hot passages.
+4. A home whose runs exceed ``shard_words`` words would not fit one task. Its runs are cut where the anchor changes,
+   and each of its anchors is a shard with an automaton of its own.
+   Only an anchor that exceeds the bound by itself is settled by an aggregate over exact window hashes instead,
+   which combines map side: the exact way for very hot passages.
 5. The covered words are cut out of the documents, whole texts at a time.
 
 Nothing is collected; what a task holds is bounded by ``shard_words`` and by one document.
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomark.llm.names import free_names
 from fathomark.llm.words import Flat, chunks, split_words, window_hashes, window_starts
 from fathomark.sources.scratch import materialise
 
@@ -165,7 +168,7 @@ RUN_SCHEMA = pa.schema([("home", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa
 
 
 def _run_rows(length: int, seed: int):
-    """Runs of windows with repeated anchors, cut where the home changes."""
+    """Runs of windows with repeated anchors, cut where the home (for split homes, the anchor) changes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +208,7 @@ SPAN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("star
 
 
 class _Shard:
-    """The runs of one home, streamed in document order; what was new is stored when the document ends."""
+    """The runs of one home or anchor, streamed in document order; what was new is stored when the document ends."""
 
     def __init__(self, home: int, length: int) -> None:
         self.home, self.length = home, length
@@ -299,15 +302,19 @@ def _cut(as_digest: bool):
 
 
 def candidate_runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Runs of words that may be repeated, with the home they are settled at; ``docs`` has no null ids."""
+    """Runs of words that may be repeated, with the home or the anchor they are settled at; ``docs`` has no null ids."""
     anchors = docs.mapInArrow(_anchor_rows(length, seed), "anchor long, doc_id long")
     repeated = (
         anchors.groupBy("anchor").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
         .filter("home < last").select("anchor", "home", "n")
     )
     # A repeated anchor stands for about half a seed span of windows, and a run has a margin at either end.
-    load = repeated.groupBy("home").agg((F.sum("n") * length).alias("load"))
-    homes = repeated.join(load.filter(F.col("load") > shard_words), "home", "left").select("anchor", "home", F.col("load").isNotNull().alias("hot"))
+    words = F.col("n") * length
+    load = repeated.groupBy("home").agg(F.sum(words).alias("load")).filter(F.col("load") > shard_words)
+    split = F.col("load").isNotNull()
+    # An anchor's hash may equal a document's id: the two shards are then one, which loses nothing.
+    home = F.when(split, F.col("anchor")).otherwise(F.col("home"))
+    homes = repeated.join(load, "home", "left").select("anchor", home.alias("home"), (split & (words > shard_words)).alias("hot"))
     marks = anchors.join(homes, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "home", "hot")).alias("marks"))
     return docs.join(marks, "doc_id").mapInArrow(_run_rows(length, seed), "home long, hot boolean, doc_id long, version long, start long, words string")
 
@@ -343,18 +350,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shar
 def cut_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs``, all columns, with repeated spans cut out of ``text`` (rules of ``remove_repeats``; a null stays null)."""
     spans = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null"), length, seed, shard_words)
-    spans = spans.select(F.col("doc_id").alias("__cut_id"), F.col("spans").alias("__cut_spans"))
     names = docs.columns
+    cut_id, cut_spans = free_names(names, "cut_id", "cut_spans")
+    spans = spans.select(F.col("doc_id").alias(cut_id), F.col("spans").alias(cut_spans))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = _cut(False)
         for batch in batches:
-            few = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text"), batch.column("__cut_spans")], names=["doc_id", "text", "spans"])
+            few = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text"), batch.column(cut_spans)], names=["doc_id", "text", "spans"])
             for done in cutter(iter([few])):
                 kept = done.column("kept")
                 null = batch.column("text").is_null()
                 text = pa.array([None if n else v for n, v in zip(null.to_pylist(), kept.to_pylist())], batch.column("text").type)
                 yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in names], names=names)
 
-    joined = docs.join(spans, docs["doc_id"] == F.col("__cut_id"), "left").select(*[docs[c] for c in names], "__cut_spans")
+    joined = docs.join(spans, docs["doc_id"] == spans[cut_id], "left").select(*[docs[c] for c in names], spans[cut_spans])
     return joined.mapInArrow(run, docs.schema)

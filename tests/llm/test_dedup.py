@@ -6,8 +6,9 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from fathomark.llm import graph, near_dup, substrings
+from fathomark.llm import decontaminate, graph, near_dup, substrings
 
 
 def shingles(text, size=5):
@@ -123,12 +124,40 @@ def cut(texts, length=13):
 
 def test_substrings_equal_brute_force(docs, texts):
     want = sorted(((-1 if i is None else i), n, gone, hashlib.sha256(k).hexdigest()) for i, n, gone, k in cut(texts))
-    for limit in (substrings.SHARD_WORDS, 40):  # all shards by automaton; the large ones by window hashes
+    # Shards by home; large homes by anchor; anchors that are large by themselves by window hashes.
+    for limit in (substrings.SHARD_WORDS, 90, 20):
         got = substrings.remove_repeats(docs, shard_words=limit, as_digest=True).collect()
         assert sorted(((-1 if r.doc_id is None else r.doc_id), r.n_words, r.n_removed, r.kept) for r in got) == want
     assert any(gone for _, _, gone, _ in want)
 
 
+def test_large_homes_are_split_by_anchor(spark):
+    """One passage heads 60 texts, which share pieces with each other too: every way of settling gives the same spans."""
+    rng = random.Random(3)
+    common, parts = [f"c{i}" for i in range(40)], [[f"p{k}x{i}" for i in range(20)] for k in range(8)]
+    texts = [(i, " ".join(common[rng.randrange(10) :] + [x for _ in range(3) for x in [*parts[rng.randrange(8)], f"u{i}"]])) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    want = [(i, n, gone, hashlib.sha256(k).hexdigest()) for i, n, gone, k in cut(texts)]
+    ways = set()
+    for limit in (100_000, 500, 30):
+        runs = substrings.candidate_runs(docs, shard_words=limit).select("home", "hot").distinct().collect()
+        ways.add((max(r.home for r in runs) > 60, any(r.hot for r in runs)))
+        got = substrings.remove_repeats(docs, shard_words=limit, as_digest=True).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == sorted(want)
+    assert (False, False) in ways and (True, True) in ways
+
+
+def test_internal_names_may_be_columns(spark, docs, texts):
+    """Columns named like the joins' own, in any case, come back as they were."""
+    mine = ["gone_id", "cut_id", "CUT_SPANS", "bad_id", "bad_version", "hit_id", "Hit_Version", "hit_spans", "spans", "version", "component_id", "kept", "n_words", "marks", "home"]
+    wide = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(mine)])
+    items = spark.createDataFrame([(1, "nothing of this is in any text at all, not one bit")], "item_id long, text string")
+    for out in (near_dup.keep_first(wide), substrings.cut_repeats(wide), decontaminate.drop_contaminated(wide, items), decontaminate.cut_spans(wide, items)):
+        assert out.columns == wide.columns
+        rows = out.select(*[F.col(n) for n in mine]).distinct().collect()
+        assert [tuple(r) for r in rows] == [tuple(range(len(mine)))]
+
+
 def test_substrings_of_nothing_and_texts_kept(none, docs, texts):
     assert substrings.remove_repeats(none).count() == 0
     out = substrings.cut_repeats(docs)
