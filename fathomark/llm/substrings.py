@@ -11,8 +11,8 @@ word sequence also starts in a document with a smaller id.
 3. A shard holds one suffix automaton. The runs of a document are streamed through it for matching
    statistics; a window is repeated where the longest match reaches ``length``. What did not match is then
    added, so the automaton holds each reference passage once.
-4. A home whose runs exceed ``shard_words`` words would not fit one task. Its runs are cut where the anchor changes,
-   and each of its anchors is a shard with an automaton of its own.
+4. A home whose runs exceed ``shard_words`` words would not fit one task. Its anchors are dealt to as many shards as
+   hold about that many words each, by hash; its runs are cut where the shard changes, and each shard has an automaton.
    Only an anchor that exceeds the bound by itself is settled by an aggregate over exact window hashes instead,
    which combines map side: the exact way for very hot passages.
 5. The covered words are cut out of the documents, whole texts at a time.
@@ -168,7 +168,7 @@ RUN_SCHEMA = pa.schema([("home", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa
 
 
 def _run_rows(length: int, seed: int):
-    """Runs of windows with repeated anchors, cut where the home (for split homes, the anchor) changes."""
+    """Runs of windows with repeated anchors, cut where the home (for split homes, its shard) changes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +208,7 @@ SPAN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("star
 
 
 class _Shard:
-    """The runs of one home or anchor, streamed in document order; what was new is stored when the document ends."""
+    """The runs of one home or part of it, streamed in document order; what was new is stored when the document ends."""
 
     def __init__(self, home: int, length: int) -> None:
         self.home, self.length = home, length
@@ -302,7 +302,7 @@ def _cut(as_digest: bool):
 
 
 def candidate_runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Runs of words that may be repeated, with the home or the anchor they are settled at; ``docs`` has no null ids."""
+    """Runs of words that may be repeated, with the home, or the part of it, they are settled at; ``docs`` has no null ids."""
     anchors = docs.mapInArrow(_anchor_rows(length, seed), "anchor long, doc_id long")
     repeated = (
         anchors.groupBy("anchor").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
@@ -312,8 +312,9 @@ def candidate_runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shar
     words = F.col("n") * length
     load = repeated.groupBy("home").agg(F.sum(words).alias("load")).filter(F.col("load") > shard_words)
     split = F.col("load").isNotNull()
-    # An anchor's hash may equal a document's id: the two shards are then one, which loses nothing.
-    home = F.when(split, F.col("anchor")).otherwise(F.col("home"))
+    # A shard's hash may equal a document's id or another's: the two shards are then one, which loses nothing.
+    shard = F.pmod(F.xxhash64("anchor"), F.ceil(F.col("load") / shard_words))
+    home = F.when(split, F.xxhash64("home", shard)).otherwise(F.col("home"))
     homes = repeated.join(load, "home", "left").select("anchor", home.alias("home"), (split & (words > shard_words)).alias("hot"))
     marks = anchors.join(homes, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "home", "hot")).alias("marks"))
     return docs.join(marks, "doc_id").mapInArrow(_run_rows(length, seed), "home long, hot boolean, doc_id long, version long, start long, words string")
