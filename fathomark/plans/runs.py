@@ -625,7 +625,7 @@ fr AS (SELECT l AS label, s AS session FROM (SELECT unnest(['assistant', 'user']
 x AS (SELECT fr.label, sum(coalesce(n, 0)) AS total, count(n) AS present, count(*) FILTER (WHERE coalesce(n, 0) < 50) AS thin FROM fr LEFT JOIN c ON c.label = fr.label AND c.session = fr.session GROUP BY fr.label),
 r AS (SELECT label || ': ' || total || ' items < 100' AS r FROM x WHERE total < 100 UNION ALL SELECT label || ': in ' || present || ' sessions < 4' FROM x WHERE present < 4
  UNION ALL SELECT label || ': below 50 in ' || thin || ' sessions' FROM x WHERE thin > 0)
-SELECT CASE WHEN count(*) = 0 THEN 'free' ELSE 'both' END AS chosen, string_agg(r, '; ' ORDER BY r) AS failed_checks FROM r""")
+SELECT CASE WHEN count(*) = 0 THEN 'free' ELSE 'both' END AS chosen, coalesce(string_agg(r, '; ' ORDER BY r), '') AS failed_checks FROM r""")
 def subset_decision(spark, d):
     counts = sm.subset_counts(_subset(spark, d), "subset", "label", "session")
     out = sm.subset_decision(counts, "free", "both", ("assistant", "user"), tuple(f"s{i}" for i in range(5)), 100, 4, 50)

@@ -31,6 +31,18 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_an_adequate_subset_has_no_failed_check(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, 0, ("assistant", "user")[i % 2]) for i in range(600)]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string").write.parquet(str(tmp_path / "conversations.parquet"))
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = QUERIES["subset_decision"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.collect()] == [("free", "")]
+    assert compare(got, own, SQL["subset_decision"]) == ""
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
