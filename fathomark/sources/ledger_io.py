@@ -42,8 +42,15 @@ def bad_lines(ledger: DataFrame) -> DataFrame:
     return ledger.where(F.col("_corrupt_record").isNotNull()).select("source_file", "run_id", "_corrupt_record")
 
 
-def append_ledger(df: DataFrame, path: str, validate: bool = True, fmt: str = "json") -> None:
-    """Append rows that pass the schema and every row rule; nothing is written otherwise."""
+# JSON lines repeat the names of all columns; gzip takes them out. A gzip file is read by one task, so its rows are bounded.
+JSON_FILE_ROWS = 500_000
+
+
+def append_ledger(df: DataFrame, path: str, validate: bool = True, fmt: str = "json", file_rows: int = JSON_FILE_ROWS) -> None:
+    """Append rows that pass the schema and every row rule; nothing is written otherwise.
+
+    JSON lines are gzipped, at most ``file_rows`` rows a file; readers take them beside plain files.
+    """
     if validate:
         problems = schema_problems(df)
         if problems:
@@ -51,7 +58,10 @@ def append_ledger(df: DataFrame, path: str, validate: bool = True, fmt: str = "j
         bad = violations(df, ledger_rules(), ["run_id"]).limit(5).collect()
         if bad:
             raise LedgerError("; ".join(f"{r.run_id}: {r.rule}" for r in bad))
-    df.write.mode("append").option("ignoreNullFields", "false").format(fmt).save(path)
+    out = df.write.mode("append").option("ignoreNullFields", "false").option("maxRecordsPerFile", file_rows)
+    if fmt == "json":
+        out = out.option("compression", "gzip")
+    out.format(fmt).save(path)
 
 
 def write_predictions(df: DataFrame, path: str, chunk: int = 100_000) -> None:

@@ -1,3 +1,6 @@
+import gzip
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +170,20 @@ def test_union_prefers_canonical(spark, tmp_path):
     assert {(r.run_id, r.origin) for r in io.read_union(spark, main, [shard]).collect()} == {("m1", "canonical")}
     with pytest.raises(io.LedgerError):
         io.read_union(spark, str(tmp_path / "x"), [str(tmp_path / "y")])
+
+
+def test_ledger_files_are_gzipped_and_bounded(spark, tmp_path):
+    path, plain = tmp_path / "ledger", tmp_path / "ledger" / "plain.json"
+    rows = ledger(spark, full_row()).drop("run_id").join(spark.range(200).select(F.col("id").cast("string").alias("run_id"))).select(*led.ledger_schema().names)
+    io.append_ledger(rows.coalesce(1), str(path), file_rows=50)
+    files = list(path.glob("part-*"))
+    assert len(files) == 4 and all(f.name.endswith(".json.gz") for f in files)
+    lines = [gzip.decompress(f.read_bytes()).decode().splitlines() for f in files]
+    assert [len(x) for x in lines] == [50] * 4 and set(json.loads(lines[0][0])) == set(led.ledger_schema().names)
+    size = sum(len(line) + 1 for x in lines for line in x)
+    assert 10 * sum(f.stat().st_size for f in files) < size
+    # Plain files of older appends are read beside them.
+    plain.write_text(lines[0][0].replace('"run_id":"', '"run_id":"old') + "\n")
+    got = io.read_ledger(spark, str(path))
+    assert {r.run_id[:3] == "old" for r in got.collect()} == {True, False} and got.count() == 201
+    assert io.bad_lines(got).collect() == []
