@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.small import MAX_ROWS, take_bounded
 from ..sources.scratch import materialise
 
 # The flags and tiers of the audit.
@@ -46,18 +47,25 @@ def _number(sign: Column, digits: Column, exp: Column) -> Column:
     )
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often and under whatever condition it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def exact_number(token: Column) -> Column:
     """The exact value of a decimal token of any length, as (sign, exp, digits); null where it is no number.
 
     Exponents of more than 18 digits are no numbers.
     """
+    def whole(part: Column) -> Column:
+        every = F.concat(part[1], part[2])
+        return _once(F.struct(F.length(every).alias("n"), F.ltrim(every, F.lit("0")).alias("left")), lambda x: F.when(x["n"] > 0, _number(
+            F.when(part[0] == "-", -1).otherwise(1), F.rtrim(x["left"], F.lit("0")),
+            F.length(part[1]) + F.coalesce(part[3].try_cast("long"), F.lit(0)) - (x["n"] - F.length(x["left"])))))
+
     low = F.lower(token)
-    part = lambda i: F.regexp_extract(low, _FORM, i)
-    every = F.concat(part(2), part(3))
-    power = F.coalesce(part(4).try_cast("long"), F.lit(0))
-    leading = F.length(every) - F.length(F.ltrim(every, F.lit("0")))
-    value = _number(F.when(part(1) == "-", -1).otherwise(1), F.trim(every, F.lit("0")), F.length(part(2)) + power - leading)
-    return F.when(low.rlike(_FORM) & (every != ""), value)
+    parts = F.when(low.rlike(_FORM), F.split(F.regexp_replace(low, _FORM, "$1,$2,$3,$4"), ","))
+    return _once(parts, whole)
 
 
 def _rounded(c: Column, places: Column) -> Column:
@@ -74,38 +82,56 @@ def _rounded(c: Column, places: Column) -> Column:
     return F.when(tail < "5", _number(sign, F.rtrim(head, F.lit("0")), exp)).when(tail > "5", raised)
 
 
+def rounded_results(vals: DataFrame, distinct: DataFrame, max_places: int = MAX_ROWS) -> DataFrame | None:
+    """(_v, _p): each result ``_c`` rounded to places inside its own digits; None where no token has places.
+
+    Only places that some token of ``distinct`` has are worked out, up to ``max_places`` different ones; beyond
+    that, all between the least and the largest.
+    """
+    used = distinct.select("_p").where("_p IS NOT NULL").distinct()
+    few = take_bounded(used, max_places)
+    ends = used.agg(F.min("_p").alias("lo"), F.max("_p").alias("hi")).first() if few is None else None
+    if few == []:
+        return None
+    least, largest = (ends["lo"], ends["hi"]) if few is None else (min(r[0] for r in few), max(r[0] for r in few))
+    first = -F.col("_c.exp")
+    lo, hi = F.greatest(first, F.lit(least)), F.least(first + F.length("_c.digits") - 1, F.lit(largest))
+    places = F.sequence(lo, hi)
+    if few is not None:
+        wanted = [r[0] for r in few]
+        places = F.filter(places, lambda p: p.isin(wanted))
+    spread = vals.where(lo <= hi).select("_c", F.explode(places).alias("_p"))
+    return spread.select(_rounded(F.col("_c"), F.col("_p")).alias("_v"), "_p").where("_v IS NOT NULL AND _v.sign <> 0")
+
+
 def trace_numbers(tokens: DataFrame, values: DataFrame, token: str = "token", value: str = "value") -> DataFrame:
     """Adds ``traced``: the number equals a result, or a result rounds to it.
 
     A number with p decimals is matched by results less than half a unit of its last
     place away. That is at most one rounded value per result and p, so the range join
     is an equi-join on (p, rounded result). Values are digit strings with an exponent:
-    exact at any size. A result fans out over the places inside its own digits only;
-    with more places it is the result itself, with fewer it is zero, which the widest
-    such place of all results settles. Tokens and results meet as distinct values
-    only. Tokens and results are written once, so their sources are read once. Null
-    tokens and tokens that are no numbers are not traced.
+    exact at any size. A result fans out over those places inside its own digits that
+    tokens have; with more places it is the result itself, with fewer it is zero, which
+    the widest such place of all results settles. Tokens and results meet as distinct
+    values only. Tokens and results are written once with their values, so their sources
+    are read and their numbers are parsed once. Null tokens and tokens that are no numbers are not traced.
     """
-    tokens = materialise(tokens, "tokens")
-    t = tokens.withColumn("_v", exact_number(F.col(token))).withColumn("_p", tx.places_of(F.col(token)))
+    columns = tokens.columns
+    t = materialise(tokens.withColumn("_v", exact_number(F.col(token))).withColumn("_p", tx.places_of(F.col(token))), "tokens")
     distinct = t.where("_v IS NOT NULL").select("_v", "_p").distinct()
-    vals = materialise(values.select(exact_number(F.col(value)).alias("_c")).where("_c IS NOT NULL").distinct(), "results")
+    vals = materialise(values.select(exact_number(F.col(value)).alias("_c")).distinct(), "results").where("_c IS NOT NULL")
     exact = distinct.join(vals, distinct["_v"] == vals["_c"], "left_semi")
-    used = distinct.agg(F.min("_p").alias("lo"), F.max("_p").alias("hi")).collect()[0]
-    near = exact.limit(0)
-    if used["lo"] is not None:
+    near, spread = exact.limit(0), rounded_results(vals, distinct)
+    if spread is not None:
         first = -F.col("_c.exp")
         to_zero = F.max(F.when(F.col("_c.sign") != 0, F.when(F.col("_c.digits") < "5", first).otherwise(first - 1)))
         zero = vals.agg(to_zero.alias("p")).collect()[0]["p"]
-        lo, hi = F.greatest(first, F.lit(used["lo"])), F.least(first + F.length("_c.digits") - 1, F.lit(used["hi"]))
-        spread = vals.where(lo <= hi).select("_c", F.explode(F.sequence(lo, hi)).alias("_p"))
-        spread = spread.select(_rounded(F.col("_c"), F.col("_p")).alias("_v"), "_p").where("_v IS NOT NULL AND _v.sign <> 0")
         near = distinct.join(spread, ["_v", "_p"], "left_semi")
         if zero is not None:
             near = near.unionByName(distinct.where((F.col("_v.sign") == 0) & (F.col("_p") <= zero)))
     hit = exact.unionByName(near).distinct().withColumn("_hit", F.lit(True))
     return t.join(hit, (t["_v"] == hit["_v"]) & t["_p"].eqNullSafe(hit["_p"]), "left").select(
-        *[t[c] for c in tokens.columns], F.coalesce("_hit", F.lit(False)).alias("traced")
+        *[t[c] for c in columns], F.coalesce("_hit", F.lit(False)).alias("traced")
     )
 
 

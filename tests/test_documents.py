@@ -72,6 +72,18 @@ def test_trace_exact_at_any_size(spark):
     assert empty.count() == 0 and docs.trace_numbers(t.limit(0), v).count() == 0
 
 
+def test_results_are_rounded_to_places_of_tokens_only(spark):
+    number = lambda name: docs.exact_number(F.col("x")).alias(name)
+    vals = spark.createDataFrame([("0." + "1234567890" * 6 + str(i),) for i in range(1, 10)], "x string").select(number("_c"))
+    seen = spark.createDataFrame([("0.1", 1), ("0.2", 40), ("3", None)], "x string, p int").select(number("_v"), F.col("p").cast("long").alias("_p"))
+    got = docs.rounded_results(vals, seen)
+    assert {r["_p"] for r in got.collect()} == {1, 40} and got.count() == 18
+    # With more different places than the bound all between them are worked out: the same rows and more.
+    every = docs.rounded_results(vals, seen, max_places=1)
+    assert every.count() == 9 * 40 and got.exceptAll(every).count() == 0
+    assert docs.rounded_results(vals, seen.where("_p IS NULL")) is None
+
+
 def test_titles_fold(spark):
     df = spark.createDataFrame([("Wav2Vec2: Éléments—of  Spéech", "wav2vec2 elements of speech"), ("ﾆA² Ｂ", "")], "a string, b string")
     got = df.select(tx.norm_title(F.col("a")).alias("n"), tx.title_sim(F.col("a"), F.col("b")).alias("s")).collect()
