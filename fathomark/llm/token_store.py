@@ -24,6 +24,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ from fathomark.sources.scratch import shared_dir
 SHARD_TOKENS = 1 << 20
 BUCKET = 4
 MEMORY_PIECES = 800_000
+LINE_WORDS = 256
 _MAGIC = b"FTS1"
 _HEAD = struct.Struct("<4sIIIQQ")
 _U = np.uint64
@@ -163,10 +165,11 @@ class LibraryEncoder:
     """The tokenizers library over the distinct pieces between white space, remembered up to a bound.
 
     The vocabulary's normaliser and splitter never join text across white space, lower-case all text and part a
-    comma or full stop from a letter or digit before it. So a text's ids are the ids of its pieces in order, ASCII
-    pieces that differ in case are one, and such a mark at the end of one is encoded apart. Other pieces go to the
-    library as they stand: it composes characters before it folds case, and the two do not commute. The first
-    ``memory`` pieces stay; later ones are encoded again for each batch that holds them.
+    run of marks from a letter or digit before it. So a text's ids are the ids of its pieces in order, ASCII pieces
+    that differ in case are one, and the marks at the end of one are encoded apart. Other pieces go to the library
+    as they stand: it composes characters before it folds case, and the two do not commute. Pieces of letters are
+    encoded many in a line and parted at the ids that end a word. The first ``memory`` pieces stay; later ones are
+    encoded again for each batch that holds them.
     """
 
     def __init__(self, path: str, memory: int = MEMORY_PIECES) -> None:
@@ -174,10 +177,36 @@ class LibraryEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.known: dict[str, bytes] = {}
-        self.mark = dict(zip(",.", self._ids([",", "."])))
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for text, i in vocab.items() if suffix and text.endswith(suffix)]] = True
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         """The library's ids of each part, as bytes."""
+        words = [p for p in parts if p.isalpha()]
+        found = self._words(words)
+        rest = [p for p in parts if p not in found]
+        found.update(zip(rest, self._each(rest)))
+        return [found[p] for p in parts]
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words, a line of them at a time.
+
+        A word of letters has one end of a word or more, so a line with as many ends as words is parted at them;
+        words of other lines are left out.
+        """
+        groups = [words[k : k + LINE_WORDS] for k in range(0, len(words), LINE_WORDS)]
+        found: dict[str, bytes] = {}
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+            if len(stops) == len(group):
+                raw, stops = ids.tobytes(), stops.tolist()
+                found.update(zip(group, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+        return found
+
+    def _each(self, parts: list[str]) -> list[bytes]:
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         ends = np.cumsum([len(x) for x in lists], dtype=np.int64) * self.width
         raw = np.fromiter(chain.from_iterable(lists), self.kind).tobytes()
@@ -188,13 +217,14 @@ class LibraryEncoder:
         # Special strings are matched before case is folded, so pieces that may hold one stay whole.
         simple = [p for p in new if p.isascii() and "<|" not in p]
         folded = "\n".join(simple).lower().split("\n") if simple else []  # no piece holds a line feed
-        stems = [x[:-1] if x[-1] in ",." and x[-2:-1].isalnum() else x for x in folded]
+        stems = [x if x[-1].isalnum() else (y if (y := x.rstrip(punctuation))[-1:].isalnum() else x) for x in folded]
+        tails = [x[len(y) :] for x, y in zip(folded, stems)]
         known = self.known
-        unknown = [*{*stems, *new.difference(simple)}.difference(known)]
+        unknown = [*{*stems, *tails, *new.difference(simple)}.difference(known, ("",))]
         found = dict(zip(unknown, self._ids(unknown))) if unknown else {}
-        for piece, x, stem in zip(simple, folded, stems):
+        for piece, stem, tail in zip(simple, stems, tails):
             ids = found[stem] if stem in found else known[stem]
-            found[piece] = ids if len(stem) == len(x) else ids + self.mark[x[-1]]
+            found[piece] = ids + (found[tail] if tail in found else known[tail]) if tail else ids
         if len(known) < self.memory:
             known |= found
         return found

@@ -139,6 +139,30 @@ def test_shard_finds_every_key_and_no_other(rows):
     assert sorted(slots.tolist()) == list(range(len(first))) and len(pilots) == max(1, -(-len(first) // token_store.BUCKET))
 
 
+def test_library_encoder_sends_words_in_lines(library):
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 1 + k % 9)) for k in range(3000)]
+    odd = ["\u0130stanbul", "\u0130", "e\u0301t\u0301", "o\u0301", "\u03a3\u03a3", "\u1100\u1161", "\ufb01n", "\u00e9a$$$", "\u01c5x", "a\u0301!!", "\u2167", "x\u00b2", "\u0e33", "\u0640a"]
+    marks = ["ab$$$", "AB,.", "a'", "'s", "x's'", "...", "a_b__", "a\x01!!", "9.5%", "a<|", "<|endoftext|>!", "a|>", "don't.", "5!!", "-a-"]
+    texts = [" ".join(words[k : k + 300] + odd + marks) for k in range(0, 3000, 300)] + [" ".join(reversed(odd + marks)), None]
+    encoder = token_store.LibraryEncoder(PATH)
+    sent = []
+
+    class Counted:
+        def encode_batch_fast(self, parts, **options):
+            sent.extend(parts)
+            return library.encode_batch_fast(parts, **options)
+
+    encoder.tokenizer = Counted()
+    got = [row.tolist() for row in encoder.encode(texts, 1)]
+    assert got == [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    # Lines with an odd word are encoded word by word; the others are sent as a whole.
+    encoder.known.clear(), sent.clear()
+    plain = [" ".join(words)]
+    assert [row.tolist() for row in encoder.encode(plain, 1)] == [[*library.encode(plain[0], add_special_tokens=False).ids, 1]]
+    assert len(sent) <= -(-len(words) // token_store.LINE_WORDS)
+
+
 def test_store_and_read(spark, docs, none, texts, library, tmp_path):
     known = sorted((i, t or "") for i, t in texts if i is not None)
     got = token_store.store_and_read(docs, PATH, shard_tokens=500).collect()
