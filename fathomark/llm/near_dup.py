@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomark.llm.graph import components
+from fathomark.llm.graph import components, stars_of
 from fathomark.llm.names import free_names
 from fathomark.llm.words import chunks, mix, split_words, window_hashes
 from fathomark.sources.scratch import materialise
@@ -398,16 +398,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 75, has
     right = group.select(F.col("node").alias("b"), F.col("component").alias("gb"))
     rest = similar.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("ga", "a") != F.coalesce("gb", "b"))
     rest = rest.join(best, ["a", "b"], "left_anti")
-    links = tree.union(confirmed(rest, texts, size, percent))
+    # The stars of the groups stand for their links.
+    links = stars_of(group).union(confirmed(rest, texts, size, percent))
 
     # Rows of one class reach its smallest id.
     member = known.select("doc_id", "class").join(classes.select("class", F.col("id").alias("class_id")), "class").select("doc_id", "class_id")
     twin = member.groupBy("doc_id").agg(F.min("class_id").alias("u"), F.max("class_id").alias("v")).filter("u < v").select("u", "v")
     group = components(links.union(twin))
     more = region_links(saturated(known_ids, hashes, orders, reach), group, texts, size, percent)
-    # The stars of the groups stand for their links.
-    stars = group.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    group = components(stars.union(more)).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
+    group = components(stars_of(group).union(more)).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
     member = member.groupBy("doc_id").agg(F.min("class_id").alias("class_id")).join(group, "class_id", "left")
     out = rows.select("doc_id", "n_shingles").join(member, "doc_id", "left")
     component = F.coalesce("component_id", "class_id", "doc_id")

@@ -67,6 +67,18 @@ def test_components_of_paths_stars_and_loops(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_stars_need_no_pass(spark, monkeypatch):
+    stars = spark.createDataFrame([(5, 1), (1, 4), (9, 2), (2, 2)], "u long, v long")
+    passes = []
+    large = graph._large_star
+    monkeypatch.setattr(graph, "_large_star", lambda edges: passes.append(1) or large(edges))
+    group = graph.components(stars)
+    assert {r.node: r.component for r in group.collect()} == {1: 1, 4: 1, 5: 1, 2: 2, 9: 2} and not passes
+    assert graph.components(graph.stars_of(group)).exceptAll(group).count() == 0 and not passes
+    path = graph.components(spark.createDataFrame([(k, k + 1) for k in range(9)], "u long, v long"))
+    assert {r.component for r in path.collect()} == {0} and passes
+
+
 def test_dense_region_of_a_shared_passage(spark):
     rng = random.Random(1)
     passage = [f"p{i}" for i in range(120)]
