@@ -36,6 +36,7 @@ def number_tokens(df: DataFrame, column: str, keep: Sequence[str], comments: boo
 
 
 _FORM = r"^\s*([-+]?)([0-9]*)\.?([0-9]*)(?:e([-+]?[0-9]{1,18}))?\s*$"
+_ZERO = r"^\s*[-+]?(0+\.?0*|\.0+)(e[-+]?[0-9]{1,18})?\s*$"
 
 
 def _number(sign: Column, digits: Column, exp: Column) -> Column:
@@ -68,6 +69,18 @@ def exact_number(token: Column) -> Column:
     return _once(parts, whole)
 
 
+def decimal_number(token: Column, precision: int = 36, scale: int = 16) -> Column:
+    """The value of a decimal token as a SQL ``DECIMAL(precision, scale)`` holds it, in the form of :func:`exact_number`.
+
+    Rounded half up to ``scale`` decimals, so a number too small for them is zero. Null where the number does not fit and
+    where its exponent does not fit 16 bits, for zeros too. A zero with a smaller exponent is zero.
+    """
+    plain = F.regexp_replace(F.lower(token), "e([-+]?)0+(?=[0-9])", "e$1")
+    exponent = F.coalesce(F.regexp_extract(plain, "e(.*)", 1).try_cast("long"), F.lit(0))
+    held = F.when(plain.rlike(_ZERO), F.lit("0")).otherwise(plain.try_cast(f"decimal({precision},{scale})").cast("string"))
+    return exact_number(F.when(exponent.between(-(2**15), 2**15 - 1), held))
+
+
 def _rounded(c: Column, places: Column) -> Column:
     """``c`` rounded to ``places`` decimals, as a number; null where it lies half way.
 
@@ -104,22 +117,22 @@ def rounded_results(vals: DataFrame, distinct: DataFrame, max_places: int = MAX_
     return spread.select(_rounded(F.col("_c"), F.col("_p")).alias("_v"), "_p").where("_v IS NOT NULL AND _v.sign <> 0")
 
 
-def trace_numbers(tokens: DataFrame, values: DataFrame, token: str = "token", value: str = "value") -> DataFrame:
+def trace_numbers(tokens: DataFrame, values: DataFrame, token: str = "token", value: str = "value", number: Callable[[Column], Column] = exact_number) -> DataFrame:
     """Adds ``traced``: the number equals a result, or a result rounds to it.
 
     A number with p decimals is matched by results less than half a unit of its last
     place away. That is at most one rounded value per result and p, so the range join
     is an equi-join on (p, rounded result). Values are digit strings with an exponent:
-    exact at any size. A result fans out over those places inside its own digits that
+    exact at any size, unless ``number`` reads them otherwise. A result fans out over those places inside its own digits that
     tokens have; with more places it is the result itself, with fewer it is zero, which
     the widest such place of all results settles. Tokens and results meet as distinct
     values only. Tokens and results are written once with their values, so their sources
     are read and their numbers are parsed once. Null tokens and tokens that are no numbers are not traced.
     """
     columns = tokens.columns
-    t = materialise(tokens.withColumn("_v", exact_number(F.col(token))).withColumn("_p", tx.places_of(F.col(token))), "tokens")
+    t = materialise(tokens.withColumn("_v", number(F.col(token))).withColumn("_p", tx.places_of(F.col(token))), "tokens")
     distinct = t.where("_v IS NOT NULL").select("_v", "_p").distinct()
-    vals = materialise(values.select(exact_number(F.col(value)).alias("_c")).distinct(), "results").where("_c IS NOT NULL")
+    vals = materialise(values.select(number(F.col(value)).alias("_c")).distinct(), "results").where("_c IS NOT NULL")
     exact = distinct.join(vals, distinct["_v"] == vals["_c"], "left_semi")
     near, spread = exact.limit(0), rounded_results(vals, distinct)
     if spread is not None:

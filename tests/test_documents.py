@@ -3,11 +3,17 @@ import re
 from decimal import Decimal
 from fractions import Fraction
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from fathomark.functions import text as tx
 from fathomark.operators import documents as docs
+from fathomark.plans import load_all
+from fathomark.plans.registry import ORACLES, QUERIES
+from oracle import compare
+
+load_all()
 
 TEXT = "score 0.316 and -2e3, 24be64 5kg 12.5kg v1\nvalue $3\\times 10^{-2}$ 1,084 runs % 99\n5th 7--9 x_4 \\cite{ab2001, cd} 1.55e5 100\\% 8"
 
@@ -72,6 +78,33 @@ def test_trace_exact_at_any_size(spark):
     assert empty.count() == 0 and docs.trace_numbers(t.limit(0), v).count() == 0
 
 
+def test_decimal_numbers_are_those_of_a_sql_cast(spark):
+    """Rounded to 16 decimals, 20 digits before them, exponents of 16 bits; the operator stays exact without it."""
+    tokens = "7e-2 0.0 00 0e54 0e32767 0e32768 00e-99999 41e-607 1e-40000 5e-17 -5e-17 14.5e-17 4.9e-17 1.5e+3 12e0002 12e00000000000000000002 1e20 99999999999999999999.99999999999999994 99999999999999999999.99999999999999996 x".split()
+    con = duckdb.connect()
+    want = dict(con.execute("SELECT t, try_cast(t AS DECIMAL(36,16)) FROM (SELECT unnest($1::VARCHAR[]) AS t)", [tokens]).fetchall())
+    t = spark.createDataFrame([(x,) for x in tokens], "token string")
+    got = {r.token: r.v and Decimal(f"{'-' * (r.v.sign < 0)}0.{r.v.digits or 0}e{r.v.exp}") for r in t.select("token", docs.decimal_number(F.col("token")).alias("v")).collect()}
+    assert got == want and want["0e32768"] is None and want["41e-607"] == 0
+    v = spark.createDataFrame([("0.0",), ("0.06999999999999999",)], "value string")
+    held = {r.token for r in docs.trace_numbers(t, v, number=docs.decimal_number).where("traced").collect()}
+    assert held == {"7e-2", "0.0", "00", "0e54", "0e32767", "41e-607", "4.9e-17"}
+    assert {r.token for r in docs.trace_numbers(t, v).where("traced").collect()} == {"0.0", "00", "0e54", "0e32767", "0e32768", "00e-99999"}
+
+
+def test_traced_documents_equal_their_sql_where_a_result_is_zero(spark, tmp_path):
+    text = "0e54 0e32768 0e99999 41e-607 7e-2 0.0 12 3 1.5"
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write("documents", [(1, text, 0), (2, text + "\n2 0e40000", 12)], "doc_id long, text string, n_chars long")
+    write("part", [(900.0,)], "p_retailprice double")
+    write("supplier", [(0.0,), (0.21,)], "s_acctbal double")
+    con = duckdb.connect()
+    for name in ("documents", "part", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    for name in ("trace_numbers", "trace_report"):
+        assert compare(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name]) == ""
+
+
 def test_results_are_rounded_to_places_of_tokens_only(spark):
     number = lambda name: docs.exact_number(F.col("x")).alias(name)
     vals = spark.createDataFrame([("0." + "1234567890" * 6 + str(i),) for i in range(1, 10)], "x string").select(number("_c"))
