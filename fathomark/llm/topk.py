@@ -3,8 +3,9 @@
 Vectors become integers, floor(scale * x). Rows are range-partitioned by id into document-range groups; a group
 holds blocks of ``BLOCK`` consecutive ids, each with a forward index (the matrix of its rows) and, for every
 dimension (a term), the least and the greatest value. For a query, a block's bound is the sum over the terms of
-the greater of query * least and query * greatest. Blocks are taken in the order of their bounds and scored
-through the forward index until the next bound is below the query's kth score.
+the greater of query * least and query * greatest. Blocks are taken in the order of their bounds, in rounds, and
+scored through the forward index until the next bound is below the query's kth score. In a round, a block meets all
+queries that take it in one matrix product.
 
 1. Seeds: every query is scored in one group, which gives a lower bound of its kth score.
 2. Every group takes the queries in chunks, starts from that bound, prunes its blocks and returns only rows that
@@ -16,10 +17,10 @@ The queries are a stated set against all rows, in chunks and blocks. A task hold
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,62 +41,82 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, finite), F.lit(False))
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best by score, ties by id."""
-    if len(scores) > k:
-        kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= kth)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the k best of each query by score, ties by id, in the order of the queries; their ranks from 0."""
+    at = np.lexsort((ids, -scores, query))
+    ordered = query[at]
+    rank = np.arange(len(at)) - np.searchsorted(ordered, ordered)
+    return at[rank < k], rank[rank < k]
 
 
 def search_group(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int, block: int = BLOCK) -> tuple[pd.DataFrame, int]:
-    """The k best rows of one group for each query that reach ``least``, and how many blocks were scored."""
+    """The k best rows of one group for each query that reach ``least``, and how many blocks were scored.
+
+    Each query takes its blocks in the order of their bounds, in rounds of 1, 1, 2, 4, ... blocks; between rounds its kth
+    score prunes what is left. The queries that take the same block in a round are scored in one matrix product.
+    """
     first = np.arange(0, len(ids), block)
     low, high = (f.reduceat(vectors, first, axis=0).astype(np.float64) for f in (np.minimum, np.maximum))
     plus, minus = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
     bounds = plus @ high.T + minus @ low.T  # integers below 2**53: exact
-    forward = vectors.astype(np.float64)
-    out, scored = [], 0
-    for q in range(len(query_ids)):
-        floor, best_s, best_i = float(least[q]), np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bounds[q], kind="stable"):
-            if bounds[q, b] < floor:
-                break
+    order = np.argsort(-bounds, axis=1, kind="stable")
+    bounds = np.take_along_axis(bounds, order, axis=1)
+    forward, asked = vectors.astype(np.float64), queries.astype(np.float64)
+    floor = least.astype(np.float64)
+    query, found, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    begin, scored = 0, 0
+    while begin < len(first):
+        end = min(len(first), max(1, 2 * begin))
+        q, t = np.nonzero(bounds[:, begin:end] >= floor[:, None])
+        if not len(q):  # bounds fall, so no later block can reach a floor either
+            break
+        taken = order[q, begin + t]
+        by_block = np.argsort(taken, kind="stable")
+        blocks, starts = np.unique(taken[by_block], return_index=True)
+        more = [(query, found, score)]
+        for b, who in zip(blocks, np.split(q[by_block], starts[1:])):
             rows = slice(first[b], first[b] + block)
-            score = forward[rows] @ queries[q]
-            scored += 1
-            good = (score >= floor) & (ids[rows] != query_ids[q])
-            if good.any():
-                best_s, best_i = np.concatenate([best_s, score[good]]), np.concatenate([best_i, ids[rows][good]])
-                top = _top(best_s, best_i, k)
-                best_s, best_i = best_s[top], best_i[top]
-                if len(best_s) == k:
-                    floor = max(floor, best_s[-1])
-        if len(best_s):
-            out.append(pd.DataFrame({"query_id": query_ids[q], "vec_id": best_i, "score": best_s.astype(np.int64)}))
-    found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-    return found.astype("int64"), scored
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_list()).astype(np.int64)
+            product = asked[who] @ forward[rows].T
+            i, j = np.nonzero(product >= floor[who, None])
+            more.append((who[i], ids[rows][j], product[i, j]))
+        scored += len(q)
+        query, found, score = (np.concatenate(x) for x in zip(*more))
+        other = found != query_ids[query]
+        query, found, score = query[other], found[other], score[other]
+        best, rank = _best(query, found, score, k)
+        query, found, score = query[best], found[best], score[best]
+        full = rank == k - 1
+        floor[query[full]] = np.maximum(floor[query[full]], score[full])
+        begin = end
+    return pd.DataFrame({"query_id": query_ids[query], "vec_id": found, "score": score.astype(np.int64)}), scored
+
+
+def _matrices(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The rows of each vector length: their positions and the matrix of their vectors."""
+    vectors = table.column("v").combine_chunks()
+    size = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(size).tolist():
+        at = np.flatnonzero(size == n)
+        out[n] = at, vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n)
+    return out
 
 
 def _searcher(k: int, block: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        if left.empty or right.empty:
-            return empty
-        # Only vectors of one length have an inner product.
-        parts = []
-        left = left.sort_values("vec_id", kind="stable")
-        for size, rows in left.groupby(left["v"].map(len)):
-            asked = right[right["v"].map(len) == size]
-            if len(asked):
-                parts.append(search_group(rows["vec_id"].to_numpy(), _matrix(rows["v"]), asked["query_id"].to_numpy(), _matrix(asked["v"]), asked["least"].to_numpy(), k, block)[0])
-        return pd.concat(parts) if parts else empty
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([(c, pa.int64()) for c in ("query_id", "vec_id", "score")])
+        parts = [schema.empty_table()]
+        if left.num_rows and right.num_rows:
+            left = left.sort_by("vec_id")
+            ids, (query_ids, least) = left.column("vec_id").to_numpy(), (right.column(c).to_numpy() for c in ("query_id", "least"))
+            # Only vectors of one length have an inner product.
+            asked = _matrices(right)
+            for n, (at, rows) in _matrices(left).items():
+                if n in asked:
+                    mine, queries = asked[n]
+                    found, _ = search_group(ids[at], rows, query_ids[mine], queries, least[mine], k, block)
+                    parts.append(pa.Table.from_pandas(found, schema, preserve_index=False))
+        return pa.concat_tables(parts)
 
     return run
 
@@ -125,12 +146,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     # Salted by chunk: a group meets its own queries in chunks, never all of them at once.
     own_blocks = blocks.join(queries.select(F.col("home").alias("g"), F.col("c").alias("part")).distinct(), "g").select("g", "part", "vec_id", "v")
     own = queries.select(F.col("home").alias("g"), "c", "query_id", "v", F.lit(-(2**53)).cast("long").alias("least"))
-    seeds = materialise(own_blocks.groupBy("g", "part").cogroup(own.groupBy("g", "c")).applyInPandas(_searcher(k, block), out), "seeds")
+    seeds = materialise(own_blocks.groupBy("g", "part").cogroup(own.groupBy("g", "c")).applyInArrow(_searcher(k, block), out), "seeds")
     least = seeds.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).select("query_id", F.when(F.col("n") >= k, F.col("kth")).alias("kth"))
     rest = queries.join(least, "query_id", "left").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(used - 1)))).filter("g <> home")
     rest = rest.select("g", "c", "query_id", "v", F.coalesce("kth", F.lit(-(2**53))).cast("long").alias("least"))
     pairs = rest.select("g", F.col("c").alias("part")).distinct()
     far_blocks = blocks.join(pairs, "g").select("g", "part", "vec_id", "v")
-    far = far_blocks.groupBy("g", "part").cogroup(rest.groupBy("g", "c")).applyInPandas(_searcher(k, block), out)
+    far = far_blocks.groupBy("g", "part").cogroup(rest.groupBy("g", "c")).applyInArrow(_searcher(k, block), out)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return seeds.union(far).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -47,6 +47,29 @@ def test_top_k_of_nothing_and_of_one(spark):
     assert topk.top_k(spark.createDataFrame([(0, [1.0], 1, 1)], VECTORS), F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_vectors_reach_the_search_as_columns(spark, capsys):
+    """No row of a group is turned into a Python object."""
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0], 1, 1) for i in range(60)], VECTORS)
+    topk.top_k(df, F.col("vec_id") % 5 == 0, k=3, group_rows=20).explain()
+    plan = capsys.readouterr().out
+    assert "CoGroupsInArrow" in plan and "InPandas" not in plan
+
+
+def test_a_block_is_scored_for_all_its_queries_at_once(monkeypatch):
+    """The rounds of 256 queries over 16 blocks need far fewer matrix products than there are pairs."""
+    rng = np.random.default_rng(1)
+    vectors, ids = rng.integers(-9, 10, (256, 8)), rng.permutation(256)
+    products = []
+    split = np.split
+    monkeypatch.setattr(topk.np, "split", lambda a, at: products.append(len(at) + 1) or split(a, at))
+    found, scored = topk.search_group(ids, vectors, ids, vectors, np.full(256, -(2.0**53)), 5, block=16)
+    assert scored > 20 * sum(products)
+    rows = list(found.itertuples(index=False, name=None))
+    for i in range(256):
+        best = sorted((-int(vectors[i] @ vectors[j]), int(ids[j])) for j in range(256) if j != i)[:5]
+        assert [(v, s) for q, v, s in rows if q == ids[i]] == [(j, -s) for s, j in best]
+
+
 def test_blocks_are_pruned():
     rng = np.random.default_rng(0)
     centres = rng.integers(-200, 200, (40, 16))
