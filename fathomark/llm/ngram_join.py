@@ -16,7 +16,8 @@ The distance of two sets is 1 - intersection / union; documents within ``reach``
 4. A region of more than ``block_rows`` members is split: some members are drawn as pivots, every member goes to the
    cell of its nearest one (its Voronoi region), and as a guest to each cell whose pivot is at most 2 * ``reach``
    farther than its own. If x and y are linked, y is in x's cell: d(y, p) <= d(x, p) + reach <= d(x, q) + reach
-   <= d(y, q) + 2 * reach for x's pivot p and y's pivot q. Cells are split again while that shrinks them.
+   <= d(y, q) + 2 * reach for x's pivot p and y's pivot q. Cells are split again while that shrinks them. A region whose
+   cells hold as many pairs as itself (its members are guests nearly everywhere) stays whole.
 5. What is left is compared directly, in blocks of bounded size, homes with homes and guests.
 
 What a task holds is bounded by about ``block_rows`` members and ``block_grams`` n-grams, or single longer texts. Where
@@ -250,7 +251,7 @@ def split(rows: DataFrame, texts: DataFrame, size: int, reach: float, block_rows
     cells = pairs.applyInArrow(_cells(size, reach), "region long, cell long, id long, guest boolean")
     cells = cells.groupBy("region", "cell", "id").agg(F.min("guest").alias("guest"))
     out = cells.join(rows.select("region", "id", "grp", "n", F.col("members").alias("before")), ["region", "id"])
-    return out.select(F.xxhash64("region", "cell", F.lit(level)).alias("region"), "id", "guest", "grp", "n", "before")
+    return out.select(F.xxhash64("region", "cell", F.lit(level)).alias("region"), "id", "guest", "grp", "n", F.col("region").alias("parent"), "before")
 
 
 def region_links(
@@ -266,7 +267,11 @@ def region_links(
         rows = rows.filter(grown)
         if rows.isEmpty():
             break
-        rows = open_regions(split(rows, texts, size, 1 - percent / 100, block_rows, block_grams, pivots, level), "cells")
+        cells = open_regions(split(rows, texts, size, 1 - percent / 100, block_rows, block_grams, pivots, level), "cells")
+        wide = cells.groupBy("parent").agg(F.sum("members").alias("pairs"), F.max("before").alias("before")).filter("pairs >= before * before")
+        wide = broadcast_checked(materialise(wide.select("parent"), "wide"), KEYS)
+        left = left.unionByName(rows.join(wide, rows["region"] == wide["parent"], "left_semi").select(columns))
+        rows = cells.join(wide, "parent", "left_anti")
     left = left.unionByName(rows.select(columns))
     blocks = _parts(block_rows, block_grams)
     dealt = broadcast_checked(left, KEYS).join(texts, "id").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))

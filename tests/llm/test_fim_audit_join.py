@@ -184,6 +184,18 @@ def test_join_equals_brute_force_in_dense_regions(spark, dense):
         assert got == want, bounds
 
 
+def test_a_region_that_cells_do_not_part_is_compared_once(spark, monkeypatch):
+    """60 texts about equally far from each other, and one copy: each text is dealt once, not once for every cell."""
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(60)]
+    texts.append((60, texts[7][1] + " end"))
+    rows = spark.createDataFrame([(0, i, False, i, 18) for i, _ in texts], "region long, id long, guest boolean, grp long, n long")
+    dealt, checked = [], ngram_join.broadcast_checked
+    monkeypatch.setattr(ngram_join, "broadcast_checked", lambda df, most: dealt.append(df) or checked(df, most))
+    links = ngram_join.region_links(rows, spark.createDataFrame(texts, "id long, text string"), 3, 90, block_rows=10, pivots=6)
+    assert {tuple(r) for r in links.collect()} in ({(7, 60)}, {(60, 7)})
+    assert dealt[-1].count() == 61
+
+
 def test_cells_keep_every_link_and_part_the_groups(spark, dense):
     """Splitting alone: every linked pair of different groups meets in a cell where one of them is at home."""
     rows = spark.createDataFrame([(7, i, False, i, len(sets_of(t)), len(dense), 0) for i, t in dense], "region long, id long, guest boolean, grp long, n long, members long, load long")
